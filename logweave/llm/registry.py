@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from logweave.llm import licenses, mixing, sharding
+from logweave.llm import licenses, mixing, sharding, tokens, topk
 
 
 def queries() -> dict:
     return {
+        "op1_topk": topk.op1_topk,
+        "op5_tokens": tokens.op5_tokens,
         "op6_mixing": mixing.op6_mixing,
         "op7_sharding": sharding.op7_sharding,
         "op8_licenses": licenses.op8_licenses,
@@ -14,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
+    return {"op1_topk": topk.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import licenses, mixing, sharding, tokens, topk
+from logweave.llm import licenses, mixing, sharding, substrings, tokens, topk
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_sharding": sharding.op7_sharding,
         "op8_licenses": licenses.op8_licenses,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
+    return {"op1_topk": topk.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op10_substrings": substrings.SQL}

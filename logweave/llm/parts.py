@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import scratch, settled
+from logweave.llm.common import settled
 
 PART_BYTES = 8 << 20
 #: Spark's own limit is 100,000 buckets; a bucket holds several parts beyond this number.
@@ -33,6 +33,11 @@ U = np.uint64
 class Parts:
     rows: DataFrame  # part, doc_id, text
     count: int
+    name: str
+
+    def drop(self) -> None:
+        """Remove the texts; what was derived from them must be settled."""
+        self.rows.sparkSession.sql(f"drop table {self.name}")
 
 
 def lay_out(docs: DataFrame, part_bytes: int = PART_BYTES) -> Parts:
@@ -43,8 +48,8 @@ def lay_out(docs: DataFrame, part_bytes: int = PART_BYTES) -> Parts:
     count = max(1, -(-total // part_bytes))
     buckets, name = min(count, MOST_BUCKETS), f"parts_{uuid.uuid4().hex}"
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).repartition(buckets, "part")
-    dealt.write.bucketBy(buckets, "part").option("path", scratch(spark, "parts")).saveAsTable(name)
-    return Parts(spark.table(name), count)
+    dealt.write.bucketBy(buckets, "part").saveAsTable(name)  # in the warehouse, which all executors share
+    return Parts(spark.table(name), count, name)
 
 
 def ask(parts: Parts, emit: Callable, answers: DataFrame | None = None, schema: str = ASKED) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logweave.llm import licenses, mixing, sharding, substrings, tokens, topk
+from logweave.llm import licenses, mixing, ngram_join, sharding, substrings, tokens, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_tokens": tokens.op5_tokens,
         "op6_mixing": mixing.op6_mixing,
         "op7_sharding": sharding.op7_sharding,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op10_substrings": substrings.SQL}
+    return {"op1_topk": topk.SQL, "op4_ngram_join": ngram_join.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op10_substrings": substrings.SQL}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import kernels as K
-from logweave.llm.common import table
+from logweave.llm.common import settled, table
 from logweave.llm.parts import ASKED, Earliest, Short, answer, answered, ask, earlier, holders, lay_out
 
 LENGTH, GRAM = 50, 16
@@ -176,7 +176,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for number in (2, 3):
         asked = ask(parts, _pass(number, parts.count, length), answers, ASKED)
         answers = answers.unionByName(answer(asked, number, earlier))
-    return ask(parts, _pass(4, parts.count, length), answers, OUT)
+    out = settled(ask(parts, _pass(4, parts.count, length), answers, OUT), "kept")
+    parts.drop()
+    return out
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

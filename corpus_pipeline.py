@@ -1,26 +1,56 @@
-"""The corpus pipeline: stages that each take documents and hand on what they keep."""
+"""The corpus pipeline: five stages that each take documents and hand on what they keep.
+
+Toxic documents go; one document of each group of near copies stays; documents that hold a benchmark item go; the rest is
+mixed to the target weights of its sources, a document as many times as it is taken; the mix is encoded and written as
+token files, of which the last stage returns the digests. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import mixing
-from logweave.llm.common import settled
+from logweave.llm import decontaminate, mixing, ngram_join, tokens, toxicity
+from logweave.llm.common import scratch, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.usable()))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select(*COLUMNS))
 
 
-STAGES = [("mixing", mix)]
-#: SQL can't express the models and the tokenizer of the stages.
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "tokens")
+    tokens.write(docs, out, tokens.tokenizer_path())
+    return tokens.describe(spark, out)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("tokens", write_tokens),
+]
+#: SQL can't express the trained model and the tokenizer; tests/llm compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), name)
     return docs

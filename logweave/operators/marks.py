@@ -26,29 +26,39 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return normalise(a.select("file_id", "start", "end").unionByName(b.select("file_id", "start", "end")))
 
 
-def _sweep(a: DataFrame, b: DataFrame, keep) -> DataFrame:
-    """Pieces of the axis for which ``keep(in a, in b)`` holds."""
-    def borders(d, x, y):
-        d = normalise(d)
-        return d.select("file_id", F.col("start").alias("at"), F.lit(x).alias("da"), F.lit(y).alias("db")).unionByName(d.select("file_id", (F.col("end") + 1).alias("at"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))
-
-    events = borders(a, 1, 0).unionByName(borders(b, 0, 1)).groupBy("file_id", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+def _sweep(sets: list[DataFrame]) -> DataFrame:
+    """file_id, start, end, in0, in1, ...: the pieces of the axis between range borders, and which sets hold them."""
+    names = [f"in{i}" for i in range(len(sets))]
+    events = None
+    for i, d in enumerate(sets):
+        step = lambda sign, i=i: [F.lit(sign if n == names[i] else 0).alias(n) for n in names]
+        good = d.filter("start <= end")
+        for part in (good.select("file_id", F.col("start").alias("at"), *step(1)), good.select("file_id", (F.col("end") + 1).alias("at"), *step(-1))):
+            events = part if events is None else events.unionByName(part)
+    summed = events.groupBy("file_id", "at").agg(*[F.sum(n).alias(n) for n in names])
     w = Window.partitionBy("file_id").orderBy("at")
-    state = events.select("file_id", F.col("at").alias("start"), F.sum("da").over(w).alias("a"), F.sum("db").over(w).alias("b"), (F.lead("at").over(w) - 1).alias("end"))
-    return normalise(state.filter(keep(F.col("a") > 0, F.col("b") > 0) & F.col("end").isNotNull()))
+    pieces = summed.select("file_id", F.col("at").alias("start"), (F.lead("at").over(w) - 1).alias("end"), *[(F.sum(n).over(w) > 0).alias(n) for n in names])
+    return pieces.filter("end is not null")
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, lambda x, y: x & ~y)
+    return normalise(_sweep([a, b]).filter("in0 and not in1"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, lambda x, y: x & y)
+    return normalise(_sweep([a, b]).filter("in0 and in1"))
 
 
 def restore(current: DataFrame, original: DataFrame, affected: DataFrame) -> DataFrame:
     """(current without affected) with (original within affected)."""
-    return union(subtract(current, affected), intersect(original, affected))
+    return normalise(_sweep([current, original, affected]).filter("(in0 and not in2) or (in1 and in2)"))
+
+
+def toggle(marks: DataFrame, selection: DataFrame) -> DataFrame:
+    """Per file: if any selected row is unmarked all selected are marked, else all are unmarked."""
+    pieces = _sweep([marks, selection])
+    adding = pieces.groupBy("file_id").agg(F.bool_or(F.col("in1") & ~F.col("in0")).alias("adding"))
+    return normalise(pieces.join(adding, "file_id").filter("(in0 and not in1) or (in1 and adding)"))
 
 
 def size(ranges: DataFrame) -> DataFrame:

@@ -87,33 +87,43 @@ def _split(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
 
 def holders(keys: list[bytes], docs: list) -> list[bytes]:
     """To each 32-bit key the number of parts that hold it, 255 at most."""
-    flat = np.frombuffer(b"".join(keys), "<u4")
+    flat = np.concatenate([_columns(k, "<u4") for k in keys])
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     return _split(np.minimum(counts, 255).astype(np.uint8)[inverse], [len(k) // 4 for k in keys])
 
 
 def earlier(keys: list[bytes], docs: list[bytes]) -> list[bytes]:
     """To each 64-bit key 1 if another part holds it with a smaller document, else 0."""
-    flat, ids = np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(docs), "<i8")
+    flat, ids = (np.concatenate([_columns(x, kind) for x in one]) for one, kind in ((keys, "<u8"), (docs, "<i8")))
     _, inverse = np.unique(flat, return_inverse=True)
     least = np.full(int(inverse.max()) + 1 if len(flat) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, ids)
     return _split((ids > least[inverse]).astype(np.uint8), [len(k) // 8 for k in keys])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: sorted keys and small numbers compress better so."""
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _columns(raw: bytes, kind: str) -> np.ndarray:
+    """The numbers of ``_planes``."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
 def packed(part: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray | None = None) -> pa.Table:
     """Keys sorted by bucket as one row per bucket."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
     begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
     if not len(bucket):
         begin = end = np.zeros(0, np.int64)
-    width, raw = keys.dtype.itemsize, keys.tobytes()
-    ids = docs.astype("<i8").tobytes() if docs is not None else None
+    ids = docs.astype("<i8") if docs is not None else None
     return pa.table([
         pa.array(np.full(len(begin), part), pa.int32()),
         pa.array(bucket[begin].astype(np.int32), pa.int32()),
-        pa.array([raw[width * b : width * e] for b, e in zip(begin, end, strict=True)], pa.binary()),
-        pa.array([ids and ids[8 * b : 8 * e] for b, e in zip(begin, end, strict=True)], pa.binary()),
+        pa.array([_planes(keys[b:e]) for b, e in zip(begin, end, strict=True)], pa.binary()),
+        pa.array([None if ids is None else _planes(ids[b:e]) for b, e in zip(begin, end, strict=True)], pa.binary()),
     ], schema=_ASKED)
 
 

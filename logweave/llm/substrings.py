@@ -2,11 +2,13 @@
 
 Suffixes are ordered only as deep as the threshold, by most-significant-digit passes, and after each pass only groups
 with more than one document go on. The suffixes that are looked at are content-defined: each window of 50 bytes is
-represented by the smallest hash of its 16-byte strings, so equal windows have the same anchor at the same place.
+represented by the smallest hash of its 24-byte strings, so equal windows have the same anchor at the same place.
 
-1. First digit: the 16 bytes at the anchor. Anchors that no other document has are done.
+1. First digit: the 24 bytes at the anchor. Anchors that no other document has are done.
 2. Second digit: all bytes of the windows that share the anchor. Where a smaller document has the same, all are repeated.
-3. Last digit: the single windows of the anchors that are left.
+3. Groups of the first digit in which the second is the same everywhere are done too: their windows stand in no smaller
+   document than the first one that has them.
+4. Last digit: the single windows of the anchors that are left.
 
 Digits travel as 64-bit fingerprints dealt by a second fingerprint; equal fingerprints are taken as equal strings.
 
@@ -27,7 +29,7 @@ from logweave.llm import kernels as K
 from logweave.llm.common import settled, table
 from logweave.llm.parts import ASKED, Earliest, Short, answer, answered, ask, earlier, holders, lay_out
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Windows looked at together; more would not leave enough bits of a hash beside the place.
 STRIP = 1 << 22
 U = np.uint64
@@ -37,11 +39,13 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
-    """Mixed hash of the 16 bytes at each place."""
+    """Mixed hash of the 24 bytes at each place."""
     h = K.BYTE[buf]
-    for step in (1, 2, 4, 8):
-        h = h[:-step] * U(pow(int(K.BASE), step, 1 << 64)) + h[step:]
-    return K.mix(h)
+    power = lambda n: U(pow(int(K.BASE), n, 1 << 64))
+    for step in (1, 2, 4):
+        h = h[:-step] * power(step) + h[step:]
+    out = h[:-8] * power(8) + h[8:]
+    return K.mix(out[:-8] * power(8) + h[16:])
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -124,11 +128,11 @@ class _Texts:
 
 
 def _pass(number: int, buckets: int, length: int):
-    """The keys a part sends in pass 1, 2 or 3; in pass 4 its documents' results."""
+    """The keys a part sends in passes 1 to 4; in pass 5 its documents' results."""
 
     def run(rows, answers):
         if not rows.num_rows:
-            return _results([], None, None, None) if number == 4 else Short(np.zeros(0, U), buckets).table(0)
+            return _results([], None, None, None) if number == 5 else Short(np.zeros(0, U), buckets).table(0)
         part = rows.column("part")[0].as_py()
         t = _Texts(rows, length)
         t.anchors()
@@ -144,11 +148,17 @@ def _pass(number: int, buckets: int, length: int):
         if number == 2:
             return contexts.table(part)
         whole = contexts.repeated(answered(answers, 2))
-        place, row, one, two = t.windows(shared[~whole])
-        single = Earliest(one, two, t.docs[row], buckets)
+        kept = np.flatnonzero(~whole)
+        heads = kept[np.unique(contexts.of[kept], return_index=True)[1]]  # one for each context that no smaller document has
+        groups = Short(t.key[shared[heads]], buckets)
         if number == 3:
+            return groups.table(part)
+        several = groups.distinct[(answered(answers, 3) > 1) | (groups.counts > 1)]
+        place, row, one, two = t.windows(shared[kept[np.isin(short.joint[shared[kept]], several)]])
+        single = Earliest(one, two, t.docs[row], buckets)
+        if number == 4:
             return single.table(part)
-        again = single.repeated(answered(answers, 3))
+        again = single.repeated(answered(answers, 4))
         done = shared[whole]
         begin = np.concatenate([t.first[done], place[again]])
         end = np.concatenate([t.last[done], place[again]]) + length
@@ -173,10 +183,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     parts = lay_out(docs)
     answers = answer(ask(parts, _pass(1, parts.count, length)), 1, holders)
-    for number in (2, 3):
+    for number, decide in ((2, earlier), (3, holders), (4, earlier)):
         asked = ask(parts, _pass(number, parts.count, length), answers, ASKED)
-        answers = answers.unionByName(answer(asked, number, earlier))
-    out = settled(ask(parts, _pass(4, parts.count, length), answers, OUT), "kept")
+        answers = answers.unionByName(answer(asked, number, decide))
+    out = settled(ask(parts, _pass(5, parts.count, length), answers, OUT), "kept")
     parts.drop()
     return out
 

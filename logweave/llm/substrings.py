@@ -197,10 +197,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with t as (select doc_id, encode(coalesce(text, '')) as b, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
-w as (select doc_id, i, hash(substr(h, 2 * i::int + 1, {2 * LENGTH})) as a, substr(h, 2 * i::int + 1, {2 * LENGTH}) as s
-      from (select doc_id, h, unnest(range(0, greatest(n - {LENGTH} + 1, 0))) as i from t)),
-least as (select a, s, min(doc_id) as d from w group by a, s having min(doc_id) < max(doc_id)),
-hits as (select w.doc_id, w.i from w join least l on w.a = l.a and w.s = l.s where w.doc_id > l.d),
+blocks as (select doc_id, n, k, substr(h, 2 * k::int + 1, {2 * (100 + LENGTH)}) as p from (select doc_id, n, h, unnest(range(0, greatest(n - {LENGTH} + 1, 0), 100)) as k from t)),
+w as (select doc_id, k + j as i, md5_number(substr(p, 2 * j::int + 1, {2 * LENGTH})) as a
+      from (select doc_id, k, p, unnest(range(0, least(100, n - {LENGTH} + 1 - k))) as j from blocks)),
+least as (select a, min(doc_id) as d from w group by a having min(doc_id) < max(doc_id)),
+hits as (select w.doc_id, w.i from w join least l on w.a = l.a where w.doc_id > l.d),
 marked as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from hits),
 runs as (select doc_id, i, sum(case when before is null or i > before + {LENGTH} then 1 else 0 end) over (partition by doc_id order by i) as run from marked),
 spans as (select doc_id, run, min(i) as a, max(i) + {LENGTH} as z from runs group by doc_id, run),

@@ -24,9 +24,14 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     return e.select((F.col("event_id") % 4).alias("file_id"), F.col("event_id").alias("byte_offset"), text.alias("text"))
 
 
+def parsed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Their records with fields."""
+    return fields(records(event_lines(spark, sf), CLASSIC), CLASSIC)
+
+
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Their records with fields and normalised time."""
-    rows = fields(records(event_lines(spark, sf), CLASSIC), CLASSIC)
+    rows = parsed_rows(spark, sf)
     return normalise(rows.withColumn("ts_raw", times.parse(F.col("Time"))), time_only=False)
 
 

@@ -8,7 +8,7 @@ from logweave.functions import text as shape
 from logweave.functions import times
 from logweave.operators import facets, filters, records, search, sequences, timeaxis
 from logweave.operators.records import Format
-from logweave.plans.base import CLASSIC, CLOCKED, LOG, clock_rows, conversation_rows, document_lines, event_lines, event_rows, table
+from logweave.plans.base import CLASSIC, CLOCKED, LOG, clock_rows, conversation_rows, document_lines, event_lines, event_rows, parsed_rows, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,17 +149,17 @@ def duration_formatting(spark, sf):
 @query(f"with {LOG} select file_id, component as value, count(*) as n from rec where level not in ('VIEW', 'CLICK') and thread not in ('T-8') group by 1, 2")
 def facet_counts_after_exclusion(spark, sf):
     keep = filters.Filter().add("Level", ["VIEW"]).add("Level", ["CLICK"]).put("Thread", ["T-8"])
-    return facets.counts(keep.apply(event_rows(spark, sf)), ["Component"]).drop("field")
+    return facets.counts(keep.apply(parsed_rows(spark, sf)), ["Component"]).drop("field")
 
 
 @query(f"with {LOG} select file_id, line_no from rec where level in ('ERROR', 'SIGNUP')")
 def exclude_all_but(spark, sf):
-    return event_rows(spark, sf).filter(filters.exclude_all_but("Level", ["ERROR", "SIGNUP"])).select("file_id", "line_no")
+    return parsed_rows(spark, sf).filter(filters.exclude_all_but("Level", ["ERROR", "SIGNUP"])).select("file_id", "line_no")
 
 
 @query(f"with {LOG} select file_id, line_no from rec where thread not in (select thread from rec where line_no < 3)")
 def exclude_selected(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = parsed_rows(spark, sf)
     return filters.exclude_values_of(rows, rows.filter("line_no < 3"), "Thread").select("file_id", "line_no")
 
 
@@ -174,18 +174,18 @@ def composed_view(spark, sf):
 
 @query(f"with {LOG} select file_id, line_no from rec where thread = 'T-46' and level not in ('VIEW')")
 def thread_focus(spark, sf):
-    rows = filters.Filter().add("Level", ["VIEW"]).apply(event_rows(spark, sf))
+    rows = filters.Filter().add("Level", ["VIEW"]).apply(parsed_rows(spark, sf))
     return rows.filter(filters.thread("Thread", "T-46")).select("file_id", "line_no")
 
 
 @query(f"with {LOG} select distinct thread as value from rec where contains(lower(thread), 't-1')")
 def facet_value_filter(spark, sf):
-    return filters.facet_values(event_rows(spark, sf), "Thread", "T-1").select(F.col("Thread").alias("value"))
+    return filters.facet_values(parsed_rows(spark, sf), "Thread", "T-1").select(F.col("Thread").alias("value"))
 
 
 @query(f"with {LOG} select file_id, line_no from rec where regexp_matches(text, 'error .*value=1[0-9]\\.', 'i')")
 def regex_search(spark, sf):
-    return event_rows(spark, sf).filter(search.matches(r"error .*value=1[0-9]\.")).select("file_id", "line_no")
+    return parsed_rows(spark, sf).filter(search.matches(r"error .*value=1[0-9]\.")).select("file_id", "line_no")
 
 
 @query("select doc_id as file_id from documents where contains(lower(text), lower('The of'))")
@@ -196,14 +196,14 @@ def literal_search(spark, sf):
 @query(f"with {LOG} select file_id, line_no from rec where regexp_matches(text, 'T-4.*comp1.*\\{{\"k\"') and thread not in ('T-40')")
 def ordered_terms_with_exclusions(spark, sf):
     p = search.in_order(["T-4", "comp1", '{"k"'])
-    return filters.Filter().add("Thread", ["T-40"]).apply(event_rows(spark, sf)).filter(search.matches(p, case=True)).select("file_id", "line_no")
+    return filters.Filter().add("Thread", ["T-40"]).apply(parsed_rows(spark, sf)).filter(search.matches(p, case=True)).select("file_id", "line_no")
 
 
 HITS = f"{LOG}, h as (select file_id, line_no, row_number() over (partition by file_id order by line_no) - 1 as hit from rec where contains(text, 'value=9'))"
 
 
 def _hits(spark, sf):
-    return search.hits(event_rows(spark, sf), search.matches("value=9", regex=False, case=True))
+    return search.hits(parsed_rows(spark, sf), search.matches("value=9", regex=False, case=True))
 
 
 @query(f"with {HITS} select * from h")
@@ -221,14 +221,14 @@ def neighbour_hits(spark, sf):
 
 @query(f"with {HITS}, n as (select file_id, count(*) as n from rec group by file_id) select h.file_id, (h.line_no * 1000 // n.n)::integer as bucket, count(*) as hits from h join n using (file_id) group by 1, 2")
 def match_buckets(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = parsed_rows(spark, sf)
     return search.buckets(_hits(spark, sf), rows.groupBy("file_id").agg(F.count("*").alias("n")))
 
 
 @query(f"""with {LOG} select 'errors' as name, file_id, count(*) filter (regexp_matches(text, 'error', 'i')) as hits from rec group by file_id union all
 select 'nines', file_id, count(*) filter (contains(text, 'value=9')) from rec group by file_id union all select 'keys', file_id, count(*) filter (regexp_matches(text, '"k": 1\\d\\}}')) from rec group by file_id""")
 def saved_search_sweep(spark, sf):
-    return search.sweep(event_rows(spark, sf), [("errors", "error", False, True), ("nines", "value=9", True, False), ("keys", r'"k": 1\d\}', True, True)])
+    return search.sweep(parsed_rows(spark, sf), [("errors", "error", False, True), ("nines", "value=9", True, False), ("keys", r'"k": 1\d\}', True, True)])
 
 
 @query("""with w as (select doc_id as file_id, 0::bigint as line_no, regexp_replace(text, '[\\r\\n]+$', '') as t from documents),
@@ -243,7 +243,7 @@ def match_spans(spark, sf):
 @query(f"""with {LOG}, c as (select regexp_extract(text, 'ERROR (.*) comp(.*) value', ['a', 'b']) as c from rec where regexp_matches(text, 'ERROR .* comp.* value'))
 select c.a as first, c.b as second, count(*) as n from c group by 1, 2""")
 def variable_parts(spark, sf):
-    out = search.variable_parts(event_rows(spark, sf), "ERROR .* comp.* value", case=True)
+    out = search.variable_parts(parsed_rows(spark, sf), "ERROR .* comp.* value", case=True)
     return out.select(F.col("captures")[0].alias("first"), F.col("captures")[1].alias("second"), "n")
 
 
@@ -254,24 +254,24 @@ def search_history(spark, sf):
 
 @query(f"with {LOG} select distinct thread as value from rec")
 def distinct_facet_values(spark, sf):
-    return facets.values(event_rows(spark, sf), "Thread").select(F.col("Thread").alias("value"))
+    return facets.values(parsed_rows(spark, sf), "Thread").select(F.col("Thread").alias("value"))
 
 
 @query(f"with {LOG} select file_id, 'Level' as field, level as value, count(*) as n from rec group by file_id, level union all select file_id, 'Component', component, count(*) from rec group by file_id, component")
 def facet_counts(spark, sf):
-    return facets.counts(event_rows(spark, sf), ["Level", "Component"])
+    return facets.counts(parsed_rows(spark, sf), ["Level", "Component"])
 
 
 @query(f"""with {LOG}, k as (select file_id, level, thread, component, count(*) as n, min(line_no) as first_line from rec group by all)
 select *, row_number() over (partition by file_id order by first_line) - 1 as key_no from k""")
 def facet_tuples(spark, sf):
-    out = facets.tuples(event_rows(spark, sf), list(CLASSIC.indexed))
+    out = facets.tuples(parsed_rows(spark, sf), list(CLASSIC.indexed))
     return out.select(*[F.col(c).alias(c.lower()) for c in out.columns])
 
 
 @query(f"with {LOG} select file_id, 'Level' as field, level as value, count(*) as n from rec where contains(text, 'value=9') group by all")
 def hit_facet_counts(spark, sf):
-    return facets.counts(event_rows(spark, sf).filter(search.matches("value=9", False, True)), ["Level"])
+    return facets.counts(parsed_rows(spark, sf).filter(search.matches("value=9", False, True)), ["Level"])
 
 
 @query("""with x as (select distinct 'type' as field, event_type as value from events where event_type in ('view', 'click') union select distinct 'user', user_id::varchar from events where user_id = 8)
@@ -306,22 +306,22 @@ def thread_runs(spark, sf):
 
 @query(f"""with {LOG}, v as (select file_id, line_no, row_number() over (order by file_id, line_no) - 1 as view_pos from rec where level = 'ERROR') select * from v where view_pos >= 100 and view_pos < 150""")
 def view_page(spark, sf):
-    return sequences.page(event_rows(spark, sf).filter("Level = 'ERROR'").select("file_id", "line_no"), 100, 50)
+    return sequences.page(parsed_rows(spark, sf).filter("Level = 'ERROR'").select("file_id", "line_no"), 100, 50)
 
 
 @query(f"""with {HITS} select distinct r.file_id, r.line_no from rec r join h on h.file_id = r.file_id and r.line_no between h.line_no - 2 and h.line_no + 2""")
 def hit_context(spark, sf):
-    return sequences.context(event_rows(spark, sf).select("file_id", "line_no"), _hits(spark, sf), 2)
+    return sequences.context(parsed_rows(spark, sf).select("file_id", "line_no"), _hits(spark, sf), 2)
 
 
 @query(f"""with {LOG}, v as (select file_id, line_no, row_number() over (partition by file_id order by line_no) - 1 as p from rec where level = 'ERROR'), a as (select file_id, unnest(range(0, 2600, 53)) as anchor from (select distinct file_id from v))
 select a.file_id, a.anchor, coalesce((select min(p) from v where v.file_id = a.file_id and v.line_no >= a.anchor), (select max(p) from v where v.file_id = a.file_id))::bigint as view_pos from a""")
 def nearest_visible_row(spark, sf):
-    view = event_rows(spark, sf).filter("Level = 'ERROR'").select("file_id", "line_no")
+    view = parsed_rows(spark, sf).filter("Level = 'ERROR'").select("file_id", "line_no")
     anchors = view.select("file_id").distinct().select("file_id", F.explode(F.expr("sequence(0L, 2599L, 53L)")).alias("anchor"))
     return sequences.nearest(view, anchors)
 
 
 @query(f"with {LOG} select file_id, line_no, level from rec order by file_id, line_no")
 def record_order(spark, sf):
-    return event_rows(spark, sf).select("file_id", "line_no", F.col("Level").alias("level")).orderBy("file_id", "line_no")
+    return parsed_rows(spark, sf).select("file_id", "line_no", F.col("Level").alias("level")).orderBy("file_id", "line_no")

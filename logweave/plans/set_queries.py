@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.operators import dictionaries, filters, marks, merge, payloads, records, search, sequences, symbols, timeaxis
-from logweave.plans.base import LOG, event_rows, table
+from logweave.plans.base import LOG, parsed_rows, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -186,17 +186,17 @@ MARKS = f"{LOG}, m as (select o_orderkey % 3 as file_id, o_orderkey as a, o_orde
 
 @query(f"with {MARKS} select distinct r.file_id, r.line_no, r.text from rec r join m on r.file_id = m.file_id and r.line_no between a and z")
 def marked_rows(spark, sf):
-    return marks.members(event_rows(spark, sf), _marks(spark, sf)).select("file_id", "line_no", "text")
+    return marks.members(parsed_rows(spark, sf), _marks(spark, sf)).select("file_id", "line_no", "text")
 
 
 @query(f"with {MARKS} select distinct r.file_id, r.line_no from rec r join m on r.file_id = m.file_id and r.line_no between a and z where level <> 'VIEW'")
 def visible_marks(spark, sf):
-    return filters.Filter().add("Level", ["VIEW"]).apply(marks.members(event_rows(spark, sf), _marks(spark, sf))).select("file_id", "line_no")
+    return filters.Filter().add("Level", ["VIEW"]).apply(marks.members(parsed_rows(spark, sf), _marks(spark, sf))).select("file_id", "line_no")
 
 
 @query(f"with {MARKS} select r.text as value from rec r where exists (select 1 from m where r.file_id = m.file_id and r.line_no between a and z)")
 def selection_export(spark, sf):
-    return marks.export(event_rows(spark, sf), _marks(spark, sf))
+    return marks.export(parsed_rows(spark, sf), _marks(spark, sf))
 
 
 @query("select distinct user_id as value from events where user_id not in (select o_custkey from orders)")
@@ -219,17 +219,17 @@ MAPPED = f"{LOG}, map as (select 'users' as list, 'T-' || n_nationkey * 5 as val
 
 @query(f"with {MAPPED} select file_id, line_no, token, list, mapping from (select file_id, line_no, unnest([level, thread]) as token from rec) t join map on map.value = t.token")
 def code_occurrences(spark, sf):
-    return dictionaries.occurrences(event_rows(spark, sf), _mappings(spark, sf)).drop("i")
+    return dictionaries.occurrences(parsed_rows(spark, sf), _mappings(spark, sf)).drop("i")
 
 
 @query(f"with {MAPPED} select file_id, line_no, time || ' ' || level || coalesce('(' || a.mapping || ')', '') || ' ' || thread || coalesce('(' || b.mapping || ')', '') || ' ' || component || ' ' || message as annotated from rec left join map a on a.value = level left join map b on b.value = thread")
 def annotated_text(spark, sf):
-    return dictionaries.annotate(event_rows(spark, sf), _mappings(spark, sf)).select("file_id", "line_no", "annotated")
+    return dictionaries.annotate(parsed_rows(spark, sf), _mappings(spark, sf)).select("file_id", "line_no", "annotated")
 
 
 @query(f"with {LOG} select rule, count(*) as n from (select coalesce(case when regexp_matches(text, 'ERROR .*comp1') then 0 when regexp_matches(text, 'T-4') then 1 when regexp_matches(text, 'ERROR') then 2 end, -1)::integer as rule from rec) group by rule")
 def rule_classification(spark, sf):
-    return dictionaries.classify(event_rows(spark, sf), ["ERROR .*comp1", "T-4", "ERROR"]).groupBy(F.coalesce("rule", F.lit(-1)).alias("rule")).agg(F.count("*").alias("n"))
+    return dictionaries.classify(parsed_rows(spark, sf), ["ERROR .*comp1", "T-4", "ERROR"]).groupBy(F.coalesce("rule", F.lit(-1)).alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query("select event_id, '$.k' as path, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') is not null")
@@ -247,7 +247,7 @@ def payload_code_join(spark, sf):
 
 @query(f"with {LOG} select file_id, line_no, (length(text) - length(props))::integer as start, length(props)::integer as length, 'json' as kind, props as payload from (select r.*, e.props from rec r join events e on e.event_id = r.byte_offset)")
 def structured_payloads(spark, sf):
-    return payloads.structured(event_rows(spark, sf))
+    return payloads.structured(parsed_rows(spark, sf))
 
 
 # ---- encoded payloads, rendered into log text
@@ -307,7 +307,7 @@ def decoded_leaves(spark, sf):
 
 @query(f"with {LOG} select file_id, line_no, 'value' as key, split_part(split_part(message, 'value=', 2), ' ', 1) as value from rec union all select r.file_id, r.line_no, 'props', e.props from rec r join events e on e.event_id = r.byte_offset")
 def key_value_pairs(spark, sf):
-    rows = event_rows(spark, sf).withColumn("text", F.col("Message"))
+    rows = parsed_rows(spark, sf).withColumn("text", F.col("Message"))
     return payloads.pairs(rows).drop("i")
 
 

@@ -9,9 +9,11 @@ first size - c + 2. Small sets enumerate the two-element subsets of the latter a
 inverted lists that are scanned, and small sets near the boundary are listed too. The boundary is chosen by cost: subsets
 to be emitted against pairs that the lists would give, summed per band of sizes.
 
-Candidates are checked exactly. First each class is checked with one leader it shares most keys with, which joins large
-groups of near copies in as many checks as they have members. Then every pair that shares a key and is not yet in one
-component is checked, so no component is missed, and no group of like texts is expanded into all its pairs.
+Candidates are checked exactly. Each set has a sketch of 512 parities, and two sets differ in at least as many shingles
+as their sketches in bits; pairs that differ in too many are not candidates. First each class is checked with a few
+leaders, one drawn by hash for each key, which joins large groups of near copies in about as many checks as they have
+members. Then every candidate pair whose classes are not in one component yet is checked, each key comparing the members
+outside its largest component with all others, so no component is missed and no group is expanded into all its pairs.
 
 Defined cases: texts without words, empty and null texts have no shingles and are linked with nothing; fewer than five
 words form one shingle; rows with a null doc_id have component null and link with nothing; repeated rows have equal sets;
@@ -33,9 +35,12 @@ from logweave.llm.parts import ASKED, Short, answer, answered, ask, holders, lay
 WORDS, PERCENT = 5, 80
 #: Set sizes at which small sets may end.
 BOUNDARIES = [0, 8, 16, 32, 64, 128]
+#: Leaders that a class is checked with at first.
+LEADERS = 4
 U = np.uint64
-_SCHEMA = "doc_id long, n long, f1 long, f2 long, prefix array<long>, listed int, tokens array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("listed", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+SKETCH = [f"s{i}" for i in range(8)]
+_SCHEMA = "doc_id long, n long, f1 long, f2 long, prefix array<long>, listed int, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("listed", pa.int32()), ("tokens", pa.list_(pa.int64())), *[(c, pa.int64()) for c in SKETCH]])
 
 
 def shingle_sets(column, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ def _signatures(buckets: int, percent: int):
         prints = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
         need = -(-percent * sizes // 100)
         room = np.maximum(sizes - need + 1 - alone, 0)  # places of the prefix that rarer shingles leave
-        prefix, listed, tokens = [], [], []
+        prefix, listed, tokens, sketch = [], [], [], np.zeros((len(ids), len(SKETCH)), np.int64)
         for i in range(len(ids)):
             if ids[i] is None or room[i] + 1 <= 0 or sizes[i] - need[i] + 2 <= alone[i]:
                 prefix.append(None), listed.append(0), tokens.append(None)
@@ -107,7 +112,9 @@ def _signatures(buckets: int, percent: int):
             prefix.append(best.view(np.int64))
             listed.append(min(int(room[i]), len(best)))
             tokens.append(own.view(np.int64))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(prefix, pa.list_(pa.int64())), pa.array(listed, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], schema=_ARROW)
+            parity = np.bincount((own & U(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+            sketch[i] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(prefix, pa.list_(pa.int64())), pa.array(listed, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], schema=_ARROW)
 
     return run
 
@@ -142,14 +149,29 @@ def _boundary(sets: DataFrame) -> int:
 
 
 def _keys(sets: DataFrame, small: int, percent: int) -> DataFrame:
-    """kind, key, id, n: two-element subsets of small sets, inverted lists of large sets and those just below them."""
+    """kind, key, id, n, sketch: two-element subsets of small sets, inverted lists of large sets and those just below them."""
     near = sets.filter(F.col("n") * 100 >= percent * small)
-    lists = near.select(F.lit("list").alias("kind"), F.explode(F.slice("prefix", F.lit(1), F.col("listed"))).alias("key"), "id", "n")
+    lists = near.select(F.lit("list").alias("kind"), F.explode(F.slice("prefix", F.lit(1), F.col("listed"))).alias("key"), "id", "n", *SKETCH)
     pair = lambda a, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b: F.xxhash64(a, b))
-    subsets = sets.filter(F.col("n") <= small).select(F.lit("subset").alias("kind"), F.explode(F.flatten(F.transform("prefix", pair))).alias("key"), "id", "n")
+    subsets = sets.filter(F.col("n") <= small).select(F.lit("subset").alias("kind"), F.explode(F.flatten(F.transform("prefix", pair))).alias("key"), "id", "n", *SKETCH)
     return lists.unionByName(subsets)
 
 
+def _gap(x: str, y: str) -> F.Column:
+    """Bits in which two sketches differ: at most the number of shingles that only one of the sets has."""
+    out = F.lit(0)
+    for c in SKETCH:
+        out = out + F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c)))
+    return out
+
+
+def _may_link(x: str, y: str, percent: int) -> F.Column:
+    """Whether sizes and sketches leave it open that two sets link; sets that link differ in at most
+    (100 - percent) / (100 + percent) of their sizes' sum."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    return (n * 100 >= percent * m) & (m * 100 >= percent * n) & (_gap(x, y) * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
@@ -169,22 +191,26 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     same = ["n", "f1", "f2"]
     classes = settled(rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
     sets = rows.filter("size(prefix) > 0").join(classes.select("id"), F.col("doc_id") == F.col("id")).dropDuplicates(["id"])
-    sets = settled(sets.select("id", "n", "prefix", "listed", "tokens"), "sets")
+    sets = settled(sets.select("id", "n", "prefix", "listed", "tokens", *SKETCH), "sets")
     small = _boundary(sets)
     keys = settled(_keys(sets, small, percent), "keys")
-    alike = lambda x, y: (F.col(x) * 100 >= percent * F.col(y)) & (F.col(y) * 100 >= percent * F.col(x))
-    leaders = keys.groupBy("kind", "key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
-    star = keys.join(leaders, ["kind", "key"]).filter("id <> l.id").select("id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("ln")).filter(alike("n", "ln"))
-    best = star.groupBy("id", "leader").count().groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    tried = settled(best.select(F.col("leader").alias("a"), F.col("id").alias("b")), "tried")
+    leader = F.min_by(F.struct("id", "n", *SKETCH), F.struct(F.xxhash64("key", "id"), "id")).alias("l")
+    leaders = keys.groupBy("kind", "key").agg(leader, F.count("*").alias("c")).filter("c > 1")
+    star = keys.join(leaders, ["kind", "key"]).filter("id <> l.id").select("id", F.col("l.id").alias("leader"), _gap("", "l.").alias("gap"), _may_link("", "l.", percent).alias("good"))
+    near = star.filter("good").groupBy("id", "leader").agg(F.min("gap").alias("gap"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("gap", "leader"))  # one row for each key of a class at most
+    few = near.withColumn("k", first).filter(F.col("k") <= LEADERS)
+    tried = settled(few.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried")
     one = settled(_checked(tried, sets, percent), "links")
     found = components(one)
     named = settled(keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
-    open_keys = named.groupBy("kind", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("kind", "key")
-    left = settled(named.join(open_keys, ["kind", "key"]), "open")
-    side = lambda x: left.select("kind", "key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("na", "nb") & ((F.col("kind") == "subset") | (F.greatest("na", "nb") > small))
-    more = side("a").join(side("b"), ["kind", "key"]).filter(apart).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    sizes = named.groupBy("kind", "key", "component").count()
+    tops = sizes.groupBy("kind", "key").agg(F.count("*").alias("c"), F.max_by("component", F.struct("count", "component")).alias("top")).filter("c > 1").select("kind", "key", "top")
+    left = settled(named.join(tops, ["kind", "key"]), "open")
+    side = lambda x: left.select("kind", "key", F.struct("id", "n", "component", "top", *SKETCH).alias(x))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))) & ((F.col("kind") == "subset") | (F.greatest("x.n", "y.n") > small))
+    cross = side("x").filter("x.component <> x.top").join(side("y"), ["kind", "key"]).filter(apart & _may_link("x.", "y.", percent))
+    more = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     two = settled(_checked(more, sets, percent), "links")
     links = one.unionByName(two)
     final = components(links) if not two.isEmpty() else found

@@ -11,7 +11,7 @@ to be emitted against pairs that the lists would give, summed per band of sizes.
 
 Candidates are checked exactly. Each set has a sketch of 512 parities, and two sets differ in at least as many shingles
 as their sketches in bits; pairs that differ in too many are not candidates. First each class is checked with a few
-leaders, one drawn by hash for each key, which joins large groups of near copies in about as many checks as they have
+leaders, the closest by sketch of those drawn by hash for each key, which joins large groups of near copies in about as many checks as they have
 members. Then every candidate pair whose classes are not in one component yet is checked, each key comparing the members
 outside its largest component with all others, so no component is missed and no group is expanded into all its pairs.
 
@@ -35,8 +35,8 @@ from logweave.llm.parts import ASKED, Short, answer, answered, ask, holders, lay
 WORDS, PERCENT = 5, 80
 #: Set sizes at which small sets may end.
 BOUNDARIES = [0, 8, 16, 32, 64, 128]
-#: Leaders that a class is checked with at first.
-LEADERS = 4
+#: Leaders drawn for each key, and those of them that a class is checked with at first.
+DRAWN, LEADERS = 8, 4
 U = np.uint64
 SKETCH = [f"s{i}" for i in range(8)]
 _SCHEMA = "doc_id long, n long, f1 long, f2 long, prefix array<long>, listed int, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
@@ -194,9 +194,10 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     sets = settled(sets.select("id", "n", "prefix", "listed", "tokens", *SKETCH), "sets")
     small = _boundary(sets)
     keys = settled(_keys(sets, small, percent), "keys")
-    leader = F.min_by(F.struct("id", "n", *SKETCH), F.struct(F.xxhash64("key", "id"), "id")).alias("l")
-    leaders = keys.groupBy("kind", "key").agg(leader, F.count("*").alias("c")).filter("c > 1")
-    star = keys.join(leaders, ["kind", "key"]).filter("id <> l.id").select("id", F.col("l.id").alias("leader"), _gap("", "l.").alias("gap"), _may_link("", "l.", percent).alias("good"))
+    drawn = [F.min_by(F.struct("id", "n", *SKETCH), F.struct(F.xxhash64("key", "id", F.lit(i)), "id")) for i in range(DRAWN)]
+    leaders = keys.groupBy("kind", "key").agg(F.count("*").alias("c"), F.array_distinct(F.array(*drawn)).alias("ls")).filter("c > 1").drop("c")
+    each = keys.join(leaders, ["kind", "key"]).withColumn("l", F.explode("ls"))
+    star = each.filter("id <> l.id").select("id", F.col("l.id").alias("leader"), _gap("", "l.").alias("gap"), _may_link("", "l.", percent).alias("good"))
     near = star.filter("good").groupBy("id", "leader").agg(F.min("gap").alias("gap"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("gap", "leader"))  # one row for each key of a class at most
     few = near.withColumn("k", first).filter(F.col("k") <= LEADERS)

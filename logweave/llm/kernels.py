@@ -57,7 +57,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20) -> Iterator:
+def slices(batches, column: str = "text", limit: int = 2 << 20) -> Iterator:
     """Batches (or one table) cut to about ``limit`` bytes of text; a longer text stays whole."""
     for batch in batches:
         n = batch.num_rows

@@ -31,7 +31,7 @@ from logweave.llm.parts import ASKED, Earliest, Short, answer, answered, ask, ea
 
 LENGTH, GRAM = 50, 24
 #: Windows looked at together; more would not leave enough bits of a hash beside the place.
-STRIP = 1 << 22
+STRIP = 1 << 20
 U = np.uint64
 SECOND = U(0xD1342543DE82EF95)
 _SECOND_INVERSE = U(pow(int(SECOND), -1, 1 << 64))

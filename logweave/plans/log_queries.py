@@ -219,6 +219,13 @@ def neighbour_hits(spark, sf):
     return search.neighbours(found, anchors)
 
 
+@query(f"""with {HITS}, e as (select file_id, min(line_no) as f, max(line_no) as l from h group by file_id), r as (select rec.file_id, rec.line_no as anchor, h.line_no as hit from rec left join h on h.file_id = rec.file_id and h.line_no = rec.line_no)
+select file_id, anchor, coalesce(min(hit) over (partition by file_id order by anchor rows between 1 following and unbounded following), f) as next_hit, coalesce(max(hit) over (partition by file_id order by anchor rows between unbounded preceding and 1 preceding), l) as previous_hit from r join e using (file_id)""")
+def neighbour_hits_all(spark, sf):
+    anchors = parsed_rows(spark, sf).select("file_id", F.col("line_no").alias("anchor"))
+    return search.neighbours(_hits(spark, sf).select("file_id", "line_no"), anchors)
+
+
 @query(f"with {HITS}, n as (select file_id, count(*) as n from rec group by file_id) select h.file_id, (h.line_no * 1000 // n.n)::integer as bucket, count(*) as hits from h join n using (file_id) group by 1, 2")
 def match_buckets(spark, sf):
     rows = parsed_rows(spark, sf)
@@ -322,6 +329,13 @@ def nearest_visible_row(spark, sf):
     return sequences.nearest(view, anchors)
 
 
+@query(f"""with {LOG}, n as (select file_id, count(*) as n from rec where level = 'ERROR' group by file_id)
+select file_id, line_no as anchor, least(count(*) filter (level = 'ERROR') over (partition by file_id order by line_no rows between unbounded preceding and 1 preceding), n - 1)::bigint as view_pos from rec join n using (file_id)""")
+def nearest_visible_row_all(spark, sf):
+    rows = parsed_rows(spark, sf)
+    return sequences.nearest(rows.filter("Level = 'ERROR'").select("file_id", "line_no"), rows.select("file_id", F.col("line_no").alias("anchor")))
+
+
 @query(f"with {LOG} select file_id, line_no, level from rec order by file_id, line_no")
 def record_order(spark, sf):
     return parsed_rows(spark, sf).select("file_id", "line_no", F.col("Level").alias("level")).orderBy("file_id", "line_no")

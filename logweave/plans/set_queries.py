@@ -143,6 +143,43 @@ def ranges_normalised(spark, sf):
     return marks.normalise(_ranges(spark, sf, 0))
 
 
+# The queries named ..._all take whole tables; where a query of the same name without _all reads less, its SQL says so.
+EVERY_POINT = "s as (select distinct l_suppkey % 5 as file_id, unnest(range(l_orderkey * 3, l_orderkey * 3 + l_linenumber - 2)) as x from lineitem)"
+
+
+def _every_range(spark, sf):
+    return _ranges(spark, sf, 0).unionByName(_ranges(spark, sf, 1))
+
+
+@query(f"with {EVERY_POINT}, {ISLANDS}")
+def ranges_normalised_all(spark, sf):
+    return marks.normalise(_every_range(spark, sf))
+
+
+@query(f"with {EVERY_POINT} select file_id, count(*) as n from s group by file_id")
+def ranges_size_all(spark, sf):
+    return marks.size(_every_range(spark, sf))
+
+
+def _lower_half(spark, sf):
+    """The lower half of each file's own extent."""
+    extent = _every_range(spark, sf).filter("start <= end").groupBy("file_id").agg(F.min("start").alias("start"), F.max("end").alias("__z"))
+    return extent.select("file_id", "start", F.floor((F.col("start") + F.col("__z")) / 2).alias("end"))
+
+
+LOWER = "ext as (select file_id, (min(x) + max(x)) // 2 as mid from (select * from a union all select * from b) group by file_id), al as (select a.* from a join ext using (file_id) where x <= mid), bl as (select b.* from b join ext using (file_id) where x <= mid)"
+
+
+@query(f"with {POINTS}, {LOWER}, s as (select * from (select * from a except select * from al) union select * from bl), {ISLANDS}")
+def ranges_restore_all(spark, sf):
+    return marks.restore(_ranges(spark, sf, 0), _ranges(spark, sf, 1), _lower_half(spark, sf))
+
+
+@query(f"with {POINTS}, {LOWER}, open as (select distinct file_id from (select * from bl except select * from a)), s as ((select * from a union select * from bl where file_id in (from open)) except select * from bl where file_id not in (from open)), {ISLANDS}")
+def ranges_toggle_all(spark, sf):
+    return marks.toggle(_ranges(spark, sf, 0), marks.intersect(_ranges(spark, sf, 1), _lower_half(spark, sf)))
+
+
 @query(_set_query("select * from a union select * from b"))
 def ranges_union(spark, sf):
     return marks.union(_ranges(spark, sf, 0), _ranges(spark, sf, 1))
@@ -199,6 +236,28 @@ def selection_export(spark, sf):
     return marks.export(parsed_rows(spark, sf), _marks(spark, sf))
 
 
+def _every_mark(spark, sf):
+    return table(spark, sf, "orders").select((F.col("o_orderkey") % 3).alias("file_id"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 9).alias("end"))
+
+
+EVERY_MARK = f"{LOG}, m as (select distinct o_orderkey % 3 as file_id, unnest(range(o_orderkey, o_orderkey + o_custkey % 9 + 1)) as line_no from orders)"
+
+
+@query(f"with {EVERY_MARK} select file_id, line_no, text from rec semi join m using (file_id, line_no)")
+def marked_rows_all(spark, sf):
+    return marks.members(parsed_rows(spark, sf), _every_mark(spark, sf)).select("file_id", "line_no", "text")
+
+
+@query(f"with {EVERY_MARK} select file_id, line_no from rec semi join m using (file_id, line_no) where level <> 'VIEW'")
+def visible_marks_all(spark, sf):
+    return filters.Filter().add("Level", ["VIEW"]).apply(marks.members(parsed_rows(spark, sf), _every_mark(spark, sf))).select("file_id", "line_no")
+
+
+@query(f"with {EVERY_MARK} select text as value from rec semi join m using (file_id, line_no)")
+def selection_export_all(spark, sf):
+    return marks.export(parsed_rows(spark, sf), _every_mark(spark, sf))
+
+
 @query("select distinct user_id as value from events where user_id not in (select o_custkey from orders)")
 def values_except(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("value")).subtract(table(spark, sf, "orders").select("o_custkey"))
@@ -266,7 +325,7 @@ PLAIN = "p as (select event_id, event_type || ' by user ' || user_id as s from e
 
 @query(f"with {PLAIN} select event_id as line_no, s as decoded from p where event_id % 3 = 0")
 def base64_payloads(spark, sf):
-    return payloads.base64(_coded(spark, sf).filter("line_no % 3 = 0")).select("line_no", "decoded")
+    return payloads.base64(_coded(spark, sf)).select("line_no", "decoded")
 
 
 @query(f"with {PLAIN} select event_id as line_no, s as decoded from p where event_id % 3 = 1 and not regexp_matches(hex(s), '^[0-9]+$')")
@@ -281,8 +340,7 @@ def pem_payloads(spark, sf):
 
 @query(f"with {PLAIN} select case event_id % 3 when 0 then 'base64' when 1 then 'hex' else 'pem' end as kind, count(*) as n, count(distinct s) as n_distinct from p where event_id % 3 <> 1 or not regexp_matches(hex(s), '^[0-9]+$') group by 1")
 def payload_kinds(spark, sf):
-    d = _coded(spark, sf)
-    return payloads.kinds(d.filter("line_no % 3 <> 2"), wanted=("base64", "hex")).unionByName(payloads.kinds(d, wanted=("pem",)))
+    return payloads.kinds(_coded(spark, sf))
 
 
 @query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p where event_id % 3 < 2")
@@ -290,16 +348,37 @@ def decoded_text(spark, sf):
     return payloads.decoded_text(_coded(spark, sf).filter("line_no % 3 < 2")).select("line_no", "decoded")
 
 
+@query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when event_id % 3 = 2 then 'key -----BEGIN DATA-----\\n' || to_base64(s::blob) || '\\n-----END DATA-----' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p")
+def decoded_text_all(spark, sf):
+    return payloads.decoded_text(_coded(spark, sf)).select("line_no", "decoded")
+
+
 @query("select event_id as line_no, event_type || ' at home' as decoded from events where event_id % 5 = 0")
 def glued_base64(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 5 = 0")
+    return _glued(table(spark, sf, "events").filter("event_id % 5 = 0"))
+
+
+@query("select event_id as line_no, event_type || ' at home' as decoded from events")
+def glued_base64_all(spark, sf):
+    return _glued(table(spark, sf, "events"))
+
+
+def _glued(e):
     d = e.select(F.lit(0).alias("file_id"), F.col("event_id").alias("line_no"), F.concat(F.lit("img/"), F.regexp_replace(F.base64(F.concat("event_type", F.lit(" at home")).cast("binary")), "=", "")).alias("text"))
-    return payloads.glued_base64(d).filter("decoded like '% at home'").select("line_no", "decoded")
+    return payloads.glued_base64(d).select("line_no", "decoded")
 
 
 @query("select event_id, json_extract_string(props, '$.k') || ' of user ' || user_id as decoded from events where event_id % 4 = 0")
 def decoded_leaves(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 4 = 0")
+    return _coded_leaves(table(spark, sf, "events").filter("event_id % 4 = 0"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') || ' of user ' || user_id as decoded from events where json_extract_string(props, '$.k') is not null")
+def decoded_leaves_all(spark, sf):
+    return _coded_leaves(table(spark, sf, "events"))
+
+
+def _coded_leaves(e):
     inner = F.concat(F.get_json_object("props", "$.k"), F.lit(" of user "), F.col("user_id").cast("string"))
     made = e.select("event_id", F.to_json(F.struct(F.base64(inner.cast("binary")).alias("data"))).alias("payload"))
     return payloads.base64_values(payloads.leaves(made, keys=("event_id",)), "value", ("event_id",))

@@ -74,6 +74,13 @@ def facet_counts(merged: DataFrame, name: str) -> DataFrame:
     return merged.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
 
 
+def field_counts(sources: list[Source]) -> DataFrame:
+    """ord, name, indexed, n of each merged field: n rows of all sources hold a value of it."""
+    schema = merged_schema(sources)
+    counted = align(sources).agg(*[F.count_if(F.col(n) != "").alias(f"n{i}") for i, (n, _, _) in enumerate(schema)])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(x).alias("indexed"), F.col(f"n{i}").alias("n")) for i, (n, x, _) in enumerate(schema)])))
+
+
 def search(merged: DataFrame, found: dict[int, DataFrame], thread: tuple[str, str, int] | None = None) -> DataFrame:
     """Merged rows that each source's own search found (line_no per source); a thread (field, value, source) focuses
     within its source only."""

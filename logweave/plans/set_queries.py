@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 def _sources(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("line_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_norm"), F.upper("event_type").alias("Level"), F.concat(F.lit("T-"), F.col("user_id").cast("string")).alias("Thread"), F.col("props").alias("Message"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("line_no"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 800_000_000_000_000).alias("ts_norm"), F.col("o_orderstatus").alias("severity"), F.concat(F.lit("T-"), F.col("o_custkey").cast("string")).alias("thread"), F.col("o_orderpriority").alias("Text"), F.lit("orders").alias("Component"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.lit(0).cast("long").alias("ts_norm"), F.substring("text", 1, 20).alias("text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.lit(0).cast("long").alias("ts_norm"), F.col("text"))
     return [
         merge.Source(e, ("Level", "Thread", "Message"), frozenset({"Level", "Thread"}), True),
         merge.Source(o, ("severity", "thread", "Component", "Text"), frozenset({"thread", "Component"}), True),
@@ -50,6 +50,15 @@ def _small(df):
 
 @query(f"with {MERGED} select pos, source_ix, line_no, severity, thread, component, message from merged")
 def merged_logs(spark, sf):
+    brief = F.when(F.col("source_ix") == 2, F.substring("message", 1, 20)).otherwise(F.col("message"))  # as its SQL shows documents
+    return merged_logs_all(spark, sf).withColumn("message", brief)
+
+
+WHOLE_MERGED = MERGED.replace("substr(text, 1, 20)", "coalesce(text, '')")
+
+
+@query(f"with {WHOLE_MERGED} select pos, source_ix, line_no, severity, thread, component, message from merged")
+def merged_logs_all(spark, sf):
     return _small(merge.merge(_sources(spark, sf)).drop("source_timed", "ts_norm"))
 
 
@@ -67,6 +76,13 @@ def merged_schema(spark, sf):
     return spark.createDataFrame(rows, "ord int, name string, indexed boolean").join(some, F.lit(True), "left_semi")
 
 
+@query(f"""with {WHOLE_MERGED}, c as (select count(nullif(severity, '')) as s, count(nullif(thread, '')) as t, count(nullif(message, '')) as m, count(nullif(component, '')) as c from merged)
+select 0 as ord, 'Severity' as name, true as indexed, s as n from c union all select 1, 'Thread', true, t from c union all select 2, 'Message', false, m from c union all select 3, 'Component', true, c from c""")
+def merged_schema_all(spark, sf):
+    counts = merge.field_counts(_sources(spark, sf))
+    return counts.withColumn("name", F.when(F.col("name") == "severity", "Severity").otherwise(F.col("name")))
+
+
 @query(f"with {MERGED} select pos, source_ix from merged where not (source_ix in (0, 1) and thread in ('T-8', 'T-899'))")
 def merged_exclusions(spark, sf):
     m = merge.merge(_sources(spark, sf))

@@ -37,3 +37,15 @@ def test_detectors_meet_every_kind_of_line(spark, name, monkeypatch):
         monkeypatch.setattr(payloads, f, lambda rows, *a, real=getattr(payloads, f), **b: (seen.append(rows), real(rows, *a, **b))[1])
     assert same(spark, name) > 0
     assert all({r.k for r in rows.selectExpr("line_no % 3 as k").distinct().collect()} == {0, 1, 2} for rows in seen) and seen
+
+
+@pytest.mark.parametrize("name", ["merged_logs", "merged_schema"])
+def test_merges_carry_whole_texts(spark, name):
+    assert same(spark, f"{name}_all") > 0
+
+
+def test_merged_sources_are_whole(spark):
+    from logweave.plans import set_queries
+
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("max(length(text))").first()[0]
+    assert set_queries._sources(spark, SMALL)[2].rows.selectExpr("max(length(text))").first()[0] == d > 20

@@ -1,7 +1,7 @@
 """License scans (operator 8): ordered signature rules, with DataFrame functions only.
 
-Hundreds of signature regexes come from families of license names times forms of notice times versions. A cheap gate on
-the raw text picks the documents that can hold any; a keyword picks the rules that can match in them; each match is an
+Signature regexes come from families of license names times forms of notice times versions, from SPDX identifiers (any
+operand of a tag's expression), and from passages of license bodies. A cheap gate on the raw text picks the documents that can hold any; a keyword picks the rules that can match in them; each match is an
 interval of the normalised words. Within a document an interval is suppressed by one that contains it and whose rule has
 at least its priority, so "licensed under the apache license version 2 0" leaves one detection and not four.
 
@@ -30,7 +30,8 @@ FAMILIES = [
     ("gnu", "gnu affero general public licen[sc]e", "agpl"),
     ("gnu", "gnu free documentation licen[sc]e", "gfdl"),
     ("apache", "apache (?:software )?licen[sc]e", "apache"),
-    ("mit", "(?:mit|expat) licen[sc]e", "mit"),
+    ("mit", "mit licen[sc]e", "mit"),
+    ("expat", "expat licen[sc]e", "mit"),
     ("bsd", "(?:2 clause |3 clause |4 clause |simplified |new |modified )?bsd licen[sc]e", "bsd"),
     ("mozilla", "mozilla public licen[sc]e", "mpl"),
     ("eclipse", "eclipse public licen[sc]e", "epl"),
@@ -71,21 +72,67 @@ FAMILIES = [
     ("agpl", "agpl", "agpl"),
 ]
 #: What stands before a name (empty: nothing), the rule's priority and its confidence.
-FORMS = [("", 1, 0.5), ("(?:licen[sc]ed|released|distributed|available|published) under (?:an? |the )?(?:terms of (?:an? |the )?)?", 2, 0.9), ("spdx licen[sc]e identifier ", 3, 1.0)]
+FORMS = [("", 1, 0.5), ("(?:licen[sc]ed|released|distributed|available|published) under (?:an? |the )?(?:terms of (?:an? |the )?)?", 2, 0.9)]
 #: What stands after it, whether the version goes to the label.
 VERSIONS = [("", False), (" (?:version |v )?[0-9]+(?: [0-9]+)?(?= )", True)]
+#: SPDX identifiers in normalised words, label, whether the identifier has a version.
+SPDX = [
+    ("mit", "mit", False), ("apache", "apache", True), ("0bsd", "bsd", False), ("bsd [1-4] clause", "bsd", False), ("isc", "isc", False), ("zlib", "zlib", False),
+    ("gpl", "gpl", True), ("lgpl", "lgpl", True), ("agpl", "agpl", True), ("gfdl", "gfdl", True), ("mpl", "mpl", True), ("epl", "epl", True),
+    ("cddl", "cddl", True), ("cpl", "cpl", True), ("eupl", "eupl", True), ("ms pl", "ms-pl", False), ("ms rl", "ms-rl", False), ("bsl", "bsl", True),
+    ("artistic", "artistic", True), ("(?:python|psf)", "psf", True), ("afl", "afl", True), ("osl", "osl", True), ("ofl", "ofl", True), ("odbl", "odbl", True),
+    ("php", "php", True), ("ruby", "ruby", False), ("postgresql", "postgresql", False), ("vim", "vim", False), ("w3c", "w3c", False), ("openssl", "openssl", False),
+    ("unlicense", "unlicense", False), ("cc0", "cc0", True), ("cc by", "cc-by", True), ("cc by sa", "cc-by-sa", True), ("cc by nc", "cc-by-nc", True),
+    ("cc by nd", "cc-by-nd", True), ("cc by nc sa", "cc-by-nc-sa", True), ("cc by nc nd", "cc-by-nc-nd", True),
+]
+SPDX_VERSION = " [0-9](?: [0-9]{1,2})?"
+
+
+def _up_to(n: int, piece: str) -> str:
+    """At most n pieces, as Java's look-behind takes them."""
+    return f"(?:{piece}{_up_to(n - 1, piece)})?" if n else ""
+
+
+#: An operand before the one looked for, with its AND or OR.
+OPERAND = f"(?:{'|'.join(n for n, _, _ in reversed(SPDX))})(?:{SPDX_VERSION})?(?: only| or later)?(?: with {_up_to(4, '[^ ]{1,20} ')}exception(?:{SPDX_VERSION})?)? (?:and|or) "
+#: keyword, passage in normalised words, label, whether it ends with a version.
+FREE = "is free software you can redistribute it and or modify it under the terms of the gnu "
+BODIES = [
+    ("hereby", "permission is hereby granted free of charge to any person obtaining a copy", "mit", False),
+    ("hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy", "bsl", False),
+    ("hereby", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that", "isc", False),
+    ("hereby", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software", "bsd", False),
+    ("hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "postgresql", False),
+    ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd", False),
+    ("plainly", "altered source versions must be plainly marked as such", "zlib", False),
+    ("unencumbered", "this is free and unencumbered software released into the public domain", "unlicense", False),
+    ("deed", "associated a work with this deed has dedicated the work to the public domain", "cc0", False),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one", "mpl", False),
+    ("applicable", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", "apache", False),
+]
+for _kind, _label in (("", "gpl"), ("(?:lesser|library) ", "lgpl"), ("affero ", "agpl")):
+    BODIES.append(("gnu", f"{FREE}{_kind}general public licen[sc]e", _label, False))
+    BODIES.append(("gnu", f"{FREE}{_kind}general public licen[sc]e as published by the free software foundation either version [0-9](?: [0-9])?", _label, True))
 #: Raw lower-case pieces of which every rule needs one.
-GATES = ["licen", "gpl", "creative", "public", "spdx", "cc0"]
+GATES = ["licen", "gpl", "creative", "public", "spdx", "cc0", "hereby", "redistribution", "plainly", "mpl"]
 CC_BY = rf"(?i)(?<!{RAW_WORD[:-1]})cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by(?!{RAW_WORD[:-1]})"
 
 
 def rules() -> list[tuple[int, str, str, str, bool, int, float]]:
-    """id, keyword, regex, label, whether a version follows, priority, confidence: for each family, form and version."""
+    """id, keyword, regex, label, whether it ends with a version, priority, confidence: for each family, form and version, each
+    SPDX identifier with and without version, and each passage of a body. An identifier is looked up behind its own end, so
+    only where one stands."""
     out = []
     for keyword, name, label in FAMILIES:
         for before, priority, sure in FORMS:
             for after, versioned in VERSIONS:
                 out.append((len(out), keyword, f"(?<= ){before}{name}{after}(?= )", label, versioned, priority, min(1.0, sure + 0.1 * versioned)))
+    for name, label, has_version in SPDX:
+        for version in ("", SPDX_VERSION)[: 1 + has_version]:
+            behind = f"(?<= spdx licen[sc]e identifier {_up_to(3, OPERAND)}{name}{version})"
+            out.append((len(out), "spdx", f"(?<= ){name}{version}(?= ){behind}", label, bool(version), 3, 1.0))
+    for keyword, passage, label, versioned in BODIES:
+        out.append((len(out), keyword, f"(?<= ){passage}(?= )", label, versioned, 2, 0.9))
     return out
 
 
@@ -120,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = base.select("uid", F.size(found).cast("long").alias("n_base"), F.array_min(found).alias("first_word"), F.array_max(found).alias("last_word"), F.array_sort(F.array_distinct(names)).alias("base"))
 
     table_of = spark.createDataFrame(rules(), "rule int, keyword string, regex string, label string, versioned boolean, priority int, sure double")
-    keywords = sorted({f[0] for f in FAMILIES})
+    keywords = sorted({r[1] for r in rules()})
     norm = some.select("uid", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("norm"))
     keyed = norm.withColumn("keyword", F.explode(F.filter(F.array(*[F.when(F.col("norm").contains(f" {k} "), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())))
     tried = keyed.join(F.broadcast(table_of), "keyword").filter(F.expr("norm rlike regex"))  # a fixed table of some hundred rules
@@ -133,7 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = each.select("uid", "rule", label.alias("label"), "priority", "sure", start.alias("start"), (start + F.length("z.m")).alias("end"))
     earlier = Window.partitionBy("uid").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
-    for level in sorted({f[1] for f in FORMS}):
+    for level in sorted({r[5] for r in rules()}):
         reach = F.max(F.when(F.col("priority") >= level, F.col("end"))).over(earlier)
         inside = inside | ((F.col("priority") == level) & F.coalesce(reach >= F.col("end"), F.lit(False)))
     left = spans.withColumn("inside", inside).filter("not inside").groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("sure").alias("sure"))

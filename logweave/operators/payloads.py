@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.storage import settled
+
 KEYS = ("file_id", "line_no")
 BASE64 = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])"
 PEM = r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[rn]|[A-Za-z0-9+/=])+)-----END \1-----"
@@ -144,20 +146,48 @@ def terms(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return out
 
 
-def leaves(rows: DataFrame, payload: str = "payload", keys=KEYS, depth: int = 4) -> DataFrame:
-    """keys, path, value of every JSON value, names never; nested to ``depth``."""
+def _xml_leaves(text: str) -> Iterator[tuple[str, str]]:
+    """Path and value of the attributes and texts of an XML element, blank texts left out; nothing if it isn't XML."""
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(text.strip())
+    except (ElementTree.ParseError, ValueError):
+        return
+    todo = [(root, f"$.{root.tag}")]
+    while todo:
+        e, path = todo.pop()
+        yield from ((f"{path}.@{k}", v) for k, v in e.attrib.items())
+        yield from ((path, t) for t in (e.text, *(c.tail for c in e)) if t and t.strip())
+        todo += [(c, f"{path}.{c.tag}") for c in e if isinstance(c.tag, str)]
+
+
+def leaves(rows: DataFrame, payload: str = "payload", keys=KEYS) -> DataFrame:
+    """keys, path, value of every JSON value, names never, and of every XML text and attribute (``@name``), however deep.
+    JSON is opened level by level until nothing is nested; each level is written."""
     spark = rows.sparkSession
-    level = rows.select(*keys, F.lit("$").alias("path"), F.try_parse_json(payload).alias("v")).filter("v is not null")
-    out = None
-    for _ in range(depth + 1):
+    both = rows.select(*keys, F.col(payload).alias("__p"), F.try_parse_json(payload).alias("v"))
+    xml = both.filter("v is null").filter(F.col("__p").rlike(r"^\s*<")).select(*keys, "__p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(t, p, v) for t in b.column(0).to_pylist() for p, v in _xml_leaves(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*got, strict=True)) or [()] * 3)], ["__p", "path", "value"])
+
+    found = xml.select("__p").distinct().mapInArrow(run, "__p string, path string, value string")
+    out = xml.join(found, "__p").select(*keys, "path", "value")
+    level = both.filter("v is not null").select(*keys, F.lit("$").alias("path"), "v")
+    while True:
+        level = settled(level, "leaves")
         kind = F.schema_of_variant("v")
-        flat = level.filter(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = flat if out is None else out.unionByName(flat)
-        nested = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        out = out.unionByName(level.filter(~inner).select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value")))
+        nested = level.filter(inner)
+        if nested.isEmpty():
+            return out
         name = f"leaves_{id(nested)}"
         nested.createOrReplaceTempView(name)
         level = spark.sql(f"select {', '.join(keys)}, concat(path, coalesce(concat('.', e.key), '[]')) as path, e.value as v from {name}, lateral variant_explode(v) as e")
-    return out
 
 
 def _balanced(text: str) -> Iterator[tuple[int, int, str]]:

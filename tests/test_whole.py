@@ -11,7 +11,7 @@ WHOLE = ["glued_base64", "decoded_leaves", "decoded_text", "marked_rows", "visib
 
 def same(spark, name, sf=SMALL):
     db = duckdb.connect()
-    for t in ("events", "orders", "documents", "lineitem"):
+    for t in ("events", "orders", "documents", "lineitem", "nation"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     wanted = db.execute(entry.oracle_sql()[name])
     names = [c[0] for c in wanted.description]
@@ -74,3 +74,21 @@ def test_license_signatures(spark):
     texts = list(LICENSED)
     out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {texts[r.doc_id]: r.labels for r in out} == LICENSED
+
+
+def test_leaves_of_any_depth_and_xml(spark):
+    from logweave.operators import payloads
+
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":[1,{"g":"x"}]}}}}}}'
+    texts = [deep, '{"k": 2}', "[]", "no payload", '<r id="7"><a>one<b/>two</a><c x="y"> </c></r>', "<broken", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, payload string")
+    out = sorted((r.id, r.path, r.value) for r in payloads.leaves(d, keys=("id",)).collect())
+    assert out == [
+        (0, "$.a.b.c.d.e.f[]", "1"), (0, "$.a.b.c.d.e.f[].g", "x"), (1, "$.k", "2"),
+        (4, "$.r.@id", "7"), (4, "$.r.a", "one"), (4, "$.r.a", "two"), (4, "$.r.c.@x", "y"),
+    ]
+
+
+@pytest.mark.parametrize("name", ["payload_leaves", "payload_code_join", "decoded_leaves", "decoded_leaves_all"])
+def test_leaves_equal_their_sql(spark, name):
+    assert same(spark, name) > 0

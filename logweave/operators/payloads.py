@@ -136,16 +136,45 @@ def pairs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return found.select(*keys, "i", F.regexp_extract("token", PAIR, 1).alias("key"), value.alias("value"))
 
 
+def _brackets(text: str) -> Iterator[str]:
+    """Contents of every matched pair of [ ], < > and ( ), nested ones too, unless blank."""
+    open_at: dict[str, list[int]] = {"]": [], ">": [], ")": []}
+    closing = {"[": "]", "<": ">", "(": ")"}
+    for i, c in enumerate(text):
+        if c in closing:
+            open_at[closing[c]].append(i + 1)
+        elif c in open_at and open_at[c]:
+            inner = text[open_at[c].pop() : i]
+            if inner.strip():
+                yield inner
+
+
 def terms(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, kind, term: contents of brackets (innermost), quoted strings, Windows paths and tokens."""
-    patterns = {"bracket": (r"[\[<(]([^\[\]<>()]+)[\]>)]", 1), "quoted": (r"\"([^\"]+)\"", 1), "path": (r"[A-Za-z]:\\(?:[\w .-]+\\)*[\w.-]+", 0)}
-    out = None
-    for kind, (p, group) in patterns.items():
+    """keys, kind, term: contents of brackets (nested ones too), quoted strings and Windows paths. Only distinct texts that
+    hold a bracket reach Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(t, x) for t in b.column(0).to_pylist() for x in _brackets(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*got, strict=True)) or [()] * 2)], ["__text", "term"])
+
+    some = rows.filter(F.col(text).rlike(r"[\])>]")).select(*keys, F.col(text).alias("__text"))
+    found = some.select("__text").distinct().mapInArrow(run, "__text string, term string")
+    out = some.join(found, "__text").select(*keys, F.lit("bracket").alias("kind"), "term")
+    for kind, (p, group) in {"quoted": (r"\"([^\"]+)\"", 1), "path": (r"[A-Za-z]:\\(?:[\w .-]+\\)*[\w.-]+", 0)}.items():
         part = rows.filter(F.col(text).rlike(p)).select(*keys, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(group))).alias("term"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
+def tokens(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
+    """keys, kind, term of the tokens: letters, digits, ``_ . -`` and apostrophes inside words, without dots before or
+    dots and hyphens after them."""
+    p = r"(?:[\p{L}\p{Nd}_.-]|(?<=[\p{L}\p{Nd}])'(?=[\p{L}\p{Nd}]))+"
+    trimmed = F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda t: F.regexp_replace(t, r"^\.+|[.-]+$", ""))
+    return rows.select(*keys, F.lit("token").alias("kind"), F.explode(trimmed).alias("term")).filter("term <> ''")
+
+
 def _xml_leaves(text: str) -> Iterator[tuple[str, str]]:
     """Path and value of the attributes and texts of an XML element, blank texts left out; nothing if it isn't XML."""
     from xml.etree import ElementTree

@@ -92,3 +92,18 @@ def test_leaves_of_any_depth_and_xml(spark):
 @pytest.mark.parametrize("name", ["payload_leaves", "payload_code_join", "decoded_leaves", "decoded_leaves_all"])
 def test_leaves_equal_their_sql(spark, name):
     assert same(spark, name) > 0
+
+
+def test_terms_of_nested_brackets(spark):
+    from logweave.operators import payloads
+
+    texts = ["[a (b)]", "(x (y) z) [ ] <<t>", 'plain "q"', "[open", None]
+    d = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "file_id long, line_no long, text string")
+    out = sorted((r.line_no, r.kind, r.term) for r in payloads.terms(d).collect())
+    assert out == [(0, "bracket", "a (b)"), (0, "bracket", "b"), (1, "bracket", "t"), (1, "bracket", "x (y) z"), (1, "bracket", "y"), (2, "quoted", "q")]
+    said = spark.createDataFrame([(0, 0, "..got a-b.c- [x_1], don't ... é"), (0, 1, None)], "file_id long, line_no long, text string")
+    assert [r.term for r in payloads.tokens(said).collect()] == ["got", "a-b.c", "x_1", "don't", "é"]
+
+
+def test_text_terms_equal_their_sql(spark):
+    assert same(spark, "text_terms") > 0

@@ -13,16 +13,21 @@ Candidates are checked exactly. Each set has a sketch of 512 parities, and two s
 as their sketches in bits; pairs that differ in too many are not candidates. First each class is checked with a few
 leaders, the closest by sketch of those drawn by hash for each key, which joins large groups of near copies in about as many checks as they have
 members. Then every candidate pair whose classes are not in one component yet is checked, each key comparing the members
-outside its largest component with all others, so no component is missed and no group is expanded into all its pairs.
+outside its largest component with all others, so no component is missed and no group is expanded into all its pairs. A key with many members is joined in tiles of
+``TILE`` members a side. ``all_links=True`` checks every candidate pair, also inside components, and counts the links of
+each document: exact, but as much work as there are links between different texts.
 
 Defined cases: texts without words, empty and null texts have no shingles and are linked with nothing; fewer than five
 words form one shingle; rows with a null doc_id have component null and link with nothing; repeated rows have equal sets;
-other columns are ignored; an empty table gives an empty result. Shingles are 64-bit fingerprints of words; equal
+if one id stands on different texts, each text is a document of its own and no link of any is lost; other columns are
+ignored; an empty table gives an empty result. Shingles are 64-bit fingerprints of words; equal
 fingerprints are taken as equal shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,17 +35,19 @@ from pyspark.sql import functions as F
 
 from logweave.llm import kernels as K
 from logweave.llm.common import settled, table
-from logweave.llm.parts import ASKED, Short, answer, answered, ask, holders, lay_out
+from logweave.llm.parts import Short, answer, answered, ask, holders, lay_out, scaled
 
 WORDS, PERCENT = 5, 80
 #: Set sizes at which small sets may end.
 BOUNDARIES = [0, 8, 16, 32, 64, 128]
 #: Leaders drawn for each key, and those of them that a class is checked with at first.
 DRAWN, LEADERS = 8, 4
+#: Members of a key on each side of a tile.
+TILE = 2_000
 U = np.uint64
 SKETCH = [f"s{i}" for i in range(8)]
-_SCHEMA = "doc_id long, n long, f1 long, f2 long, prefix array<long>, listed int, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("listed", pa.int32()), ("tokens", pa.list_(pa.int64())), *[(c, pa.int64()) for c in SKETCH]])
+_SCHEMA = "doc_id long, digest string, n long, f1 long, f2 long, prefix array<long>, listed int, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("listed", pa.int32()), ("tokens", pa.list_(pa.int64())), *[(c, pa.int64()) for c in SKETCH]])
 
 
 def shingle_sets(column, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +99,7 @@ def _signatures(buckets: int, percent: int):
         short = Short(flat[held], buckets)
         seen = answered(answers, 1).astype(np.int64)
         counts = np.ones(len(flat), np.int64)
-        counts[held] = np.where(seen > 1, seen, short.counts)[short.of] if len(short.of) else 0
+        counts[held] = np.where(seen > 1, seen, scaled(short.counts))[short.of] if len(short.of) else 0
         sizes = np.diff(bounds)
         alone = np.concatenate([[0], np.cumsum(counts < 2)])
         alone = alone[bounds[1:]] - alone[bounds[:-1]]
@@ -114,7 +121,8 @@ def _signatures(buckets: int, percent: int):
             tokens.append(own.view(np.int64))
             parity = np.bincount((own & U(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
             sketch[i] = np.packbits(parity.astype(np.uint8)).view(np.int64)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(prefix, pa.list_(pa.int64())), pa.array(listed, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], schema=_ARROW)
+        digests = [hashlib.md5((t or "").encode(), usedforsecurity=False).hexdigest() for t in rows.column("text").to_pylist()]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(prefix, pa.list_(pa.int64())), pa.array(listed, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], schema=_ARROW)
 
     return run
 
@@ -179,18 +187,34 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, class_id, component_id) and the links between classes (a, b) that were checked.
+def _tiled(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of members of each key (columns kind, key, x, y), no task with more than TILE members of a key on a side."""
+    key = ["kind", "key"]
+    tiles = lambda d, c: d.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias(c))
+    both = tiles(x, "__nx").join(tiles(y, "__ny"), key)
+
+    def dealt(d: DataFrame, own: str, other: str, n: str, m: str, member: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(f"{member}.id"), F.col(n)).cast("int").alias(own)
+        return d.join(both, key).select(*key, member, mine, F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
+
+    return dealt(x, "__i", "__j", "__nx", "__ny", "x").join(dealt(y, "__j", "__i", "__ny", "__nx", "y"), [*key, "__i", "__j"])
+
 
-    The links connect each component; not every linked pair inside a component is among them.
+def join(docs: DataFrame, percent: int = PERCENT, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, digest of the text, n_shingles, class_id, component, component_id) and links between classes (a, b).
+
+    Equal sets form a class. The links connect each component; with ``all_links`` they are all links between classes, and
+    documents have n_links: the other documents that they link with, those of their own class included.
     """
     parts = lay_out(docs)
     answers = answer(ask(parts, _ask(parts.count)), 1, holders)
-    rows = settled(ask(parts, _signatures(parts.count, percent), answers, _SCHEMA), "signatures")
+    rows = ask(parts, _signatures(parts.count, percent), answers, _SCHEMA).withColumn("uid", F.monotonically_increasing_id())
+    rows = settled(rows, "signatures")  # fixes the numbers
     parts.drop()
     same = ["n", "f1", "f2"]
-    classes = settled(rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
-    sets = rows.filter("size(prefix) > 0").join(classes.select("id"), F.col("doc_id") == F.col("id")).dropDuplicates(["id"])
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("uid").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    classes = settled(classes, "classes")
+    sets = rows.filter("size(prefix) > 0").join(classes.select("id"), F.col("uid") == F.col("id"))
     sets = settled(sets.select("id", "n", "prefix", "listed", "tokens", *SKETCH), "sets")
     small = _boundary(sets)
     keys = settled(_keys(sets, small, percent), "keys")
@@ -206,18 +230,31 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     found = components(one)
     named = settled(keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     sizes = named.groupBy("kind", "key", "component").count()
-    tops = sizes.groupBy("kind", "key").agg(F.count("*").alias("c"), F.max_by("component", F.struct("count", "component")).alias("top")).filter("c > 1").select("kind", "key", "top")
+    tops = sizes.groupBy("kind", "key").agg(F.count("*").alias("c"), F.sum("count").alias("rows"), F.max_by("component", F.struct("count", "component")).alias("top"))
+    tops = tops.filter("rows > 1" if all_links else "c > 1").select("kind", "key", "top")
     left = settled(named.join(tops, ["kind", "key"]), "open")
     side = lambda x: left.select("kind", "key", F.struct("id", "n", "component", "top", *SKETCH).alias(x))
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))) & ((F.col("kind") == "subset") | (F.greatest("x.n", "y.n") > small))
-    cross = side("x").filter("x.component <> x.top").join(side("y"), ["kind", "key"]).filter(apart & _may_link("x.", "y.", percent))
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+    apart = F.col("x.id") < F.col("y.id") if all_links else (F.col("x.component") != F.col("y.component")) & once
+    listed = (F.col("kind") == "subset") | (F.greatest("x.n", "y.n") > small)
+    outside = side("x") if all_links else side("x").filter("x.component <> x.top")
+    cross = _tiled(outside, side("y")).filter(apart & listed & _may_link("x.", "y.", percent))
     more = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     two = settled(_checked(more, sets, percent), "links")
     links = one.unionByName(two)
     final = components(links) if not two.isEmpty() else found
-    named = rows.join(classes, same, "left").join(final.withColumnRenamed("node", "id"), "id", "left")
-    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), links
+    grouped = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    grouped = grouped.join(least, "component")
+    if all_links:
+        ends = links.select("a", "b").union(links.select("b", "a")).toDF("id", "other")
+        weight = ends.join(classes.select(F.col("id").alias("other"), "members"), "other").groupBy("id").agg(F.sum("members").alias("others"))
+        grouped = grouped.join(weight, "id", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("others", F.lit(0)))
+    named = rows.join(grouped.drop("members", "others", "least"), same, "left")
+    own = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if all_links else []
+    documents = named.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), "component", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *counted)
+    return documents, links
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,10 +262,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest of their component, with all columns; rows without an id stay."""
-    kept = join(docs, percent)[0].filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("__id")).drop("__id")
-    once = first.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    """One document of each component, with all columns: that of the smallest id, then of the smallest MD5 of its text.
+
+    Rows with equal id and text (null: empty) are one document: the one whose other columns come first as JSON stays. Rows
+    without an id all stay.
+    """
+    found = join(docs, percent)[0].filter("doc_id = component_id")
+    linked = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", "k.digest")
+    kept = linked.unionByName(found.filter("component is null").select("doc_id", "digest")).distinct()
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    first = docs.join(kept, (F.col("doc_id") == F.col("__id")) & (digest == F.col("__digest")))
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__0")))
+    whole = F.min_by(F.struct(*docs.columns), others)
+    once = first.groupBy("__id", "__digest").agg(whole.alias("__row")).select("__row.*")
     return once.unionByName(docs.filter("doc_id is null"))
 
 

@@ -85,11 +85,16 @@ def _split(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
     return [flags[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts from 1 to 2**31 as one byte in their order: 1 stays 1, then eight steps for each doubling."""
+    return (1 + np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
 def holders(keys: list[bytes], docs: list) -> list[bytes]:
-    """To each 32-bit key the number of parts that hold it, 255 at most."""
+    """To each 32-bit key the number of parts that hold it, ``scaled``."""
     flat = np.concatenate([_columns(k, "<u4") for k in keys])
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    return _split(np.minimum(counts, 255).astype(np.uint8)[inverse], [len(k) // 4 for k in keys])
+    return _split(scaled(counts)[inverse], [len(k) // 4 for k in keys])
 
 
 def earlier(keys: list[bytes], docs: list[bytes]) -> list[bytes]:

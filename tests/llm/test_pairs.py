@@ -47,8 +47,23 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_join_equals_brute_force(spark):
-    rnd = random.Random(3)
+def linked(sets):
+    """Links (a, b) of a list of sets, and the smallest number reachable from each."""
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if (both := len(sets[a] & sets[b])) and 100 * both >= 80 * len(sets[a] | sets[b])]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return links, [root(x) for x in range(len(sets))]
+
+
+def near_copies(rnd):
     words = [f"w{i}" for i in range(400)]
     rows = []
     for i in range(60):
@@ -59,35 +74,57 @@ def test_join_equals_brute_force(spark):
         for _ in range(rnd.randint(0, 6)):
             t[rnd.randrange(len(t))] = "Edit"
         rows.append((100 + k, " ".join(t)))
-    rows += [(200 + k, rows[5][1].upper()) for k in range(5)] + [(300, None), (301, ""), (302, " \n\t"), (303, "one two"), (304, "One  TWO"), (305, "x" * 100_000), (None, rows[5][1]), (None, None), (7, rows[7][1])]
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    up = {i: i for i in sets}
+    rows += [(200 + k, rows[5][1].upper()) for k in range(5)] + [(300, None), (301, ""), (302, " \n\t"), (303, "one two"), (304, "One  TWO"), (305, "x" * 100_000), (306, "u v w x y z " * 20_000), (None, rows[5][1]), (None, None), (7, rows[7][1])]
+    return rows
 
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
+def test_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    rows = near_copies(random.Random(3))
+    sets = {i: shingles(t) for i, t in rows if i is not None}
     ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    out = ngram_join.join(frame(spark, rows))[0].collect()
-    assert len(out) == len(rows)
-    for r in out:
-        if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id)), r
-        else:
-            assert r.component_id is None
+    links, roots = linked([sets[i] for i in ids])
+    root = dict(zip(ids, (ids[r] for r in roots), strict=True))
+    times = {i: sum(d == i for d, _ in rows) for i in ids}
+    count = {i: times[i] - 1 if sets[i] else 0 for i in ids}
+    for a, b in links:
+        count[ids[a]] += times[ids[b]]
+        count[ids[b]] += times[ids[a]]
+    for all_links in (False, True):
+        out = ngram_join.join(frame(spark, rows), all_links=all_links)[0].collect()
+        assert len(out) == len(rows)
+        for r in out:
+            if r.doc_id is not None:
+                assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id]), r
+                assert not all_links or r.n_links == count[r.doc_id], r
+            else:
+                assert r.component_id is None
     kept = ngram_join.one_of_each(frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({root(i) for i in ids})
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
     assert ngram_join.join(frame(spark, []))[0].count() == 0
 
 
+def test_join_loses_no_link_of_an_id_on_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, None), (4, "")]
+    out = sorted((r.doc_id, r.component_id, r.n_shingles) for r in ngram_join.join(frame(spark, rows))[0].collect())
+    assert out == [(1, 1, 56), (1, 1, 56), (2, 1, 57), (3, 1, 57), (4, 4, 0), (4, 4, 0)]
+    assert sorted(r.text or "" for r in ngram_join.one_of_each(frame(spark, rows)).collect()) == ["", a, b]
+    twice = frame(spark, [(1, a)] * 2).unionByName(frame(spark, [(1, a)]).withColumn("lang", F.lit("de")))
+    assert [r.lang for r in ngram_join.one_of_each(twice).collect()] == ["de"]  # first as JSON
+
+
+def test_join_by_subsets_where_they_cost_less(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices("xyz", k=rnd.randint(9, 14)))) for i in range(600)]
+    chosen, choose = [], ngram_join._boundary
+    monkeypatch.setattr(ngram_join, "_boundary", lambda sets: chosen.append(choose(sets)) or chosen[-1])
+    out = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows))[0].collect()}
+    assert chosen[0] > 0
+    assert [out[i] for i in range(600)] == linked([shingles(t) for _, t in rows])[1]
+
+
 def brute_removal(rows, length=50):
     first, out = {}, []
     data = [(i, (t or "").encode()) for i, t in rows]

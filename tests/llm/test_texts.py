@@ -169,26 +169,72 @@ def labelled(spark, n=600):
     return frame(spark, rows + [(9000, None), (9001, ""), (None, "grubby")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def test_toxicity_on_held_out_rows_and_nearest_examples(spark):
+def bag(text):
+    """Terms of a text and how often they occur."""
+    out = {}
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        for t in [w] + [("prefix", w[:n]) for n in toxicity.PREFIXES if len(w) >= n]:
+            out[t] = out.get(t, 0) + 1
+    return out
+
+
+def brute_toxicity(examples, texts, k=toxicity.NEIGHBOURS):
+    """Scores and evidence of ``texts`` by plain TF-IDF cosine with every example: (id, toxic, text)."""
+    bags = [bag(t) for _, _, t in examples]
+    n, prior = len(examples), np.mean([y for _, y, _ in examples])
+    held, toxic = {}, {}
+    for b, (_, y, _) in zip(bags, examples, strict=True):
+        for t in b:
+            held[t], toxic[t] = held.get(t, 0) + 1, toxic.get(t, 0) + y
+
+    def vector(b):
+        v = {t: (1 + np.log(c)) * (np.log((1 + n) / (1 + held.get(t, 0))) + 1) * np.log2(2 + toxic.get(t, 0) / max(1, held.get(t, 0) - toxic.get(t, 0))) for t, c in b.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(b) for b in bags]
+
+    def vote(b, but=None):
+        q = vector(b)
+        cosine = [(round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), i) for i, v in enumerate(vectors) if i != but]
+        best = sorted(((c, i) for c, i in cosine if c > 0), key=lambda x: (-x[0], examples[x[1]][0]))[:k]
+        return (sum(c * examples[i][1] for c, i in best) + prior) / (sum(c for c, _ in best) + 1), [examples[i][0] for _, i in best[:3]]
+
+    own = sorted((vote(b, i)[0], y) for i, (b, (_, y, _)) in enumerate(zip(bags, examples, strict=True)))
+    y = np.array([y for _, y in own], float)
+    fit = np.array([max(min(np.mean(y[a : c + 1]) for c in range(b, n)) for a in range(b + 1)) for b in range(n)])  # min-max form of isotonic regression
+    ends = [b for b in range(n) if b == n - 1 or abs(fit[b + 1] - fit[b]) > 1e-12]
+    starts = [0] + [b + 1 for b in ends[:-1]]
+    edges, rates = [own[b][0] for b in ends], [(y[a : b + 1].sum() + prior) / (b - a + 2) for a, b in zip(starts, ends, strict=True)]
+    return [(float(np.interp(v, edges, rates)), e) for v, e in map(vote, map(bag, texts))]
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = labelled(spark, 160)
+    docs = docs.unionByName(frame(spark, [(5, "other text of five"), (9002, "grubby " * 30_000), (9003, "qqq zzz")]))
+    known = toxicity.sample(docs, labels, toxicity.usable())
+    examples = sorted((r.doc_id, r.toxic, r.text) for r in known.collect())
+    assert {i for i, _, _ in examples} == {i for i in range(160) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 5} | ({5} if zlib.crc32(b"5") % 4 != 2 else set())
+    rows = docs.collect()
+    out = toxicity.score(docs, toxicity.train(docs, labels, toxicity.usable())).collect()
+    assert len(out) == len(rows)
+    want = {}
+    for r, (s, e) in zip(rows, brute_toxicity(examples, [r.text for r in rows]), strict=True):
+        want.setdefault(r.doc_id, []).append((round(s, 6), e))
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append((round(r.score, 6), r.evidence))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
+def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     m = toxicity.train(docs, labels, toxicity.usable())
     out = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(out[i].score >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held]) > 0.97
-    assert out[9000].score == out[9001].score == m.base and out[None].score >= toxicity.THRESHOLD and len(out) == 603
+    assert out[9000].score == out[9001].score == m.calibrated(m.prior) and out[9000].evidence == [] and out[None].score >= toxicity.THRESHOLD and len(out) == 603
     assert {r.doc_id for r in toxicity.clean(docs, m).collect()} == {i for i, r in out.items() if r.score < toxicity.THRESHOLD}
-    # the block-max search finds what a full scan finds
-    dense = np.zeros((len(m.ids), len(m.keys)))
-    for t in range(len(m.keys)):
-        for p in range(m.from_[m.first[t]], m.from_[m.first[t + 1]]):
-            dense[m.example[p], t] = m.weight[p]
-    rnd = np.random.default_rng(0)
-    for _ in range(40):
-        terms = np.sort(rnd.choice(len(m.keys), min(4, len(m.keys)), replace=False))
-        w = m.vector(terms, np.ones(len(terms)))
-        example, score = m.nearest(terms, w, 5)
-        full = dense[:, terms] @ w
-        assert np.allclose(score, np.sort(full[full > 0])[::-1][:5])
     none = toxicity.train(docs, labels.filter("doc_id < 0"), toxicity.usable())
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.filter("doc_id < 0"), m).count() == 0

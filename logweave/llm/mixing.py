@@ -1,8 +1,9 @@
 """Mixing sources to target weights (operator 6), with DataFrame functions only.
 
 Tokens are summed per source, targets give each source a repetition rate, and a document is emitted floor(rate) times
-plus one copy drawn by a hash with probability equal to the fraction. Eight independent draws come from one digest of
-the document id; each source uses the draw whose total is nearest its target, so that small sources don't drift.
+plus one copy drawn by a hash of its id with probability equal to the fraction. The words taken of a source differ from its
+target by sqrt(sum of size**2 * fraction * (1 - fraction)) in the mean: 1 % for 1,700 documents of the test corpus, 10 %
+for 50.
 
 Defined cases: a null text has size 0; null sources form one source that comes last; a source without words gets target
 0 and its documents are taken 0 times; repeated rows are drawn alike; other columns are passed through by ``mix`` and
@@ -18,8 +19,6 @@ from logweave.llm.common import WORD, running_totals, settled, table
 
 #: Weights of the sources in code point order, repeating; share of all sizes to take; most repeats of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Draws to choose from for each source: eight 32-bit numbers of one SHA-256.
-DRAWS = 8
 #: Salts of the join with the table of sources, against a source that holds a third of all rows.
 SALTS = 16
 
@@ -56,23 +55,14 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     goal = settled(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
-    def copies(i) -> F.Column:
-        draw = F.conv(F.substring(F.col("__h"), 8 * i + 1, 8), 16, 10).cast("double") / float(2**32)
-        return F.floor(F.col("__rate")) + (draw < F.col("__rate") - F.floor(F.col("__rate"))).cast("long")
-
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")
     known = ["__null", "__key", "__salt"]
     keyed = lambda d: d.withColumn("__null", F.col("source").isNull()).withColumn("__key", F.coalesce("source", F.lit("")))
     right = keyed(goal.withColumn("__rate", rate)).drop("source").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rated = keyed(sized.withColumn("__salt", salt)).join(right, known)
-    sums = rated.groupBy("__null", "__key").agg(F.first("target").alias("__target"), *[F.sum(F.col("size") * copies(i)).alias(f"__s{i}") for i in range(DRAWS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"__s{i}") - F.col("__target")).alias("gap"), F.lit(i).alias("i")) for i in range(DRAWS)]))["i"]
-    chosen = sums.select("__null", "__key", best.alias("__draw")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    digits = F.substring(F.col("__h"), F.col("__draw") * 8 + 1, F.lit(8))
-    draw = F.conv(digits, 16, 10).cast("double") / float(2**32)
-    out = rated.join(settled(chosen, "draws"), known)
+    draw = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / float(2**32)
     n = (F.floor(F.col("__rate")) + (draw < F.col("__rate") - F.floor(F.col("__rate"))).cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", n).withColumn("taken", F.col("size") * F.col("copies"))
+    return rated.select("doc_id", "source", "size", "source_size", "target", n).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -113,10 +103,6 @@ rated as (
   select s.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate
   from sized s join goal g on s.source is not distinct from g.source),
 drawn as (
-  select r.*, i, floor(rate)::bigint + (('0x' || substr(h, 8 * i::int + 1, 8))::bigint / 4294967296::double < rate - floor(rate))::bigint as copies
-  from rated r, range(0, 8) t(i)),
-sums as (select source, i, abs(sum(size * copies) - any_value(target)) as gap from drawn group by source, i),
-best as (select source, arg_min(i, (gap, i)) as i from sums group by source)
-select d.doc_id, d.size, d.source_size, d.target, (d.size * d.copies)::bigint as taken
-from drawn d join best b on d.source is not distinct from b.source and d.i = b.i
+  select *, floor(rate)::bigint + (('0x' || substr(h, 1, 8))::bigint / 4294967296::double < rate - floor(rate))::bigint as copies from rated)
+select doc_id, size, source_size, target, (size * copies)::bigint as taken from drawn
 """

@@ -11,7 +11,7 @@ to them in blocks. Only the pivots (a bounded sample) and one line per ring (piv
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows without an id, take no part;
 shorter vectors count as filled with zeros; rows with the query's own id are never its answers; repeated rows may appear
-repeatedly; ties go to smaller ids; other columns are ignored; an empty table gives an empty result.
+repeatedly, of different vectors of one query id the least asks; ties go to smaller ids; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,11 +92,10 @@ def _bounds(q: np.ndarray, pivots: np.ndarray, longest: float, cells: np.ndarray
 
 
 def _visits(pivots: np.ndarray, dim: int, longest: float, cells: np.ndarray, counts: np.ndarray, k: int, first: bool):
-    """For each block of queries the rings to visit and which of its queries visit them."""
+    """For each block of queries the rings to visit, how many blocks these have, and the queries that visit them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ring, block, who = [], [], []
             for i in range(b.num_rows):
                 ids, q = _unpack(b.column("ids")[i].as_py(), b.column("vectors")[i].as_py(), dim)
                 bound = _bounds(q, pivots, longest, cells)
@@ -106,11 +105,12 @@ def _visits(pivots: np.ndarray, dim: int, longest: float, cells: np.ndarray, cou
                 np.put_along_axis(near, order, seen < max(FIRST, k + 1), axis=1)
                 if not first:
                     near = ~near & (bound >= np.frombuffer(b.column("least")[i].as_py(), np.float64)[:, None])
-                for c in np.flatnonzero(near.any(0)):
-                    ring.append(int(c))
-                    block.append(b.column("block")[i].as_py())
-                    who.append(np.flatnonzero(near[:, c]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ring, pa.int32()), pa.array(block, pa.string()), pa.array(who, pa.binary())], ["cell", "qblock", "who"])
+                visited = np.flatnonzero(near.any(0))
+                for some in np.array_split(visited, -(-len(visited) // 64)) if len(visited) else []:  # few rings a batch
+                    who = [ids[near[:, c]].tobytes() for c in some]
+                    what = [q[near[:, c]].tobytes() for c in some]
+                    columns = [pa.array(some.astype(np.int32)), pa.array((-(-counts[some] // BLOCK)).astype(np.int32)), pa.array(who, pa.binary()), pa.array(what, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "blocks", "qids", "qvectors"])
 
     return run
 
@@ -121,8 +121,6 @@ def _scorer(dim: int, k: int, exact: bool):
             for r in b.to_pylist():
                 ids, m = _unpack(r["ids"], r["vectors"], dim)
                 qids, q = _unpack(r["qids"], r["qvectors"], dim)
-                who = np.frombuffer(r["who"], "<i4")
-                qids, q = qids[who], q[who]
                 kind = np.float64 if exact else np.int64
                 scores = np.asarray(q.astype(kind) @ m.astype(kind).T).astype(np.int64)
                 out = []
@@ -164,18 +162,19 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 10
     spark = embeddings.sparkSession
     plan = spark.createDataFrame([(p, r, i, int(-(-counts[i] // BLOCK))) for (p, r), i in number.items()], "pivot int, ring int, cell int, blocks int")
     placed = keyed.withColumn("ring", ring).join(F.broadcast(plan), ["pivot", "ring"])
-    placed = placed.select("vec_id", "v", F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id"), "blocks")).alias("block"))
+    placed = placed.select("vec_id", "v", F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "blocks")).alias("block"))
     blocks = settled(placed.groupBy("block").applyInArrow(_packer(dim), _PACKED), "blocks")
     blocks = blocks.withColumn("cell", F.split("block", ":")[0].cast("int"))
     parts = max(1, -(-queries // QUERIES))
-    asked = vectors.filter(is_query).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("string"))
+    asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("string"))
     asked = settled(asked.groupBy("block").applyInArrow(_packer(dim), _PACKED), "queries")
     exact = longest < 2**52
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def round_of(blocks_of_queries: DataFrame, first: bool) -> DataFrame:
-        visits = blocks_of_queries.mapInArrow(_visits(pivots, dim, longest, cells, counts, k, first), "cell int, qblock string, who binary")
-        pairs = visits.join(blocks.drop("block"), "cell").join(asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")), "qblock")
+        visits = blocks_of_queries.mapInArrow(_visits(pivots, dim, longest, cells, counts, k, first), "cell int, blocks int, qids binary, qvectors binary")
+        block = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "cell", j))).alias("block")
+        pairs = visits.select("qids", "qvectors", block).join(blocks.drop("cell"), "block")  # a block moves once, a cell is not a key
         found = pairs.mapInArrow(_scorer(dim, k, exact), "query_id long, vec_id long, score long")
         return settled(found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("rank"), "round")
 

@@ -40,7 +40,8 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         held = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.collect_set("leaf").alias("leaves")).filter(F.col("shard_bytes") <= limit)
         first = held.select("depth", "prefix", "shard_bytes", F.explode("leaves").alias("leaf"))
         chosen = settled(first.groupBy("leaf").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s")), "directory")
-        joined = left.withColumn("leaf", leaf).join(chosen, "leaf", "left")
+        directory = F.broadcast(chosen) if base == 0 else chosen  # 2 ** STEP leaves at most in the first round
+        joined = left.withColumn("leaf", leaf).join(directory, "leaf", "left")
         parts.append(joined.filter("s is not null").select("doc_id", "n_bytes", "s.depth", "s.prefix", F.lit(0).cast("long").alias("sub"), "s.shard_bytes"))
         left = settled(joined.filter("s is null").select("doc_id", "n_bytes", "h"), "oversized")
         base = low

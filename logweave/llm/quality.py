@@ -53,7 +53,7 @@ def features(column) -> np.ndarray:
     length = end - start
     longest = np.zeros(n)
     if len(start):
-        np.maximum.at(longest, np.repeat(np.arange(n), words), np.minimum(length, 1000))
+        np.maximum.at(longest, np.repeat(np.arange(n), words), length)
         sums = K.range_sums(K.BYTE[K.LOWER[buf]])
         word = K.range_hash(sums, start, end)
         text = np.repeat(np.arange(n), words)
@@ -191,7 +191,8 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, examples: int = EX
     rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_featurer, schema), "features")
     known = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # bounded by ``examples``
+    least = F.min(F.struct(*NAMES)).alias("x")  # of different texts of one id the one of the least features
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(least).select("doc_id", "quality", "x.*").orderBy("doc_id").toPandas()  # bounded by ``examples``
     model = docs.sparkSession.sparkContext.broadcast(fit(sample[NAMES].to_numpy(float), sample["quality"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

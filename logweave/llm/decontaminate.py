@@ -6,7 +6,9 @@ diagonals no further apart than e. Shared q-grams are counted in overlapping dia
 are kept, and a banded alignment decides. The index of the items goes to all tasks; a benchmark beyond a size bound is
 taken in blocks that each keep it.
 
-Defined cases: null and empty texts match nothing; items that are null or shorter than q match nothing; repeated items
+Items shorter than q bytes have no q-gram: they are found where their words stand as a whole, without edits.
+
+Defined cases: null and empty texts match nothing; items that are null or hold no word match nothing; repeated items
 are each reported; rows with a null doc_id are reported with null; repeated rows are each looked at (and reported once
 per item and row); other columns are passed through by ``clean``; empty tables give no matches.
 """
@@ -29,7 +31,8 @@ Q, BUDGET = 12, 0.06
 #: Bytes of benchmark text whose index is sent to all tasks at once.
 BLOCK_BYTES = 16 << 20
 U = np.uint64
-_SEPARATORS = ~K.class_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
+_WORD = K.class_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
+_SEPARATORS = ~_WORD
 OUT = "doc_id long, item_id long, edits int, start long, end long"
 _BITS = 22
 
@@ -74,6 +77,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     bits: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by size: sorted hashes of the items below q bytes, and their numbers
 
 
 def index(items: list[tuple[int, str]], budget: float = BUDGET, q: int = Q) -> Index:
@@ -90,17 +94,49 @@ def index(items: list[tuple[int, str]], budget: float = BUDGET, q: int = Q) -> I
     keys, first = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << _BITS, bool)
     bits[(keys >> U(64 - _BITS)).astype(np.int64)] = True
-    return Index([i for i, _ in items], texts, edits, size - q + 1 - q * edits, size, keys, np.append(first, len(flat)), item[order], place[order], bits)
+    return Index([i for i, _ in items], texts, edits, size - q + 1 - q * edits, size, keys, np.append(first, len(flat)), item[order], place[order], bits, _short(texts, size, q))
+
+
+def _short(texts: list[np.ndarray], size: np.ndarray, q: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for n in range(1, q):
+        which = np.flatnonzero(size == n)
+        if len(which):
+            h = np.array([K.range_hash(K.range_sums(K.BYTE[texts[i]]), np.array([0]), np.array([n]))[0] for i in which], U)
+            order = np.argsort(h, kind="stable")
+            out[n] = h[order], which[order]
+    return out
 
 
-def align(item: np.ndarray, region: np.ndarray, low: int, width: int) -> tuple[int, int]:
+def _whole_words(x: Index, buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """text, item, begin and end of the first place of each short item in each text."""
+    start, end, first = K.words(buf, at, _WORD)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    sums = K.range_sums(K.BYTE[buf])
+    last = np.zeros(len(buf) + 1, bool)
+    last[end] = True
+    for n, (hashes, which) in x.short.items():
+        inside = np.flatnonzero(start + n <= at[text + 1])
+        inside = inside[last[start[inside] + n]]
+        h = K.range_hash(sums, start[inside], start[inside] + n)
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        done = set()
+        for w in np.flatnonzero(high > low).tolist():
+            a, t = int(start[inside[w]]), int(text[inside[w]])
+            for i in which[low[w] : high[w]].tolist():
+                if (t, i) not in done and np.array_equal(buf[a : a + n], x.texts[i]):
+                    done.add((t, i))
+                    yield t, i, a, a + n
+
+
+def align(item: np.ndarray, region: np.ndarray, low: int, width: int, anchored: bool = False) -> tuple[int, int]:
     """Fewest edits that turn the item into a piece of ``region``, and the end of that piece; banded.
 
-    The piece starts anywhere; cell k of row i stands for region place i + low + k.
+    The piece starts anywhere, ``anchored`` at the region's start; cell k of row i stands for region place i + low + k.
     """
     far = len(item) + width + 1
     k = np.arange(width)
-    row = np.where((low + k >= 0) & (low + k <= len(region)), 0, far)
+    row = np.where((low + k >= 0) & (low + k <= len(region)), low + k if anchored else 0, far)
     padded = np.full(len(region) + 2, 256, np.int64)
     padded[1:-1] = region
     for i, c in enumerate(item, 1):
@@ -134,6 +170,9 @@ def _hits(x: Index, buf: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
 def matches(x: Index, column, q: int = Q) -> Iterator[tuple[int, int, int, int, int]]:
     """text, item, edits, start and end of each item found in each text (its best place)."""
     buf, at, kept, own = normal(column)
+    if x.short and len(buf):
+        for t, i, a, z in _whole_words(x, buf, at):
+            yield t, i, 0, int(kept[a] - own[t]), int(kept[z - 1] - own[t]) + 1
     if not len(x.keys) or len(buf) < q:
         return
     text, item, diagonal, place = _hits(x, buf, at, q)
@@ -155,8 +194,9 @@ def matches(x: Index, column, q: int = Q) -> Iterator[tuple[int, int, int, int,
         low = b * (e + 1) - e
         edits, end = align(x.texts[i], region, low, 4 * e + 3) if best.get((t, i), (e + 1,))[0] else (e + 1, 0)
         if edits <= e and edits < best.get((t, i), (e + 1,))[0]:
-            begin = max(0, end - m)
-            best[t, i] = (edits, begin, end)
+            back = region[max(0, end - m - e) : end][::-1]
+            _, long = align(x.texts[i][::-1], back, -e, 2 * e + 1, anchored=True) if edits else (0, m)
+            best[t, i] = (edits, end - long, end)
     for (t, i), (edits, begin, end) in best.items():
         yield t, i, edits, int(kept[at[t] + begin] - own[t]), int(kept[at[t] + end - 1] - own[t]) + 1
 
@@ -174,7 +214,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """doc_id, item_id, edits, start, end (bytes of the lower-case text) of each item that a document holds.
 
-    With edits, the start is the end less the item's length.
+    With edits, the place is the first that ends where the alignment does and has its number of edits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None

@@ -1,7 +1,7 @@
 """License scans (operator 8): ordered signature rules, with DataFrame functions only.
 
-Signature regexes come from families of license names times forms of notice times versions, from SPDX identifiers (any
-operand of a tag's expression), and from passages of license bodies. A cheap gate on the raw text picks the documents that can hold any; a keyword picks the rules that can match in them; each match is an
+The rules are written signatures: sentences of notices, titles and addresses, passages of license bodies, SPDX identifiers
+(any operand of a tag's expression), and license names with their forms of notice and versions. A cheap gate on the raw text picks the documents that can hold any; a keyword picks the rules that can match in them; each match is an
 interval of the normalised words. Within a document an interval is suppressed by one that contains it and whose rule has
 at least its priority, so "licensed under the apache license version 2 0" leaves one detection and not four.
 
@@ -113,6 +113,152 @@ BODIES = [
 for _kind, _label in (("", "gpl"), ("(?:lesser|library) ", "lgpl"), ("affero ", "agpl")):
     BODIES.append(("gnu", f"{FREE}{_kind}general public licen[sc]e", _label, False))
     BODIES.append(("gnu", f"{FREE}{_kind}general public licen[sc]e as published by the free software foundation either version [0-9](?: [0-9])?", _label, True))
+#: Sentences of notices, titles and addresses: keyword, regex in normalised words, label.
+SIGNATURES = [
+    ("apache", "apache org licen[sc]es licen[sc]e 2 0", "apache-2.0"),
+    ("apache", "apache org licen[sc]es licen[sc]e 1 1", "apache-1.1"),
+    ("apache", "opensource org licen[sc]es apache 2 0", "apache-2.0"),
+    ("apache", "licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements", "apache"),
+    ("apache", "the asf licen[sc]es this file to you under the apache licen[sc]e version 2 0", "apache-2.0"),
+    ("apache", "apache licen[sc]e version 2 0 january 2004", "apache-2.0"),
+    ("apache", "you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at http www apache org", "apache"),
+    ("asl", "asl 2 0 licen[sc]ed", "apache-2.0"),
+    ("specific", "see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e", "apache"),
+    ("grant", "grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e each contributor hereby grants", "apache"),
+    ("mit", "opensource org licen[sc]es mit(?: licen[sc]e)?(?: php| html)?", "mit"),
+    ("mit", "the mit licen[sc]e mit", "mit"),
+    ("mit", "mit licen[sc]e copyright c (?:19|20)[0-9]{2}", "mit"),
+    ("mit", "(?:use of this source code is governed by|subject to the terms of) (?:an |the )?mit licen[sc]e", "mit"),
+    ("mit", "dual licen[sc]ed (?:under )?mit (?:and|or) ", "mit"),
+    ("mit", "choosealicense com licenses mit", "mit"),
+    ("x11", "x11 licen[sc]e", "mit"),
+    ("sell", "rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies of the software", "mit"),
+    ("noninfringement", "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim .{0,80}licen[sc]e", "mit"),
+    ("bsd", "opensource org licen[sc]es bsd [23] clause", "bsd"),
+    ("bsd", "opensource org licen[sc]es bsd licen[sc]e(?: php)?", "bsd"),
+    ("bsd", "(?:use of this source code is|is) governed by a bsd style licen[sc]e", "bsd"),
+    ("bsd", "bsd style licen[sc]e that can be found in the licen[sc]e file", "bsd"),
+    ("freebsd", "the freebsd (?:copyright|documentation) licen[sc]e", "bsd"),
+    ("redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer .{0,400}licen[sc]e", "bsd"),
+    ("endorse", "may be used to endorse or promote products derived from this software without specific prior written permission .{0,400}licen[sc]e", "bsd"),
+    ("gnu", "gnu org licen[sc]es gpl 3 0(?: en)?(?: html| txt)?", "gpl-3.0"),
+    ("gnu", "gnu org licen[sc]es (?:old licen[sc]es )?gpl 2 0(?: en)?(?: html| txt)?", "gpl-2.0"),
+    ("gnu", "gnu org licen[sc]es gpl(?: html| txt)?", "gpl"),
+    ("gnu", "gnu org copyleft gpl(?: html)?", "gpl"),
+    ("gnu", "gnu org licen[sc]es lgpl 3 0(?: en)?(?: html| txt)?", "lgpl-3.0"),
+    ("gnu", "gnu org licen[sc]es (?:old licen[sc]es )?lgpl 2 1(?: en)?(?: html| txt)?", "lgpl-2.1"),
+    ("gnu", "gnu org licen[sc]es lgpl(?: html| txt)?", "lgpl"),
+    ("gnu", "gnu org copyleft lesser(?: html)? licen[sc]e", "lgpl"),
+    ("gnu", "gnu org licen[sc]es agpl 3 0(?: en)?(?: html| txt)?", "agpl-3.0"),
+    ("gnu", "gnu org licen[sc]es agpl(?: html| txt)?", "agpl"),
+    ("gnu", "gnu org licen[sc]es fdl(?: 1 [123])?(?: html| txt)?", "gfdl"),
+    ("gnu", "gnu general public licen[sc]e version 3 29 june 2007", "gpl-3.0"),
+    ("gnu", "gnu general public licen[sc]e version 2 june 1991", "gpl-2.0"),
+    ("gnu", "gnu lesser general public licen[sc]e version 3 29 june 2007", "lgpl-3.0"),
+    ("gnu", "gnu lesser general public licen[sc]e version 2 1 february 1999", "lgpl-2.1"),
+    ("gnu", "gnu library general public licen[sc]e version 2 june 1991", "lgpl-2.0"),
+    ("gnu", "gnu affero general public licen[sc]e version 3 19 november 2007", "agpl-3.0"),
+    ("gnu", "you should have received a copy of the gnu general public licen[sc]e", "gpl"),
+    ("gnu", "you should have received a copy of the gnu lesser general public licen[sc]e", "lgpl"),
+    ("gnu", "you should have received a copy of the gnu library general public licen[sc]e", "lgpl"),
+    ("gnu", "you should have received a copy of the gnu affero general public licen[sc]e", "agpl"),
+    ("gnu", "see the gnu general public licen[sc]e for more details", "gpl"),
+    ("gnu", "see the gnu lesser general public licen[sc]e for more details", "lgpl"),
+    ("gnu", "see the gnu affero general public licen[sc]e for more details", "agpl"),
+    ("gnu", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", "gfdl"),
+    ("gnu", "may be distributed under the terms of the gnu general public licen[sc]e", "gpl"),
+    ("gnu", "as a special exception .{0,300}gnu general public licen[sc]e", "gpl"),
+    ("gplv2", "gplv2(?: or later| only)?", "gpl-2.0"),
+    ("gplv3", "gplv3(?: or later| only)?", "gpl-3.0"),
+    ("lgplv2", "lgplv2(?: 1)?(?: or later| only)?", "lgpl-2.1"),
+    ("lgplv3", "lgplv3(?: or later| only)?", "lgpl-3.0"),
+    ("agplv3", "agplv3(?: or later| only)?", "agpl-3.0"),
+    ("gpl2", "gpl2", "gpl-2.0"),
+    ("gpl3", "gpl3", "gpl-3.0"),
+    ("module", "module licen[sc]e gpl(?: v2)?", "gpl"),
+    ("dual", "dual bsd gpl", "bsd"),
+    ("dual", "dual mit gpl", "mit"),
+    ("mozilla", "mozilla org mpl 2 0", "mpl-2.0"),
+    ("mozilla", "mozilla org (?:en us )?mpl", "mpl"),
+    ("mozilla", "subject to the terms of the mozilla public licen[sc]e v 2 0", "mpl-2.0"),
+    ("mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1", "mpl-1.1"),
+    ("mozilla", "mozilla public licen[sc]e version 2 0 1 definitions", "mpl-2.0"),
+    ("incompatible", "this source code form is incompatible with secondary licen[sc]es", "mpl"),
+    ("eclipse", "eclipse org legal epl v10(?: html)? .{0,40}public", "epl-1.0"),
+    ("eclipse", "eclipse org legal epl 2 0 .{0,40}public", "epl-2.0"),
+    ("eclipse", "made available under the terms of the eclipse public licen[sc]e", "epl"),
+    ("common", "common development and distribution licen[sc]e version 1 0", "cddl-1.0"),
+    ("cddl", "cddl(?: version)? 1 [01] licen[sc]e", "cddl"),
+    ("opensource", "opensource org licen[sc]es cddl 1 0", "cddl-1.0"),
+    ("eupl", "licen[sc]ed under the eupl", "eupl"),
+    ("eupl", "eupl (?:v(?:ersion)? ?)?1 [012] licen[sc]e", "eupl"),
+    ("ec", "joinup ec europa eu .{0,60}licen[sc]e eupl", "eupl"),
+    ("boost", "boost org licen[sc]e 1 0(?: txt)?", "bsl-1.0"),
+    ("boost", "distributed under the boost software licen[sc]e version 1 0", "bsl-1.0"),
+    ("isc", "opensource org licen[sc]es isc(?: licen[sc]e)?(?: txt)?", "isc"),
+    ("isc", "the isc licen[sc]e copyright", "isc"),
+    ("zlib", "zlib net zlib licen[sc]e(?: html)?", "zlib"),
+    ("zlib", "opensource org licen[sc]es zlib(?: licen[sc]e)?(?: php)?", "zlib"),
+    ("misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software .{0,300}plainly", "zlib"),
+    ("artistic", "opensource org licen[sc]es artistic licen[sc]e 2 0(?: php)?", "artistic-2.0"),
+    ("perl", "under the same terms as perl itself .{0,80}licen[sc]e", "artistic"),
+    ("python", "python software foundation licen[sc]e version 2", "psf-2"),
+    ("psf", "psf licen[sc]e agreement for python", "psf"),
+    ("academic", "licen[sc]ed under the academic free licen[sc]e version [123] [01]", "afl"),
+    ("open", "licen[sc]ed under the open software licen[sc]e version 3 0", "osl-3.0"),
+    ("scripts", "scripts sil org ofl .{0,60}licen[sc]e", "ofl"),
+    ("sil", "this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1", "ofl-1.1"),
+    ("sil", "sil open font licen[sc]e version 1 1 26 february 2007", "ofl-1.1"),
+    ("opendatacommons", "opendatacommons org licen[sc]es odbl(?: 1 0)?", "odbl"),
+    ("opendatacommons", "opendatacommons org licen[sc]es pddl(?: 1 0)?", "pddl"),
+    ("opendatacommons", "opendatacommons org licen[sc]es by(?: 1 0)?", "odc-by"),
+    ("php", "php net licen[sc]e 3 0[01]?(?: txt)?", "php-3"),
+    ("php", "this source file is subject to version [23] [0-9]{1,2} of the php licen[sc]e", "php"),
+    ("postgresql", "postgresql database management system .{0,80}licen[sc]e", "postgresql"),
+    ("w3", "w3 org consortium legal .{0,60}licen[sc]e", "w3c"),
+    ("w3c", "w3c software notice and licen[sc]e", "w3c"),
+    ("openssl", "this product includes software developed by the openssl project .{0,200}licen[sc]e", "openssl"),
+    ("unlicense", "unlicense org", "unlicense"),
+    ("unlicense", "the unlicense", "unlicense"),
+    ("dedicate", "the author or authors of this software dedicate any and all copyright (?:interest )?to this software to the public domain", "public-domain"),
+    ("publicdomain", "creativecommons org publicdomain zero 1 0(?: legalcode)?", "cc0-1.0"),
+    ("publicdomain", "creativecommons org publicdomain mark 1 0", "public-domain"),
+    ("waived", "has waived all copyright and related or neighboring rights .{0,120}public", "cc0"),
+    ("creativecommons", "creativecommons org licen[sc]es by [1-4] [05]", "cc-by"),
+    ("creativecommons", "creativecommons org licen[sc]es by sa [1-4] [05]", "cc-by-sa"),
+    ("creativecommons", "creativecommons org licen[sc]es by nc [1-4] [05]", "cc-by-nc"),
+    ("creativecommons", "creativecommons org licen[sc]es by nd [1-4] [05]", "cc-by-nd"),
+    ("creativecommons", "creativecommons org licen[sc]es by nc sa [1-4] [05]", "cc-by-nc-sa"),
+    ("creativecommons", "creativecommons org licen[sc]es by nc nd [1-4] [05]", "cc-by-nc-nd"),
+    ("creative", "creative commons attribution 4 0 international", "cc-by-4.0"),
+    ("creative", "creative commons attribution 3 0 unported", "cc-by-3.0"),
+    ("creative", "creative commons attribution share ?alike 4 0 international", "cc-by-sa-4.0"),
+    ("creative", "creative commons attribution share ?alike 3 0 unported", "cc-by-sa-3.0"),
+    ("creative", "creative commons attribution non ?commercial 4 0 international", "cc-by-nc-4.0"),
+    ("creative", "creative commons attribution no ?deriv(?:ative)?s", "cc-by-nd"),
+    ("creative", "creative commons attribution non ?commercial share ?alike", "cc-by-nc-sa"),
+    ("creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc-by-nc-nd"),
+    ("fuck", "do what the fuck you want to public licen[sc]e", "wtfpl"),
+    ("beer", "the beer ?ware licen[sc]e", "beerware"),
+    ("beerware", "beerware licen[sc]e", "beerware"),
+    ("microsoft", "microsoft public licen[sc]e ms pl", "ms-pl"),
+    ("microsoft", "microsoft software licen[sc]e terms", "proprietary"),
+    ("elastic", "elastic licen[sc]e 2 0", "elastic-2.0"),
+    ("elastic", "licen[sc]ed under the elastic licen[sc]e", "elastic"),
+    ("server", "server side public licen[sc]e(?: version 1)?", "sspl"),
+    ("business", "business source licen[sc]e 1 1", "busl-1.1"),
+    ("commons", "commons clause licen[sc]e condition v(?:ersion)? ?1 0", "commons-clause"),
+    ("university", "university of illinois ncsa open source licen[sc]e", "ncsa"),
+    ("universal", "universal permissive licen[sc]e (?:v |version )?1 0", "upl-1.0"),
+    ("blue", "blue oak model licen[sc]e 1 0 0", "blueoak-1.0.0"),
+    ("cecill", "cecill(?: [bc])? (?:free software )?licen[sc]e", "cecill"),
+    ("ibm", "ibm public licen[sc]e version 1 0", "ipl-1.0"),
+    ("sun", "sun public licen[sc]e version 1 0", "spl-1.0"),
+    ("netscape", "netscape public licen[sc]e", "npl"),
+    ("q", "q public licen[sc]e version 1 0", "qpl-1.0"),
+    ("latex", "latex project public licen[sc]e", "lppl"),
+    ("reserved", "all rights reserved (?:this (?:file|software|material) is )?(?:not (?:to be )?licen[sc]ed|proprietary and confidential) .{0,80}licen[sc]e", "proprietary"),
+]
 #: Raw lower-case pieces of which every rule needs one.
 GATES = ["licen", "gpl", "creative", "public", "spdx", "cc0", "hereby", "redistribution", "plainly", "mpl"]
 CC_BY = rf"(?i)(?<!{RAW_WORD[:-1]})cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by(?!{RAW_WORD[:-1]})"
@@ -120,7 +266,7 @@ CC_BY = rf"(?i)(?<!{RAW_WORD[:-1]})cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by(?
 
 def rules() -> list[tuple[int, str, str, str, bool, int, float]]:
     """id, keyword, regex, label, whether it ends with a version, priority, confidence: for each family, form and version, each
-    SPDX identifier with and without version, and each passage of a body. An identifier is looked up behind its own end, so
+    SPDX identifier with and without version, each passage of a body, and each signature. An identifier is looked up behind its own end, so
     only where one stands."""
     out = []
     for keyword, name, label in FAMILIES:
@@ -133,6 +279,8 @@ def rules() -> list[tuple[int, str, str, str, bool, int, float]]:
             out.append((len(out), "spdx", f"(?<= ){name}{version}(?= ){behind}", label, bool(version), 3, 1.0))
     for keyword, passage, label, versioned in BODIES:
         out.append((len(out), keyword, f"(?<= ){passage}(?= )", label, versioned, 2, 0.9))
+    for keyword, sentence, label in SIGNATURES:
+        out.append((len(out), keyword, f"(?<= ){sentence}(?= )", label, False, 2, 0.95))
     return out
 
 

@@ -116,6 +116,48 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def brute_labels(text):
+    """Labels and score by every rule on every text, without keywords; overlaps settled pair by pair."""
+    import regex
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    norm = f" {' '.join(w)} " if w else "  "
+    base = {label for p, label in licenses.BASE.items() if f" {p} " in norm}
+    spans = []
+    for rule, _, pattern, label, versioned, priority, sure in licenses.rules():
+        for m in regex.finditer(pattern, norm):
+            version = regex.search(r"([0-9]+(?: [0-9]+)?)$", m.group())
+            name = f"{label}-{version.group(1).replace(' ', '.')}" if versioned and version else label
+            spans.append((m.start(), -m.end(), -priority, rule, name, sure))
+    left = [s for s in spans if not any(o[:4] < s[:4] and o[0] <= s[0] and o[1] <= s[1] and o[2] <= s[2] for o in spans)]
+    return ",".join(sorted(base | {s[4] for s in left})), max([0.5] * bool(base) + [s[5] for s in left], default=0.0)
+
+
+def test_license_labels_equal_brute_force(spark):
+    rnd = random.Random(9)
+    pieces = [
+        "Licensed under the Apache License, Version 2.0", "http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0 OR MIT", "GNU General Public License v3",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "released under the terms of the GNU Lesser General Public License version 2.1", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/", "CC BY-SA 4.0", "This is free and unencumbered software released into the public domain.", "Mozilla Public License, v. 2.0", "https://opensource.org/licenses/MIT",
+        "Expat License", "3-clause BSD license", "the MIT License (MIT)", "GPLv3", "mit licence", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Boost Software License 1.0", "Apache License, Version 2.0, January 2004",
+        "You should have received a copy of the GNU Affero General Public License", "cc0", "Dual BSD/GPL", "gnu org licenses gpl-3.0.en.html", "lorem ipsum", "dolor", "licensed", "public", "2.0", "version", "under the",
+    ]
+    rows = [(i, rnd.choice([" ", "\n", ". "]).join(rnd.choices(pieces, k=rnd.randint(1, 6)))) for i in range(120)] + [(500, None), (501, ""), (502, "x " * 50_000 + "SPDX-License-Identifier: ISC"), (0, "mit license"), (None, "mit license")]
+    got = sorted((str(r.doc_id), r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == sorted((str(i), *brute_labels(t)) for i, t in rows)
+
+
+def test_license_rules_pass_their_gates(spark):
+    written = len(licenses.FAMILIES) + len(licenses.SPDX) + len(licenses.BODIES) + len(licenses.SIGNATURES)
+    assert written > 200
+    for _, keyword, pattern, *_ in licenses.rules():
+        plain = pattern.replace("licen[sc]", "licenc")
+        assert any(g in plain for g in licenses.GATES) or pattern.startswith("(?<= )cc by"), pattern
+    for keyword, sentence, _ in licenses.SIGNATURES:
+        assert re.search(rf"(?<![a-z0-9]){keyword}(?![a-z])", sentence), (keyword, sentence)
+
+
 def edit_distance_inside(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -137,18 +179,28 @@ def test_decontamination_equals_alignment(spark):
             k = rnd.randrange(len(t))
             t[k : k + 1] = rnd.choice([[], [t[k], "z"], ["q"]])
         rows.append((i, f"{word()}, {''.join(t).upper()}!\n{word()}" if i % 3 else " ".join(word() for _ in range(40)) + "".join(t[: len(t) // 2])))
-    rows += [(100, None), (101, ""), (None, items[0][1])]
+    rows += [(100, None), (101, ""), (None, items[0][1]), (102, "It is Tiny, one-two."), (103, "tinyx 1one two3"), (104, "filler words " * 60_000 + items[3][1]), (104, "filler words " * 60_000 + items[3][1])]
+    items += [(93, "One  two!")]
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     plain = lambda t: re.sub(r"[^0-9a-z]+", " ", (t or "").lower()).strip()
     x = decontaminate.index([(i, t) for i, t in items if t is not None])
     budget = dict(zip(x.ids, x.budget.tolist(), strict=True))
     for d, t in rows:
         for i, item in items:
-            if item and len(item) >= decontaminate.Q:
+            if item and len(plain(item)) < decontaminate.Q:
+                assert ((d, i) in got) == (f" {plain(item)} " in f" {plain(t)} ")
+            elif item and d != 104:
                 e = edit_distance_inside(plain(item), plain(t))
                 assert ((d, i) in got) == (e <= budget[i]) and got.get((d, i), e) == e, (d, i, e)
     kept = decontaminate.clean(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == frame(spark, []).columns and {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in got}
+    places = decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [r.edits for r in places if (r.doc_id, r.item_id) == (104, 3)] == [0, 0]
+    texts = {d: t.lower() for d, t in rows if t}
+    for r in places:  # the piece reported has the edits reported
+        if r.edits:
+            piece, item = plain(texts[r.doc_id][r.start : r.end]), plain(dict(items)[r.item_id])
+            assert edit_distance_inside(piece, item) <= r.edits and edit_distance_inside(item, piece) == r.edits and abs(len(piece) - len(item)) <= r.edits
     assert decontaminate.find(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.find(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 

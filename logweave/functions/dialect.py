@@ -31,8 +31,13 @@ class Pattern:
 _NAMED = re.compile(r"\(\?(?:<([A-Za-z_]\w*)>|'([A-Za-z_]\w*)')")
 
 
-def compile_pattern(pattern: str, ignore_case: bool = False, single_line: bool = False) -> Pattern:
-    """``single_line``: a dot also matches line ends."""
+#: Field of the groups that hold what stands behind the groups asked for.
+BEHIND = "<behind>"
+
+
+def compile_pattern(pattern: str, ignore_case: bool = False, single_line: bool = False, behind: str | None = None) -> Pattern:
+    """``single_line``: a dot also matches line ends. ``behind``: a field; the field BEHIND then captures all text after
+    each of its groups, which gives their places."""
     out, i, number, in_class = [], 0, 0, 0
     named: dict[str, list[int]] = {}
     unnamed: list[int] = []
@@ -85,6 +90,10 @@ def compile_pattern(pattern: str, ignore_case: bool = False, single_line: bool =
             if name and re.match(r"[*+]|\{\d+,?\d*\}", pattern[i + 1 :]):
                 raise PatternError(f"group {name} is repeated; its first capture can't be had")
             out.append(c)
+            if name and name == behind:
+                number += 1
+                named.setdefault(BEHIND, []).append(number)
+                out.append(r"(?=([\s\S]*))")
             i += 1
         else:
             out.append(c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIG_LINE, SHOWN_LINES, FOLD_ABOVE = 4096, 20, 21
@@ -25,3 +25,25 @@ def fold(text: Column, keep: int = SHOWN_LINES) -> tuple[Column, Column]:
     lines = F.split(text, "\n")
     long = F.size(lines) > keep + 1
     return F.when(long, F.array_join(F.slice(lines, 1, keep), "\n")).otherwise(text), F.when(long, F.size(lines) - keep).otherwise(F.lit(0))
+
+
+def places(rows: DataFrame, text: Column, java: str, keys) -> DataFrame:
+    """keys, i, token, start (from 0) of every match: what stands between matches gives their places."""
+    some = rows.filter(text.rlike(java)).select(*keys, F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("__m"), F.split(text, java, -1).alias("__g"))
+    lengths = lambda x: F.transform(x, lambda v: F.length(v))
+    each = some.select(*keys, lengths("__m").alias("__lm"), lengths("__g").alias("__lg"), F.posexplode("__m").alias("i", "token"))
+    total = lambda x, n: F.aggregate(F.slice(x, 1, n), F.lit(0), lambda a, b: a + b)
+    start = total("__lg", F.col("i") + 1) + total("__lm", F.col("i"))
+    return each.select(*keys, "i", "token", start.cast("int").alias("start"))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each of the spans (start from 0, length, s; in order, not overlapping) replaced by its s."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, f: F.struct((f["start"] + f["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, f["start"] - a["at"]), f["s"]).alias("out"))
+    return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
+#: Microseconds from 1970-01-01 to the first day of year 1.
+FIRST_DAY = -719_162 * DAY
 #: Layouts tried in turn where a format names none.
 AUTO = ["yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss"]
 
@@ -27,23 +29,34 @@ def parse(text: Column, layout: str | None = None) -> Column:
     return F.coalesce(*tried) if len(tried) > 1 else tried[0]
 
 
-def show(micros: Column) -> Column:
-    """HH:mm:ss.fff for values below one day, else with the date; empty if missing."""
-    at = F.timestamp_micros(micros)
-    return F.coalesce(F.when(micros < DAY, F.date_format(at, "HH:mm:ss.SSS")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS")), F.lit(""))
+def show(micros: Column, time_only: bool = False) -> Column:
+    """With the date, or the time alone for the first year of a log of times of day; empty if missing."""
+    if not time_only:
+        return F.coalesce(F.when(micros >= 0, F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd HH:mm:ss.SSS")), F.lit(""))
+    at = F.timestamp_micros(micros + F.lit(FIRST_DAY))  # such logs count from the first day of year 1
+    shown = F.when(micros < 365 * DAY, F.date_format(at, "HH:mm:ss.SSS")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"))
+    return F.coalesce(F.when(micros >= 0, shown), F.lit(""))
 
 
 def show_duration(micros: Column) -> Column:
-    """Milliseconds, seconds with one digit, minutes and seconds, hours and minutes, or days and hours."""
-    whole = lambda unit: F.floor(micros / F.lit(unit)).cast("string")
-    of = lambda unit, outer: F.floor(F.pmod(micros, F.lit(outer)) / F.lit(unit)).cast("string")
+    """Milliseconds, seconds rounded to one digit, minutes and seconds, hours and minutes, or days and hours; a second part
+    that is zero is left out."""
     minute = 60_000_000
-    tenths = F.floor(micros / F.lit(100_000))
-    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.when(F.pmod(tenths, F.lit(10)) > 0, F.concat(F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))).otherwise(F.lit("")), F.lit(" s"))
+    whole = lambda unit: F.floor(micros / F.lit(unit))
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"))
+
+    def both(large, name, small, part):
+        rest = F.floor(F.pmod(micros, F.lit(large)) / F.lit(small))
+        return F.concat(said(whole(large), name), F.when(rest > 0, F.concat(F.lit(" "), said(rest, part))).otherwise(F.lit("")))
+
+    tenths = F.floor((micros + 50_000) / F.lit(100_000))
+    digit = F.pmod(tenths, F.lit(10))
+    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.when(digit > 0, F.concat(F.lit("."), digit.cast("string"))).otherwise(F.lit("")), F.lit(" sec"))
     return (
-        F.when(micros < 1_000_000, F.concat(whole(1000), F.lit(" ms")))
+        F.when(micros <= 0, "0 ms")
+        .when(micros < 1_000_000, said(whole(1000), "ms"))
         .when(micros < minute, seconds)
-        .when(micros < HOUR, F.concat(whole(minute), F.lit(" min "), of(1_000_000, minute), F.lit(" s")))
-        .when(micros < DAY, F.concat(whole(HOUR), F.lit(" h "), of(minute, HOUR), F.lit(" min")))
-        .otherwise(F.concat(whole(DAY), F.lit(" d "), of(HOUR, DAY), F.lit(" h")))
+        .when(micros < HOUR, both(minute, "min", 1_000_000, "sec"))
+        .when(micros < DAY, both(HOUR, "h", minute, "min"))
+        .otherwise(both(DAY, "d", HOUR, "h"))
     )

@@ -1,6 +1,8 @@
 """Code dictionaries and ordered rules: occurrences, annotated text, classification; import and upsert of dictionaries.
 
-``mappings``: list, ord (order of lists), enabled, ignore_case, value, mapping.
+``mappings``: list, ord (order of lists), item (order in the list), enabled, ignore_case, fields, value, mapping. Values are
+trimmed; of equal values of a list the first counts. A value stands as a whole token: where it begins or ends with a letter,
+digit or ``_``, none of these may stand next to it. At one place the longest value wins, then the first list.
 """
 
 from __future__ import annotations
@@ -11,53 +13,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.dialect import compile_pattern
+from logweave.functions.text import places, replaced
 
-#: Distinct values whose alternation is still one pattern.
+#: Distinct values whose alternation is still one pattern; beyond it texts are joined with the values word by word.
 MOST_VALUES = 50_000
-
-
-def _patterns(mappings: DataFrame) -> tuple[str, str]:
-    """Alternations of all whole-token values, case as given and without case; longest first."""
-    rows = mappings.filter("enabled and value <> ''").select("value", "ignore_case").distinct().limit(MOST_VALUES + 1).collect()
-    if len(rows) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} values; use single_tokens")
-    escape = lambda v: re.sub(r"([^\w\s])", r"\\\1", v)
-    longest = lambda vs: "|".join(escape(v) for v in sorted(vs, key=lambda v: (-len(v), v)))
-    exact, loose = longest({r.value for r in rows if not r.ignore_case}), longest({r.value for r in rows if r.ignore_case})
-    return exact, loose
-
-
-def _pattern(mappings: DataFrame) -> str:
-    exact, loose = _patterns(mappings)
-    parts = [p for p in (exact, f"(?iu:{loose})" if loose else "") if p]
-    return rf"(?dU)(?<!\w)(?:{'|'.join(parts)})(?!\w)" if parts else r"(?!)"
-
-
-def occurrences(rows: DataFrame, mappings: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
-    """keys, i (number of the occurrence in the text), token, list, mapping of each whole-token value."""
-    p = _pattern(mappings)
-    found = rows.filter(F.col(text).rlike(p)).select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("i", "token"))
-    known = mappings.filter("enabled").select("list", "ord", "mapping", "ignore_case", F.when(F.col("ignore_case"), F.lower("value")).otherwise(F.col("value")).alias("__v"))
-    exact = known.filter("not ignore_case").groupBy("__v").agg(F.min(F.struct("ord", "list", "mapping")).alias("a"))
-    loose = known.filter("ignore_case").groupBy("__v").agg(F.min(F.struct("ord", "list", "mapping")).alias("b"))
-    j = found.join(exact, F.col("token") == F.col("__v"), "left").drop("__v").join(loose, F.lower("token") == F.col("__v"), "left")
-    first = F.when(F.col("a").isNull() | (F.col("b.ord") < F.col("a.ord")), F.coalesce("b", "a")).otherwise(F.col("a"))
-    return j.select(*keys, "i", "token", first["list"].alias("list"), first["mapping"].alias("mapping")).filter("mapping is not null")
-
-
-def annotate(rows: DataFrame, mappings: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
+_WORD = r"(?U)\w+"
+
+
+def _known(mappings: DataFrame, field: str | None) -> DataFrame:
+    """list, ord, mapping, ignore_case, v: what applies in ``field`` (None: the whole record, so only lists for all fields)."""
+    scope = F.coalesce(F.size("fields") < 1, F.lit(True)) if "fields" in mappings.columns else F.lit(True)
+    if field is not None and "fields" in mappings.columns:
+        scope = scope | F.exists("fields", lambda f: F.lower(f) == field.lower())
+    item = F.col("item") if "item" in mappings.columns else F.lit(0)
+    rows = mappings.filter(scope).filter("enabled and trim(value) <> ''")
+    rows = rows.select("list", "ord", "ignore_case", F.trim("value").alias("v"), F.coalesce("mapping", F.lit("")).alias("mapping"), item.alias("item"))
+    same = F.when(F.col("ignore_case"), F.lower("v")).otherwise(F.col("v")).alias("v")
+    return rows.groupBy("list", "ord", "ignore_case", same).agg(F.min(F.struct("item", "mapping")).alias("m")).select("list", "ord", "ignore_case", "v", F.col("m.mapping").alias("mapping"))
+
+
+def _pattern(values: list[tuple[str, bool]]) -> str:
+    """The alternation of all values (and whether case is ignored), the longest first."""
+
+    def token(v: str, loose: bool) -> str:
+        edge = lambda c, p: p if re.match(r"\w", c) else ""
+        body = re.sub(r"([^\w\s])", r"\\\1", v)
+        return edge(v[0], r"(?<!\w)") + (f"(?iu:{body})" if loose else body) + edge(v[-1], r"(?!\w)")
+
+    return "(?dU)" + "|".join(token(v, loose) for v, loose in sorted(values, key=lambda x: (-len(x[0]), x[0], x[1])))
+
+
+def occurrences(rows: DataFrame, mappings: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file_id", "line_no"), field: str | None = None) -> DataFrame:
+    """keys, i (number of the occurrence in the text), token, start (from 0), list, mapping of each value that occurs."""
+    known = _known(mappings, field)
+    values = [(r.v, r.ignore_case) for r in known.select("v", "ignore_case").distinct().limit(MOST_VALUES + 1).collect()]
+    if len(values) > MOST_VALUES:
+        return _by_words(rows, known, text, keys)
+    if not values:
+        return _by_words(rows.limit(0), known, text, keys)
+    found = places(rows, F.col(text), _pattern(values), keys)
+    first = lambda loose: known.filter(F.col("ignore_case") == loose).groupBy("v").agg(F.min(F.struct("ord", "list", "mapping")).alias("b" if loose else "a"))
+    j = found.join(first(False), F.col("token") == F.col("v"), "left").drop("v").join(first(True), F.lower("token") == F.col("v"), "left")
+    best = F.when(F.col("a").isNull() | (F.col("b.ord") < F.col("a.ord")), F.coalesce("b", "a")).otherwise(F.col("a"))
+    return j.select(*keys, "i", "token", "start", best["list"].alias("list"), best["mapping"].alias("mapping")).filter("mapping is not null")
+
+
+def _by_words(rows: DataFrame, known: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
+    """The same for any number of values: the words of the texts are joined with the first word of each value, and what
+    follows is compared; values without a word are looked up one by one."""
+    part = lambda c: F.lower(F.regexp_extract(c, _WORD, 0))
+    named = known.withColumn("w", part("v"))
+    whole = F.col(text).alias("__text")
+    words = places(rows.select(*keys, whole), F.col("__text"), _WORD, (*keys, "__text")).withColumn("w", F.lower("token"))
+    at = F.col("start") - F.instr("v", F.regexp_extract("v", _WORD, 0)) + 1
+    by_word = words.join(named.filter("w <> ''"), "w").select(*keys, "__text", at.alias("start"), "list", "ord", "ignore_case", "v", "mapping")
+    others = [r.v for r in named.filter("w = ''").select("v").distinct().limit(MOST_VALUES).collect()]
+    plain = places(rows.select(*keys, whole), F.col("__text"), _pattern([(v, False) for v in others]), (*keys, "__text")) if others else None
+    if plain is not None:
+        by_sign = plain.join(named.filter("w = ''"), F.col("token") == F.col("v")).select(*by_word.columns)
+        by_word = by_word.unionByName(by_sign)
+    token = F.substring("__text", F.col("start") + 1, F.length("v"))
+    same = F.when(F.col("ignore_case"), F.lower(token) == F.col("v")).otherwise(token == F.col("v"))
+    letter = lambda c: F.coalesce(c.rlike(r"(?U)\w"), F.lit(False))
+    last, after = F.substring("v", -1, 1), F.substring("__text", F.col("start") + F.length("v") + 1, F.lit(1))
+    before = F.when(F.col("start") > 0, F.substring("__text", F.col("start"), F.lit(1)))
+    free = ~(letter(last) & letter(after)) & ~(letter(F.substring("v", 1, 1)) & letter(before))
+    good = by_word.filter((F.col("start") >= 0) & same & free)
+    spot = F.struct("start", (-F.length("v")).alias("o"), "ord", "list", "mapping", F.length("v").alias("length"), token.alias("token"))
+    lists = good.groupBy(*keys).agg(F.array_sort(F.collect_set(spot)).alias("s"))
+    none = F.array().cast(lists.schema["s"].dataType)
+    free_from = lambda a: F.coalesce(F.element_at(F.transform(a, lambda x: x["start"] + x["length"]), F.when(F.size(a) > 0, -1)), F.lit(0))
+    taken = F.aggregate("s", none, lambda a, x: F.when(x["start"] >= free_from(a), F.concat(a, F.array(x))).otherwise(a))
+    return lists.select(*keys, F.posexplode(taken).alias("i", "x")).select(*keys, "i", "x.token", "x.start", "x.list", "x.mapping")
+
+
+def annotate(rows: DataFrame, mappings: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file_id", "line_no"), field: str | None = None) -> DataFrame:
     """Adds ``annotated``: each value followed by its mapping in brackets. Work is done once per distinct text."""
-    p = _pattern(mappings)
-    texts = rows.filter(F.col(text).rlike(p)).select(F.col(text).alias("__text")).distinct()
-    found = occurrences(texts.select("__text"), mappings, "__text", ("__text",))
-    named = found.groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("i", "mapping"))).alias("m"))
-    tokens, gaps = F.regexp_extract_all(F.col("__text"), F.lit(p), F.lit(0)), F.split("__text", p, -1)
-    with_code = F.transform(tokens, lambda t, i: F.concat(t, F.coalesce(F.concat(F.lit("("), F.element_at("m", i), F.lit(")")), F.lit(""))))
-    made = F.array_join(F.zip_with(gaps, with_code, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-    done = named.select("__text", made.alias("__made"))
+    texts = rows.select(F.col(text).alias("__text")).distinct()
+    found = occurrences(texts, mappings, "__text", ("__text",), field)
+    code = F.concat(F.lit("("), "mapping", F.lit(")"))
+    spans = found.groupBy("__text").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.length("token")).alias("start"), F.lit(0).alias("length"), code.alias("s")))).alias("__s"))
+    done = spans.select("__text", replaced(F.col("__text"), F.col("__s")).alias("__made"))
     return rows.join(done, F.col(text) == F.col("__text"), "left").select(*rows.columns, F.coalesce("__made", F.col(text)).alias("annotated"))
 
 
+def occurrences_in_fields(rows: DataFrame, mappings: DataFrame, fields: list[str], keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
+    """``occurrences`` of each field's own lists, and the field."""
+    out = None
+    for name in fields:
+        part = occurrences(rows, mappings, name, keys, name).withColumn("field", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def classify(rows: DataFrame, rules: list[str], text: str = "text") -> DataFrame:
     """Adds ``rule``: the number of the first rule that matches, null for none."""
     out = F.lit(None).cast("int")
@@ -77,8 +125,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shape = F.when(text.startswith("["), text).when(F.get_json_object(text, "$.items").isNotNull(), F.concat(F.lit("["), text, F.lit("]")))
     whole = whole.select("file", text.alias("t"), shape.alias("s"))
     kept = whole.withColumn("l", F.from_json("s", lists, {"mode": "FAILFAST"})).withColumn("flat", F.when(F.col("s").isNull(), F.from_json("t", "map<string,string>", {"mode": "FAILFAST"})))
-    of_lists = kept.filter("s is not null").select(F.inline("l")).select("name", F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("ignoreCase", F.lit(False)).alias("ignore_case"), "fields", F.inline("items"))
-    flat = kept.filter("s is null").select(F.regexp_replace("file", r"\.[^.]*$", "").alias("name"), F.lit(True).alias("enabled"), F.lit(False).alias("ignore_case"), F.lit(None).cast("array<string>").alias("fields"), F.explode("flat").alias("value", "mapping"))
+    of_lists = kept.filter("s is not null").select(F.inline("l")).select("name", F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("ignoreCase", F.lit(False)).alias("ignore_case"), "fields", F.posexplode("items").alias("item", "x")).select("name", "enabled", "ignore_case", "fields", "item", "x.value", "x.mapping")
+    flat = kept.filter("s is null").select(F.regexp_replace("file", r"\.[^.]*$", "").alias("name"), F.lit(True).alias("enabled"), F.lit(False).alias("ignore_case"), F.lit(None).cast("array<string>").alias("fields"), F.lit(0).alias("item"), F.explode("flat").alias("value", "mapping"))
     return of_lists.unionByName(flat).withColumnRenamed("name", "list")
 
 

@@ -11,15 +11,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.text import once
 from logweave.operators.storage import settled
 
 KEYS = ("file_id", "line_no")
 BASE64 = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])"
-PEM = r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[rn]|[A-Za-z0-9+/=])+)-----END \1-----"
-HEX = r"(?<![0-9A-Za-z])(?:0x)?[0-9A-Fa-f]{2}(?:[ :,-]?(?:0x)?[0-9A-Fa-f]{2}){8,}(?![0-9A-Za-z])"
+_BREAK = r"(?:\s|\\r|\\n)"  # a line end as it is or as it is written
+PEM = rf"-----BEGIN ([A-Z0-9][A-Z0-9 ]*)-----((?:{_BREAK}|[A-Za-z0-9+/])+=*{_BREAK}*)-----END \1-----"
+_BYTE = "(?:0[xX])?[0-9A-Fa-f]{2}"
+#: Nine bytes or more; between two a blank, hyphen or colon, or a comma with or without a blank.
+HEX = rf"(?<![0-9A-Za-z]){_BYTE}(?:(?:[ :-]|, ?)?{_BYTE}){{8,}}(?![0-9A-Za-z])"
+#: Texts beyond this number of characters are not searched for Base64, by definition.
+LARGEST = 1 << 20
+WHOLE = r"^(?:[A-Za-z0-9+/]{8,}|[A-Za-z0-9_-]{8,})={0,2}$"
 PAIR = r"([A-Za-z_][\w.-]*)\s*[=:]\s*(\"[^\"]*\"|'[^']*'|\{[^{}]*\}|[A-Za-z]:\\[^\s,;\"]+|[^\s,;\"'{}\[\]()]+)"
 #: Cut points tried on each side of a glued token.
 GLUE = 16
+#: Fewest characters of a fragment.
+FRAGMENT = 16
 
 
 def _candidates(rows: DataFrame, pattern: str, text: str, keys) -> DataFrame:
@@ -29,38 +38,53 @@ def _candidates(rows: DataFrame, pattern: str, text: str, keys) -> DataFrame:
 
 def _readable(decoded: Column) -> Column:
     """Bytes as text if they are valid UTF-8 without control characters and with something to see."""
-    text = F.when(F.is_valid_utf8(decoded.cast("string")), decoded.cast("string"))
-    return F.when(~text.rlike(r"[\p{Cc}&&[^\t\r\n]]") & text.rlike(r"\S"), text)
+    seen = lambda t: F.when(F.is_valid_utf8(t) & ~t.rlike(r"[\p{Cc}&&[^\t\r\n]]") & t.rlike(r"\S"), t)
+    return once(decoded.cast("string"), seen)
 
 
-def base64_text(token: Column) -> Column:
-    """The readable text of a Base64 token, standard or URL-safe, or null."""
+def _packed(token: Column) -> Column:
     body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    left = F.length(body) % 4
+    left, given = F.length(body) % 4, F.length(token) - F.length(body)
     pad = F.when(left == 0, "").when(left == 2, "==").when(left == 3, "=")
-    given = F.length(token) - F.length(F.regexp_replace(token, "=+$", ""))
-    whole = F.when((given == 0) | (given == F.length(pad)), F.concat(body, pad))
-    return _readable(F.try_to_binary(whole, F.lit("base64")))
+    mixed = token.rlike("[+/]") & token.rlike("[-_]")
+    return F.try_to_binary(F.when(~mixed & ((given == 0) | (given == F.length(pad))), F.concat(body, pad)), F.lit("base64"))
+
+
+def base64_text(token: Column) -> Column:
+    """The readable text of a Base64 token, standard or URL-safe, or null."""
+    return _readable(once(token, _packed))
 
 
 def base64(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, i, token, decoded of Base64 fragments whose bytes are readable text."""
-    found = _candidates(rows, BASE64, text, keys)
-    mixed = F.col("token").rlike("[+/]") & F.col("token").rlike("[-_]")
-    decoded = found.select("token").distinct().filter(~mixed).withColumn("decoded", base64_text(F.col("token"))).filter("decoded is not null")
-    return found.join(decoded, "token").select(*keys, "i", "token", "decoded")
+    """keys, i, token, decoded of Base64 whose bytes are readable text: the text as a whole, or fragments of it that stand in
+    no PEM block."""
+    short = rows.filter(F.length(text) <= LARGEST).select(*keys, F.col(text).alias("__t"))
+    whole = short.filter(F.trim("__t").rlike(WHOLE)).select(*keys, F.lit(0).alias("i"), F.trim("__t").alias("token")).withColumn("decoded", base64_text(F.col("token")))
+    whole = whole.filter("decoded is not null")
+    others = short.withColumn("__w", F.when(F.trim("__t").rlike(WHOLE), base64_text(F.trim("__t")))).filter("__w is null")
+    found = _candidates(others.withColumn("__t", F.regexp_replace("__t", PEM, " ")), BASE64, "__t", keys)
+    return whole.unionByName(found.withColumn("decoded", base64_text(F.col("token"))).filter("decoded is not null"))
 
 
 def glued_base64(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, token, part, decoded: the longest readable part of a token that is glued to other text by / - _ or +."""
-    pattern = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-    found = _candidates(rows, pattern, text, keys)
-    cut = F.split("token", r"(?<=[/_+-])")
-    joined = F.transform(F.sequence(F.lit(1), F.least(F.size("c"), F.lit(GLUE))), lambda a: F.transform(F.sequence(F.lit(0), F.least(F.size("c") - 1, F.lit(GLUE))), lambda z: F.rtrim(F.regexp_replace(F.array_join(F.slice("c", a, F.greatest(F.size("c") - z - a + 1, F.lit(0))), ""), "[/_+-]$", ""))))
-    parts = found.select("token").distinct().withColumn("c", cut).filter("size(c) > 1").select("token", F.explode(F.array_distinct(F.flatten(joined))).alias("part")).filter("length(part) >= 16 and part <> token")
-    good = parts.withColumn("decoded", base64_text(F.col("part"))).filter("decoded is not null")
-    best = good.groupBy("token").agg(F.max_by(F.struct("part", "decoded"), F.struct(F.length("part"), "part")).alias("b"))
-    return found.join(best, "token").select(*keys, "i", "token", "b.part", "b.decoded")
+    """keys, i, token, part, decoded: the most readable part of a token that is glued to other text by / - _ or +.
+
+    A token is cut on one side: after each of its first ``GLUE`` joints, or before each of the last. Letters, digits, blanks
+    and common signs of the text that a part decodes to count for it, other characters twice against it; the first of the
+    best wins.
+    """
+    found = _candidates(rows, rf"[A-Za-z0-9+/_-]{{{FRAGMENT},}}={{0,2}}", text, keys)
+    size, body = F.length("token"), F.length(F.regexp_replace("token", "=+$", ""))
+    joint = lambda at: F.col("token").substr(at + 1, F.lit(1)).isin("/", "-", "_", "+")
+    none = F.array().cast("array<int>")
+    ahead = F.filter(F.when(size > FRAGMENT, F.sequence(F.lit(0), size - FRAGMENT - 1)).otherwise(none), joint)
+    behind = F.filter(F.when(body > FRAGMENT, F.sequence(body - 1, F.lit(FRAGMENT), F.lit(-1))).otherwise(none), joint)
+    cuts = F.concat(F.transform(F.slice(ahead, 1, GLUE), lambda a: F.col("token").substr(a + 2, size)), F.transform(F.slice(behind, 1, GLUE), lambda z: F.col("token").substr(F.lit(1), z)))
+    parts = found.select(*keys, "i", "token", F.posexplode(cuts).alias("__n", "part")).withColumn("decoded", base64_text(F.col("part"))).filter("decoded is not null")
+    against = F.length(F.regexp_replace("decoded", r"""(?U)[\p{L}\p{Nd}\s"{}\[\]:,.\-_/=@]""", ""))
+    score = F.length("decoded") - 3 * against
+    best = parts.groupBy(*keys, "i", "token").agg(F.max_by(F.struct("part", "decoded"), F.struct(score, -F.col("__n"))).alias("b"))
+    return best.select(*keys, "i", "token", "b.part", "b.decoded")
 
 
 def pem(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
@@ -81,20 +105,28 @@ def key_blobs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return found.select(*keys, "i", "token", F.when(rsa, "rsa blob").when(F.substring(h, 1, 2) == "30", "der").alias("kind"), F.when(rsa, number(12)).alias("bits"), F.when(rsa, number(16)).alias("exponent")).filter("kind is not null")
 
 
+def _printed(text: Column) -> Column:
+    return F.when(~text.rlike(r"[\p{Cn}\p{Co}]|[\p{Cc}&&[^\t\r\n]]") & text.rlike(r"\p{L}"), text)
+
+
+def _from_bytes(raw: Column) -> Column:
+    end = lambda t: F.regexp_replace(t, "\0+$", "")
+    utf8 = F.when(F.is_valid_utf8(raw.cast("string")), end(raw.cast("string")))
+    wide = F.when(F.hex(raw).rlike("^(?:..0[0-7])+$"), end(F.decode(raw, "UTF-16LE")))
+    return F.coalesce(once(utf8, _printed), once(wide, _printed))
+
+
 def hex_text(token: Column) -> Column:
-    """The readable text of a run of hexadecimal bytes with at least one letter: UTF-8, or else UTF-16LE below U+0800."""
-    digits = F.regexp_replace(F.regexp_replace(token, "0x", ""), "[ :,-]", "")
-    raw = F.when(~digits.rlike("^[0-9]+$") & (F.length(digits) % 2 == 0), F.unhex(digits))
-    utf8 = F.when(_readable(raw).rlike(r"\p{L}"), _readable(raw))
-    wide = F.when((F.length(raw) % 2 == 0) & F.hex(raw).rlike("^(?:..0[0-7])+$"), F.decode(raw, "UTF-16LE"))
-    return F.coalesce(utf8, F.when(~wide.rlike(r"[\p{Cc}&&[^\t\r\n]]") & wide.rlike(r"\p{L}"), wide))
+    """The text of a run of hexadecimal bytes if it can be printed and holds a letter: UTF-8, or else UTF-16LE below U+0800.
+    Unbroken decimal digits are a number; zero bytes at the end are left out."""
+    number = token.rlike("^(?:0[xX])?[0-9]+$")
+    return once(F.when(~number, F.unhex(F.regexp_replace(token, "0[xX]|[ :,-]", ""))), _from_bytes)
 
 
 def hex_runs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     """keys, i, token, decoded of runs of nine or more hexadecimal bytes that read as text."""
     found = _candidates(rows, HEX, text, keys)
-    decoded = found.select("token").distinct().withColumn("decoded", hex_text(F.col("token"))).filter("decoded is not null")
-    return found.join(decoded, "token").select(*keys, "i", "token", "decoded")
+    return found.withColumn("decoded", hex_text(F.col("token"))).filter("decoded is not null")
 
 
 def kinds(rows: DataFrame, text: str = "text", keys=KEYS, wanted=("pem", "base64", "hex")) -> DataFrame:
@@ -109,22 +141,32 @@ def kinds(rows: DataFrame, text: str = "text", keys=KEYS, wanted=("pem", "base64
 
 def base64_values(rows: DataFrame, value: str, keys=KEYS) -> DataFrame:
     """keys, decoded of values that are Base64 as a whole; eight characters are enough for those."""
-    whole = F.col(value).rlike(r"^(?:[A-Za-z0-9+/]{8,}|[A-Za-z0-9_-]{8,})={0,2}$")
-    decoded = rows.filter(whole).select(value).distinct().withColumn("decoded", base64_text(F.col(value))).filter("decoded is not null")
-    return rows.join(decoded, value).select(*keys, "decoded")
+    found = rows.filter(F.col(value).rlike(WHOLE)).withColumn("decoded", base64_text(F.col(value)))
+    return found.filter("decoded is not null").select(*keys, "decoded")
+
+
+def pem_text(block: Column) -> Column:
+    """The block with its readable text between its marks, or null."""
+    body = F.regexp_replace(F.regexp_extract(block, PEM, 2), _BREAK, "")
+    said = F.rtrim(_readable(F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))))
+    label = F.regexp_extract(block, PEM, 1)
+    return F.concat(F.lit("-----BEGIN "), label, F.lit("-----\n"), said, F.lit("\n-----END "), label, F.lit("-----"))
+
+
+def _base64_or_pem(token: Column) -> Column:
+    return F.coalesce(F.when(token.startswith("-----BEGIN "), pem_text(token)).otherwise(base64_text(token)), token)
 
 
-def _or_itself(read):
-    return lambda token: F.coalesce(read(token), token)
+def _hex_or_itself(token: Column) -> Column:
+    return F.coalesce(hex_text(token), token)
 
 
 def decoded_text(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """Adds ``decoded``: the text with readable Base64, then HEX runs, replaced by what they say."""
+    """Adds ``decoded``: the text with readable PEM blocks and Base64, then HEX runs, replaced by what they say."""
     out = rows.withColumn("decoded", F.col(text))
-    for pattern, read in ((BASE64, base64_text), (HEX, hex_text)):
+    for pattern, read in ((f"{PEM}|{BASE64}", _base64_or_pem), (HEX, _hex_or_itself)):
         tokens, gaps = F.regexp_extract_all("decoded", F.lit(pattern), F.lit(0)), F.split("decoded", pattern, -1)
-        said = F.transform(tokens, _or_itself(read))
-        made = F.array_join(F.zip_with(gaps, said, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+        made = F.array_join(F.zip_with(gaps, F.transform(tokens, read), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
         out = out.withColumn("decoded", F.when(F.col("decoded").rlike(pattern), made).otherwise(F.col("decoded")))
     return out
 

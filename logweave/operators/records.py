@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.dialect import Pattern, compile_pattern
+from logweave.functions.dialect import BEHIND, Pattern, compile_pattern
+from logweave.functions.text import once
 from logweave.operators.scan import CHUNK, running
 
 
@@ -94,12 +95,13 @@ def fields(rows: DataFrame, fmt: Format, only: list[str] | None = None) -> DataF
 
 
 def detect(lines: DataFrame, formats: list[Format]) -> DataFrame:
-    """file_id, format, ratio: the format with the best share of matching lines in the file's head, the first on ties.
+    """file_id, format, ratio: the format with the best share of matching lines in the file's head, the first on ties. Empty
+    lines count, so ``lines`` should hold them.
 
     Files in which no format matches more than a twentieth of the lines are plain.
     """
     # only the head of a file can be among its first lines, so the window never holds more than that
-    head = lines.filter(F.col("byte_offset") < PROBE_CHARS).filter("text <> ''")
+    head = lines.filter(F.col("byte_offset") < PROBE_CHARS)
     head = head.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("byte_offset"))).filter(F.col("k") <= PROBE_LINES)
     shares = head.groupBy("file_id").agg(*[F.avg(F.col("text").rlike(f.pattern.java).cast("double")).alias(f"r{i}") for i, f in enumerate(formats)])
     best = F.array_max(F.array(*[F.struct(F.col(f"r{i}").alias("ratio"), F.lit(-i).alias("o"), F.lit(f.name).alias("name")) for i, f in enumerate(formats)]))
@@ -109,19 +111,27 @@ def detect(lines: DataFrame, formats: list[Format]) -> DataFrame:
 
 
 def transform(text: Column, rules: list[str]) -> Column:
-    """Ordered rules; the first that matches is applied: its groups called Base64Decode become their decoded text.
+    """Ordered rules, each on the result of the one before: in its first match, the groups called Base64Decode become their
+    decoded text (quotes and blanks around them are dropped, bytes that aren't UTF-8 become U+FFFD).
 
-    A group that doesn't decode, other group names, and texts that no rule matches stay as they are.
+    A group that doesn't decode, other group names, and texts that a rule doesn't match stay as they are.
     """
-    out = text
-    for rule in reversed(rules):
-        p = compile_pattern(rule, single_line=True)
-        got = text
+    for rule in rules:
+        p = compile_pattern(rule, single_line=True, behind="Base64Decode")
         if "Base64Decode" in p.names:
-            raw = F.regexp_extract(text, p.java, p.groups("Base64Decode")[0])
-            packed = F.trim(F.translate(raw, "\"'", "  "))
-            decoded = F.try_to_binary(packed, F.lit("base64"))
-            plain_text, place = F.decode(decoded, "UTF-8"), F.instr(text, raw)
-            got = F.when((raw != "") & decoded.isNotNull(), F.overlay(text, plain_text, place, F.length(raw))).otherwise(text)
-        out = F.when(text.rlike(p.java), got).otherwise(out)
+            text = once(text, _decoder(p))
+    return text
+
+
+def _decoder(p: Pattern):
+    return lambda text: _decoded(text, p)
+
+
+def _decoded(text: Column, p: Pattern) -> Column:
+    out = text
+    for group, behind in reversed(list(zip(p.groups("Base64Decode"), p.groups(BEHIND), strict=True))):
+        raw, rest = (F.regexp_extract(text, p.java, g) for g in (group, behind))
+        said = F.make_valid_utf8(F.try_to_binary(F.btrim(raw, F.lit("\" \t\r\n")), F.lit("base64")).cast("string"))
+        place = F.length(text) - F.length(rest) - F.length(raw) + 1
+        out = F.when((raw != "") & said.isNotNull(), F.overlay(out, said, place, F.length(raw))).otherwise(out)
     return out

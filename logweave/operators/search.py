@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.dialect import compile_pattern, literal
+from logweave.functions.text import places
 from logweave.operators.scan import positions
 
 BUCKETS, HISTORY = 1000, 1024
@@ -65,12 +66,8 @@ def sweep(rows: DataFrame, patterns: list[tuple[str, str, bool, bool]]) -> DataF
 def spans(rows: DataFrame, pattern: str, case: bool = False) -> DataFrame:
     """file_id, line_no, start (from 0), length, value of every match: what stands between matches gives their places."""
     java = compile_pattern(pattern, ignore_case=not case).java
-    t = trimmed()
-    some = rows.filter(t.rlike(java)).select("file_id", "line_no", F.regexp_extract_all(t, F.lit(java), F.lit(0)).alias("m"), F.split(t, java, -1).alias("g"))
-    lengths = lambda x: F.transform(x, lambda v: F.length(v))
-    each = some.select("file_id", "line_no", lengths("m").alias("lm"), lengths("g").alias("lg"), F.posexplode("m").alias("i", "value"))
-    total = lambda x, n: F.aggregate(F.slice(x, 1, n), F.lit(0), lambda a, b: a + b)
-    return each.select("file_id", "line_no", (total("lg", F.col("i") + 1) + total("lm", F.col("i"))).cast("int").alias("start"), F.length("value").alias("length"), "value")
+    found = places(rows, trimmed(), java, ("file_id", "line_no"))
+    return found.select("file_id", "line_no", "start", F.length("token").alias("length"), F.col("token").alias("value"))
 
 
 def variable_parts(rows: DataFrame, pattern: str, case: bool = False) -> DataFrame:

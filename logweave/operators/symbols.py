@@ -2,63 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: number, module, optional GUID and age, then the address in the module.
-FRAME = r"(?m)^\s*#?(\d+)[:.]?\s+([\w.-]+)(?:\s*[{(<]([0-9A-Fa-f-]{32,36})[,:]\s*([0-9A-Fa-f]+)[})>])?\s*(?:\+|!)\s*0x([0-9A-Fa-f]+)"
+from logweave.functions.text import places, replaced
+from logweave.operators import scan
+
+_HEX = "[0-9A-Fa-f]"
+_GUID = f"{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}"
+#: A line of its own: number, ``#``, module, then ``!guid,age!address``, ``!address`` or ``+0xaddress``.
+FRAME = rf"(?md)^[ \t]*([0-9]+)#[ \t]*([^\p{{IsWhite_Space}}!+#]+)(?:!(?:({_GUID}),({_HEX}{{1,8}})!)?(?:0[xX])?({_HEX}{{1,16}})|\+0[xX]({_HEX}{{1,16}}))[ \t]*\r?$"
+# What is written behind a frame without a symbol.
+NO_SYMBOLS, NOT_RESOLVED = "no symbols", "symbol not found"
+
+
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
 
 
 def frames(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no"), text: str = "text") -> DataFrame:
-    """keys, i, number, module, guid, age, rva (decimal), frame (as written) of each call-stack line."""
-    some = rows.filter(F.col(text).rlike(FRAME)).select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(FRAME), F.lit(0))).alias("i", "frame"))
-    part = lambda n: F.regexp_extract("frame", FRAME, n)
+    """keys, i, number, module, guid, age, rva (decimal), start (from 0), length, frame (as written, without the blanks
+    around it) of each call-stack line. Lines whose number is beyond 32 bits are none."""
+    cut = lambda t: F.regexp_replace(t, r"^[ \t]+|[ \t\r]+$", "")
+    each = places(rows, F.col(text), FRAME, keys).withColumnRenamed("token", "raw")
+    part = lambda n: F.regexp_extract("raw", FRAME, n)
     filled = lambda c: F.when(c != "", c)
-    rva = F.conv(part(5), 16, 10).cast("decimal(20,0)")
-    return some.select(*keys, "i", part(1).cast("int").alias("number"), part(2).alias("module"), filled(part(3)).alias("guid"), filled(part(4)).alias("age"), rva.alias("rva"), F.trim("frame").alias("frame"))
+    start = F.col("start") + F.length(F.regexp_extract("raw", r"^[ \t]*", 0))
+    number = part(1).try_cast("int")
+    out = each.select(
+        *keys, "i", number.alias("number"), part(2).alias("module"), filled(part(3)).alias("guid"), filled(part(4)).alias("age"),
+        _number(F.coalesce(filled(part(5)), filled(part(6)))).alias("rva"), start.cast("int").alias("start"), F.length(cut(F.col("raw"))).alias("length"), cut(F.col("raw")).alias("frame"),
+    )
+    return out.filter("number is not null")
 
 
 def identity(frame_rows: DataFrame) -> DataFrame:
-    """Adds pdb (base name and .pdb) and index (GUID without dashes in capitals, then the age in hexadecimal)."""
-    name = F.concat(F.regexp_replace("module", r"\.[^.]*$", ""), F.lit(".pdb"))
-    return frame_rows.select("*", name.alias("pdb"), F.upper(F.concat(F.regexp_replace("guid", "-", ""), "age")).alias("index"))
+    """Adds pdb (base name of the module and .pdb) and index (GUID without dashes in capitals, then the age as a
+    hexadecimal number; null without an identity)."""
+    base = F.regexp_extract("module", r"[^/\\]*$", 0)
+    name = F.concat(F.regexp_replace(base, r"\.[^.]*$", ""), F.lit(".pdb"))
+    age = F.hex(F.conv("age", 16, 10).cast("long"))
+    return frame_rows.select("*", name.alias("pdb"), F.upper(F.concat(F.regexp_replace("guid", "-", ""), age)).alias("index"))
 
 
 def symbol_files(frame_rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Adds image_id: the first store (store_ord, file_name, index, image_id) that has the frame's file with its identity,
-    an indexed entry before a flat one (null index); frames without identity only take flat ones."""
+    """Adds image_id: the first store that has the frame's file.
+
+    ``catalogue``: store_ord, file_name, flat, index, other_index, image_id. An entry that isn't flat is filed under its
+    index and wanted only by frames of that identity; a flat one is filed under its name alone, index and other_index are
+    what the file itself says, and a frame with an identity takes it only if one of them is the same. In a store the filed
+    entry comes before the flat one.
+    """
     wanted = frame_rows.select("pdb", "index").distinct()
-    match = (F.lower("file_name") == F.lower("pdb")) & (F.col("c.index").isNull() | (F.col("c.index") == F.col("w.index")))
+    same = F.col("c.index") == F.col("w.index")
+    flat = F.col("w.index").isNull() | same | (F.col("c.other_index") == F.col("w.index"))
+    match = (F.lower("file_name") == F.lower("pdb")) & F.when(F.col("c.flat"), flat).otherwise(same)
     found = wanted.alias("w").join(catalogue.alias("c"), match)
-    best = found.groupBy(F.col("w.pdb").alias("pdb"), F.col("w.index").alias("__index")).agg(F.min_by("image_id", F.struct("store_ord", F.col("c.index").isNull())).alias("image_id"))
+    best = found.groupBy(F.col("w.pdb").alias("pdb"), F.col("w.index").alias("__index")).agg(F.min_by("image_id", F.struct("store_ord", "flat", "image_id")).alias("image_id"))
     on = (F.col("f.pdb") == F.col("b.pdb")) & F.col("f.index").eqNullSafe(F.col("b.__index"))
     return frame_rows.alias("f").join(best.alias("b"), on, "left").select("f.*", "b.image_id")
 
 
 def resolve(frame_rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds function, displacement, file, line, status: the symbol (image_id, rva, function, file, line) with the greatest
-    address not above the frame's; distinct addresses are resolved once."""
-    asked = frame_rows.filter("image_id is not null").select("image_id", "rva").distinct()
-    both = symbols.select("image_id", "rva", F.struct(F.col("rva").alias("at"), "function", "file", "line").alias("s")).unionByName(asked.withColumn("s", F.lit(None)), allowMissingColumns=True)
-    w = Window.partitionBy("image_id").orderBy("rva").rangeBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("g", F.last("s", ignorenulls=True).over(w)).filter("s is null").select("image_id", "rva", "g")
-    known = symbols.select("image_id").distinct().withColumn("__known", F.lit(True))
-    j = frame_rows.join(got, ["image_id", "rva"], "left").join(known, "image_id", "left")
+    address not above the frame's. Distinct addresses are resolved once, and a module with many is cut to ranges of
+    addresses, so that no task sees all of it."""
+    asked = frame_rows.filter("image_id is not null").select("image_id", "rva", F.lit(None).alias("s"), F.lit(True).alias("asked"))
+    known = symbols.select("image_id", "rva", F.struct(F.col("rva").alias("at"), "function", "file", "line").alias("s"), F.lit(False).alias("asked"))
+    places = known.unionByName(asked.withColumn("s", F.lit(None).cast(known.schema["s"].dataType))).groupBy("image_id", "rva").agg(F.min("s").alias("s"), F.max("asked").alias("asked"))
+    got = scan.running(places, ["image_id"], "rva", {"g": ("last", F.col("s"))}).filter("asked").select("image_id", "rva", "g")
+    images = symbols.select("image_id").distinct().withColumn("__known", F.lit(True))
+    j = frame_rows.join(got, ["image_id", "rva"], "left").join(images, "image_id", "left")
     status = F.when(F.col("g").isNotNull(), "resolved").when(F.col("__known"), "not resolved").otherwise("no symbols")
     return j.select(*frame_rows.columns, F.col("g.function").alias("function"), (F.col("rva") - F.col("g.at")).cast("decimal(20,0)").alias("displacement"), F.col("g.file").alias("file"), F.col("g.line").alias("line"), status.alias("status"))
 
 
 def source_paths(paths: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """path, root_ord, rel_path: per root (root_ord, rel_path) the longest tail of the path that exists; first root wins."""
-    parts = F.split(F.translate("path", "\\", "/"), "/")
-    tails = paths.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("rel_path"))
-    found = tails.join(catalogue, "rel_path")
-    return found.groupBy("path").agg(F.min(F.struct("root_ord", -F.length("rel_path"), "rel_path")).alias("b")).select("path", "b.root_ord", "b.rel_path")
-
-
-def annotate(resolved: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
-    """keys, stack: the frames of a record in order, with function, displacement and place where they are known."""
-    place = F.coalesce(F.concat(F.lit(" ["), "file", F.lit(" @ "), F.col("line").cast("string"), F.lit("]")), F.lit(""))
-    known = F.concat(F.col("number").cast("string"), F.lit("# "), "module", F.lit("!"), "function", F.lit("+0x"), F.lower(F.hex(F.col("displacement").cast("long"))), place)
-    shown = F.when(F.col("status") == "resolved", known).otherwise(F.col("frame"))
-    return resolved.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shown.alias("s")))), lambda x: x["s"]), "\n").alias("stack"))
+    """path, root_ord, rel_path: the path itself if it exists (an entry without root_ord), else per root the longest tail
+    of its parts that exists; the first root wins. A drive is no part."""
+    given = paths.select("path").distinct()
+    parts = F.filter(F.split(F.translate("path", "\\", "/"), "/"), lambda p: p != "")
+    parts = F.when(F.get(parts, F.lit(0)).endswith(":"), F.slice(parts, 2, F.size(parts))).otherwise(parts)
+    tail = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))
+    tails = given.withColumn("parts", parts).filter("size(parts) > 0").select("path", F.explode(tail).alias("rel_path"))
+    in_roots = tails.join(catalogue.filter("root_ord is not null"), "rel_path").select("path", "root_ord", "rel_path")
+    whole = given.join(catalogue.filter("root_ord is null").select("rel_path").distinct(), F.col("path") == F.col("rel_path"))
+    found = in_roots.unionByName(whole.select("path", F.lit(None).cast("int").alias("root_ord"), "rel_path"))
+    best = F.min(F.struct(F.coalesce("root_ord", F.lit(-1)).alias("o"), -F.length("rel_path"), "rel_path", "root_ord"))
+    return found.groupBy("path").agg(best.alias("b")).select("path", "b.root_ord", "b.rel_path")
+
+
+def annotate(rows: DataFrame, resolved: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no"), text: str = "text") -> DataFrame:
+    """Adds ``annotated``: the text with each frame replaced by its number, module, function, displacement and place, or
+    followed by why it has none."""
+    place = F.when(F.col("file") != "", F.concat(F.lit(" ["), "file", F.lit(" @ "), F.coalesce("line", F.lit(0)).cast("string"), F.lit("]"))).otherwise(F.lit(""))
+    place = F.coalesce(place, F.lit(""))
+    away = F.when(F.col("displacement") > 0, F.concat(F.lit("+0x"), F.lower(F.hex(F.col("displacement").cast("long"))))).otherwise(F.lit(""))
+    named = F.concat(F.col("number").cast("string"), F.lit("# "), "module", F.lit("!"), "function", away, place)
+    why = F.when(F.col("status") == "no symbols", NO_SYMBOLS).otherwise(NOT_RESOLVED)
+    shown = F.when(F.col("status") == "resolved", named).otherwise(F.concat("frame", F.lit("  ("), why, F.lit(")")))
+    lists = resolved.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length", shown.alias("s")))).alias("__f"))
+    made = replaced(F.col(text), F.col("__f"))
+    joined = rows.join(lists, list(keys), "left")
+    return joined.select(*[rows[c] if c not in keys else F.col(c) for c in rows.columns], F.coalesce(made, F.col(text)).alias("annotated"))

@@ -64,7 +64,7 @@ def field_extraction(spark, sf):
 
 
 @query("""with dl as (select doc_id as file_id, unnest(string_split(coalesce(text, ''), chr(10))) as text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as k from documents),
-head as (select *, row_number() over (partition by file_id order by k) as i from dl where text <> '' and k < 1048576),
+head as (select *, row_number() over (partition by file_id order by k) as i from dl where k < 1048576),
 r as (select file_id, avg(case when regexp_matches(text, '^[A-Z]') then 1.0 else 0 end) as a, avg(case when regexp_matches(text, '^[a-z]') then 1.0 else 0 end) as b, avg(case when regexp_matches(text, '^[A-Z][a-z]') then 1.0 else 0 end) as c from head where i <= 256 group by file_id)
 select file_id, case when greatest(a, b, c) <= 0.05 then 'plain' when a = greatest(a, b, c) then 'capital' when b = greatest(a, b, c) then 'small' else 'sentence' end as format, greatest(a, b, c)::double as ratio from r""")
 def format_detection(spark, sf):
@@ -72,13 +72,14 @@ def format_detection(spark, sf):
     return records.detect(document_lines(spark, sf), formats)
 
 
-@query("""select event_id, case when event_id % 2 = 0 then 'payload "' || event_type || '/' || props || '" end' else 'other ' || event_type end as shown from events""")
+@query("""select event_id, 'x=' || to_base64(event_type::blob) || ' y=' || event_type || '/' || props || ' [' || case when event_id % 2 = 0 then user_id::varchar else to_base64(user_id::varchar::blob) || '!' end || ']' as shown from events""")
 def transformation(spark, sf):
     e = table(spark, sf, "events")
-    coded = F.base64(F.concat("event_type", F.lit("/"), "props").cast("binary"))
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('payload "'), coded, F.lit('" end'))).otherwise(F.concat(F.lit("other "), "event_type"))
-    rules = [r"^payload \"(?'Base64Decode'[A-Za-z0-9+/=]+)\"", r"^other (?'Other'\w+)"]
-    return e.select("event_id", text.alias("text")).select("event_id", records.transform(F.col("text"), rules).alias("shown"))
+    coded = lambda *c: F.base64(F.concat(*c).cast("binary"))
+    # the group's text stands twice where event_type and props are empty, the second rule reads what the first has made
+    text = F.concat(F.lit("x="), coded("event_type"), F.lit(" y="), coded("event_type", F.lit("/"), "props"), F.lit(" ["), coded(F.col("user_id").cast("string")), F.when(F.col("event_id") % 2 == 0, "").otherwise("!"), F.lit("]"))
+    rules = [r"^x=\S+ y=(?'Base64Decode'[A-Za-z0-9+/=]+)", r"/.* (?'Other'\[)(?'Base64Decode'[A-Za-z0-9+/=]+)\]$", r"^other (?'Other'\w+)"]
+    return e.select("event_id", records.transform(text, rules).alias("shown"))
 
 
 @query("""select doc_id, case when length(text) >= 200 then list_aggregate(list_transform(string_split(rtrim(text), chr(10)), lambda x: case when length(x) > 200 then substr(x, 1, 200) || '...' else x end), 'string_agg', chr(10)) else text end as shown from documents""")
@@ -136,10 +137,12 @@ def time_range_lines(spark, sf):
     return timeaxis.line_ranges(rows, ranges, timeaxis.summary(rows))
 
 
-@query("""select o_orderkey, case when d < 1000000 then (d // 1000) || ' ms' when d < 60000000 then (d // 1000000) || case when d // 100000 % 10 > 0 then '.' || (d // 100000 % 10) else '' end || ' s'
-when d < 3600000000 then (d // 60000000) || ' min ' || (d % 60000000 // 1000000) || ' s' when d < 86400000000 then (d // 3600000000) || ' h ' || (d % 3600000000 // 60000000) || ' min'
-else (d // 86400000000) || ' d ' || (d % 86400000000 // 3600000000) || ' h' end as shown
-from (select o_orderkey, (o_orderkey * 7919 * case o_orderkey % 4 when 0 then 1 when 1 then 1000 when 2 then 100000 else 1000000 end)::bigint as d from orders)""")
+@query("""with d as (select o_orderkey, (o_orderkey * 7919 * case o_orderkey % 4 when 0 then 1 when 1 then 1000 when 2 then 100000 else 1000000 end)::bigint as d from orders),
+p as (select *, case when d < 3600000000 then d // 60000000 when d < 86400000000 then d // 3600000000 else d // 86400000000 end as large,
+  case when d < 3600000000 then d % 60000000 // 1000000 when d < 86400000000 then d % 3600000000 // 60000000 else d % 86400000000 // 3600000000 end as rest,
+  case when d < 3600000000 then ['min', 'sec'] when d < 86400000000 then ['h', 'min'] else ['d', 'h'] end as unit from d)
+select o_orderkey, case when d <= 0 then '0 ms' when d < 1000000 then (d // 1000) || ' ms' when d < 60000000 then regexp_replace(round(d::decimal(18,0) / 1000000, 1)::decimal(9,1)::varchar, '[.]0$', '') || ' sec'
+else large || ' ' || unit[1] || case when rest > 0 then ' ' || rest || ' ' || unit[2] else '' end end as shown from p""")
 def duration_formatting(spark, sf):
     k = F.col("o_orderkey")
     d = k * 7919 * F.when(k % 4 == 0, 1).when(k % 4 == 1, 1000).when(k % 4 == 2, 100000).otherwise(1000000)

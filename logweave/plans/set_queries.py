@@ -294,7 +294,7 @@ MAPPED = f"{LOG}, map as (select 'users' as list, 'T-' || n_nationkey * 5 as val
 
 @query(f"with {MAPPED} select file_id, line_no, token, list, mapping from (select file_id, line_no, unnest([level, thread]) as token from rec) t join map on map.value = t.token")
 def code_occurrences(spark, sf):
-    return dictionaries.occurrences(parsed_rows(spark, sf), _mappings(spark, sf)).drop("i")
+    return dictionaries.occurrences(parsed_rows(spark, sf), _mappings(spark, sf)).drop("i", "start")
 
 
 @query(f"with {MAPPED} select file_id, line_no, time || ' ' || level || coalesce('(' || a.mapping || ')', '') || ' ' || thread || coalesce('(' || b.mapping || ')', '') || ' ' || component || ' ' || message as annotated from rec left join map a on a.value = level left join map b on b.value = thread")
@@ -364,7 +364,7 @@ def decoded_text(spark, sf):
     return payloads.decoded_text(_coded(spark, sf).filter("line_no % 3 < 2")).select("line_no", "decoded")
 
 
-@query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when event_id % 3 = 2 then 'key -----BEGIN DATA-----\\n' || to_base64(s::blob) || '\\n-----END DATA-----' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p")
+@query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when event_id % 3 = 2 then 'key -----BEGIN DATA-----' || chr(10) || s || chr(10) || '-----END DATA-----' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p")
 def decoded_text_all(spark, sf):
     return payloads.decoded_text(_coded(spark, sf)).select("line_no", "decoded")
 
@@ -417,45 +417,72 @@ def text_terms(spark, sf):
 # ---- call stacks, rendered from lineitem; symbols are parts
 
 
+GUID = "01234567-89AB-CDEF-0123-456789ABCDEF"
+
+
 def _stacks(spark, sf):
+    """Records of frames in all three spellings: with an identity, with an address alone, and with a sign before it."""
     li = table(spark, sf, "lineitem")
-    frame = F.concat(F.lit("#"), F.col("l_linenumber").cast("string"), F.lit(" mod"), (F.col("l_suppkey") % 10).cast("string"), F.lit(".dll {0123456789ABCDEF0123456789ABCDEF,"), F.hex(F.col("l_suppkey") % 10), F.lit("} + 0x"), F.lower(F.hex(F.col("l_partkey") * 16 + F.col("l_linenumber"))))
-    d = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(frame)), "\n").alias("text"))
+    module = F.concat(F.lit("mod"), (F.col("l_suppkey") % 10).cast("string"), F.lit(".dll"))
+    rva = F.lower(F.hex(F.col("l_partkey") * 16 + F.col("l_linenumber") - 1))
+    k = F.col("l_linenumber") % 3
+    place = F.when(k == 0, F.concat(F.lit(f"!{GUID},0"), (F.col("l_suppkey") % 10).cast("string"), F.lit("!"), rva)).when(k == 1, F.concat(F.lit("!"), rva)).otherwise(F.concat(F.lit("+0x"), rva))
+    frame = F.concat(F.when(k == 1, "  ").otherwise(""), F.col("l_linenumber").cast("string"), F.lit("# "), module, place)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", frame.alias("f")))), lambda x: x["f"])
+    d = li.groupBy("l_orderkey").agg(F.concat(F.lit("Call stack:\n"), F.array_join(lines, "\n")).alias("text"))
     return d.select(F.lit(0).alias("file_id"), F.col("l_orderkey").alias("line_no"), "text")
 
 
 def _symbols(spark, sf):
     p = table(spark, sf, "part").filter("p_partkey % 3 = 0")
-    return p.select(F.concat(F.lit("image"), (F.col("p_partkey") % 10).cast("string")).alias("image_id"), (F.col("p_partkey") * 16).cast("decimal(20,0)").alias("rva"), F.col("p_name").alias("function"), F.lit("main.c").alias("file"), F.col("p_partkey").cast("int").alias("line"))
+    images = F.explode(F.array(F.concat(F.lit("image"), (F.col("p_partkey") % 10).cast("string")), F.concat(F.lit("flat"), (F.col("p_partkey") % 10).cast("string"))))
+    return p.select(images.alias("image_id"), (F.col("p_partkey") * 16).cast("decimal(20,0)").alias("rva"), F.col("p_name").alias("function"), F.lit("main.c").alias("file"), F.col("p_partkey").cast("int").alias("line"))
 
 
 def _catalogue(spark, sf):
+    """Filed symbol files of modules below 8; flat ones of another identity for 0 and 1 in a store before; a flat one of 8
+    whose second identity fits."""
     s = table(spark, sf, "supplier").filter("s_suppkey < 9")
-    indexed = s.select(F.lit(1).alias("store_ord"), F.concat(F.lit("mod"), F.col("s_suppkey").cast("string"), F.lit(".pdb")).alias("file_name"), F.concat(F.lit("0123456789ABCDEF0123456789ABCDEF"), F.hex("s_suppkey")).alias("index"), F.concat(F.lit("image"), F.col("s_suppkey").cast("string")).alias("image_id"))
-    flat = s.filter("s_suppkey < 2").select(F.lit(0).alias("store_ord"), F.concat(F.lit("mod"), F.col("s_suppkey").cast("string"), F.lit(".pdb")).alias("file_name"), F.lit("other").alias("index"), F.lit("wrong").alias("image_id"))
-    return indexed.unionByName(flat)
+    key, name = F.col("s_suppkey").cast("string"), F.concat(F.lit("mod"), F.col("s_suppkey").cast("string"), F.lit(".pdb")).alias("file_name")
+    own = F.concat(F.lit(GUID.replace("-", "")), key)
+    entry = lambda store, flat, index, other, image: (F.lit(store).alias("store_ord"), name, F.lit(flat).alias("flat"), index.alias("index"), other.cast("string").alias("other_index"), F.concat(F.lit(image), key).alias("image_id"))
+    filed = s.filter("s_suppkey < 8").select(*entry(1, False, own, F.lit(None), "image"))
+    before = s.filter("s_suppkey < 2").select(*entry(0, True, F.lit("other"), F.lit(None), "flat"))
+    after = s.filter("s_suppkey = 8").select(*entry(2, True, F.lit("other"), own, "image"))
+    return filed.unionByName(before).unionByName(after)
 
 
-FRAMES = "fr as (select l_orderkey as line_no, l_linenumber as number, 'mod' || l_suppkey % 10 || '.dll' as module, l_suppkey % 10 as m, l_partkey * 16 + l_linenumber as rva from lineitem)"
+FRAMES = f"""f0 as (select l_orderkey as line_no, l_linenumber as number, l_suppkey % 10 as m, l_partkey * 16 + l_linenumber - 1 as rva, l_linenumber % 3 as k,
+  case when l_linenumber % 3 = 1 then '  ' else '' end as lead from lineitem),
+fa as (select *, 'mod' || m || '.dll' as module, case when k = 0 then '{GUID.replace("-", "")}' || m end as index,
+  number || '# mod' || m || '.dll' || case k when 0 then '!{GUID},0' || m || '!' when 1 then '!' else '+0x' end || printf('%x', rva) as frame,
+  case when k = 0 and m < 9 then 'image' || m when k <> 0 and m < 2 then 'flat' || m when k <> 0 and m = 8 then 'image8' end as image from f0),
+fr as (select *, row_number() over (partition by line_no order by number, frame) - 1 as i from fa)"""
 
 
-@query(f"with {FRAMES} select line_no, number, module, rva::double as rva, '0123456789ABCDEF0123456789ABCDEF' || m as index from fr")
+@query(f"with {FRAMES} select line_no, i::integer as i, number, module, rva::double as rva, index, (11 + sum(1 + length(lead || frame)) over (partition by line_no order by i) - length(frame))::integer as start, frame from fr")
 def call_stack_frames(spark, sf):
-    return symbols.identity(symbols.frames(_stacks(spark, sf))).select("line_no", "number", "module", F.col("rva").cast("double").alias("rva"), "index")
+    return symbols.identity(symbols.frames(_stacks(spark, sf))).select("line_no", "i", "number", "module", F.col("rva").cast("double").alias("rva"), "index", "start", "frame")
+
+
+def _images(spark, sf):
+    """Suppliers 0 to 8 name the modules whose symbols are known."""
+    return symbols.symbol_files(symbols.identity(symbols.frames(_stacks(spark, sf))), _catalogue(spark, sf))
+
+
+HELD = f"{FRAMES}, fi as (select fr.* exclude (image), case when exists (select 1 from supplier where s_suppkey = fr.m) then image end as image from fr)"
 
 
-@query(f"with {FRAMES} select coalesce(image, '-') as image_id, count(*) as n from (select case when m < 9 then 'image' || m end as image from fr) group by 1")
+@query(f"with {HELD} select line_no, number, coalesce(image, '-') as image_id from fi")
 def symbol_file_lookup(spark, sf):
-    found = symbols.symbol_files(symbols.identity(symbols.frames(_stacks(spark, sf))), _catalogue(spark, sf))
-    return found.groupBy(F.coalesce("image_id", F.lit("-")).alias("image_id")).agg(F.count("*").alias("n"))
+    return _images(spark, sf).select("line_no", "number", F.coalesce("image_id", F.lit("-")).alias("image_id"))
 
 
-RESOLVED = f"{FRAMES}, sy as (select p_partkey % 10 as m, p_partkey * 16 as addr, p_name as function, p_partkey as line from part where p_partkey % 3 = 0), r as (select f.*, s.addr, s.function, s.line, case when f.m = 9 then 'no symbols' when s.addr is null then 'not resolved' else 'resolved' end as status from fr f asof left join (select * from sy where m < 9) s on f.m = s.m and f.rva >= s.addr)"
+RESOLVED = f"{HELD}, sy as (select unnest(['image' || p_partkey % 10, 'flat' || p_partkey % 10]) as image, p_partkey * 16 as addr, p_name as function, p_partkey as line from part where p_partkey % 3 = 0), r as (select f.*, s.addr, s.function, s.line, case when f.image is null or f.image not in (select image from sy) then 'no symbols' when s.addr is null then 'not resolved' else 'resolved' end as status from fi f asof left join sy s on f.image = s.image and f.rva >= s.addr)"
 
 
 def _resolved(spark, sf):
-    found = symbols.symbol_files(symbols.identity(symbols.frames(_stacks(spark, sf))), _catalogue(spark, sf))
-    return symbols.resolve(found, _symbols(spark, sf))
+    return symbols.resolve(_images(spark, sf), _symbols(spark, sf))
 
 
 @query(f"with {RESOLVED} select line_no, number, coalesce(function, '') as function, coalesce(rva - addr, -1)::double as displacement, status from r")
@@ -463,11 +490,9 @@ def symbol_resolution(spark, sf):
     return _resolved(spark, sf).select("line_no", "number", F.coalesce("function", F.lit("")).alias("function"), F.coalesce(F.col("displacement").cast("double"), F.lit(-1.0)).alias("displacement"), "status")
 
 
-@query(f"with {RESOLVED} select line_no, count(*) as n, count(*) filter (status = 'resolved') as resolved from r group by line_no")
+@query(f"with {RESOLVED} select line_no, 'Call stack:' || chr(10) || string_agg(lead || case status when 'resolved' then number || '# ' || module || '!' || function || case when rva > addr then '+0x' || printf('%x', rva - addr) else '' end || ' [main.c @ ' || line || ']' when 'no symbols' then frame || '  (no symbols)' else frame || '  (symbol not found)' end, chr(10) order by i) as annotated from r group by line_no")
 def frame_annotation(spark, sf):
-    d = symbols.annotate(_resolved(spark, sf))
-    lines = F.split("stack", "\n")
-    return d.select("line_no", F.size(lines).cast("long").alias("n"), F.size(F.filter(lines, lambda x: x.contains("!"))).cast("long").alias("resolved"))
+    return symbols.annotate(_stacks(spark, sf), _resolved(spark, sf)).select("line_no", "annotated")
 
 
 @query("""with p as (select 'D:/build/' || p_type || '/' || p_brand || '/main.c' as path, p_type || '/' || p_brand || '/main.c' as long, p_brand || '/main.c' as short, p_brand from (select distinct p_type, p_brand from part))

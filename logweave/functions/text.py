@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 BIG_LINE, SHOWN_LINES, FOLD_ABOVE = 4096, 20, 21
 
 
+def right_trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
 def prune(text: Column, size: int = BIG_LINE) -> Column:
     """Texts of ``size`` characters or more: longer lines are cut and end in three dots; trailing white space goes."""
-    cut = F.array_join(F.transform(F.split(F.rtrim(text), "\n"), lambda x: F.when(F.length(x) > size, F.concat(F.substring(x, 1, size), F.lit("..."))).otherwise(x)), "\n")
+    cut = F.array_join(F.transform(F.split(right_trimmed(text), "\n"), lambda x: F.when(F.length(x) > size, F.concat(F.substring(x, 1, size), F.lit("..."))).otherwise(x)), "\n")
     return F.when(F.length(text) >= size, cut).otherwise(text)
 
 
 def break_lines(text: Column, size: int = BIG_LINE) -> Column:
     """The same texts with longer lines split to pieces of ``size`` characters."""
-    pieces = F.regexp_extract_all(F.rtrim(text), F.lit(rf"(?d).{{1,{size}}}|(?<=\n)(?=\n)"), F.lit(0))
+    pieces = F.regexp_extract_all(right_trimmed(text), F.lit(rf"(?d).{{1,{size}}}|(?<=\n)(?=\n)"), F.lit(0))
     return F.when(F.length(text) >= size, F.array_join(pieces, "\n")).otherwise(text)
 
 

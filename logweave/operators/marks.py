@@ -5,20 +5,22 @@ A set is a table (file_id, start, end). All algebra is one sweep over range bord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.scan import running
+from logweave.operators.storage import settled
+
 #: Records to a bucket of the range join.
 BUCKET = 1024
 
 
 def normalise(ranges: DataFrame) -> DataFrame:
     """Sorted ranges without inverted ones, overlapping and adjacent ones joined."""
-    w = Window.partitionBy("file_id").orderBy("start", "end")
-    good = ranges.filter("start <= end").select("file_id", "start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
-    islands = good.withColumn("__new", new).withColumn("__k", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    good = ranges.filter("start <= end").groupBy("file_id", "start").agg(F.max("end").alias("end"))
+    seen = running(good, ["file_id"], "start", {"__reach": ("max", F.col("end"))}, before=True)
+    new = F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + 1), 1).otherwise(0)
+    islands = running(seen.withColumn("__new", new), ["file_id"], "start", {"__k": ("sum", F.col("__new"))})
     return islands.groupBy("file_id", "__k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__k")
 
 
@@ -35,10 +37,10 @@ def _sweep(sets: list[DataFrame]) -> DataFrame:
         good = d.filter("start <= end")
         for part in (good.select("file_id", F.col("start").alias("at"), *step(1)), good.select("file_id", (F.col("end") + 1).alias("at"), *step(-1))):
             events = part if events is None else events.unionByName(part)
-    summed = events.groupBy("file_id", "at").agg(*[F.sum(n).alias(n) for n in names])
-    w = Window.partitionBy("file_id").orderBy("at")
-    pieces = summed.select("file_id", F.col("at").alias("start"), (F.lead("at").over(w) - 1).alias("end"), *[(F.sum(n).over(w) > 0).alias(n) for n in names])
-    return pieces.filter("end is not null")
+    summed = events.groupBy("file_id", "at").agg(*[F.sum(n).alias(f"__d{n}") for n in names])
+    before = running(summed, ["file_id"], "at", {"__from": ("last", F.col("at")), **{n: ("sum", F.col(f"__d{n}")) for n in names}}, before=True)
+    pieces = before.filter("__from is not null").select("file_id", F.col("__from").alias("start"), (F.col("at") - 1).alias("end"), *[(F.col(n) > 0).alias(n) for n in names])
+    return settled(pieces, "pieces")  # they are used more than once
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,13 +68,6 @@ def size(ranges: DataFrame) -> DataFrame:
     return normalise(ranges).groupBy("file_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n"))
 
 
-def toggle(marks: DataFrame, selection: DataFrame) -> DataFrame:
-    """Per file: if any selected row is unmarked all selected are marked, else all are unmarked."""
-    open_files = subtract(selection, marks).select("file_id").distinct()
-    adding, removing = selection.join(open_files, "file_id", "left_semi"), selection.join(open_files, "file_id", "left_anti")
-    return subtract(union(marks, adding), removing)
-
-
 def members(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows in the set; a range join by buckets of records. Numbers out of range are ignored."""
     cut = normalise(ranges).withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
@@ -83,7 +78,7 @@ def members(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def export(rows: DataFrame, ranges: DataFrame, limit: int = 64_000_000) -> DataFrame:
     """value: the text of marked rows in record order, right-trimmed, without NULs; refused above ``limit`` characters."""
-    out = members(rows, ranges).select("file_id", "line_no", F.translate(F.rtrim("text"), "\0", "").alias("value"))
+    out = members(rows, ranges).select("file_id", "line_no", F.translate(F.regexp_replace("text", r"(?U)\s+$", ""), "\0", "").alias("value"))
     if (out.agg(F.sum(F.length("value") + 2)).first()[0] or 0) > limit:
         raise ValueError(f"the selection has more than {limit} characters")
     return out.orderBy("file_id", "line_no").select("value")

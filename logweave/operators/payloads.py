@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import once
+from logweave.functions.text import once, right_trimmed
 from logweave.operators.storage import settled
 
 KEYS = ("file_id", "line_no")
@@ -148,7 +148,7 @@ def base64_values(rows: DataFrame, value: str, keys=KEYS) -> DataFrame:
 def pem_text(block: Column) -> Column:
     """The block with its readable text between its marks, or null."""
     body = F.regexp_replace(F.regexp_extract(block, PEM, 2), _BREAK, "")
-    said = F.rtrim(_readable(F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))))
+    said = right_trimmed(_readable(F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))))
     label = F.regexp_extract(block, PEM, 1)
     return F.concat(F.lit("-----BEGIN "), label, F.lit("-----\n"), said, F.lit("\n-----END "), label, F.lit("-----"))
 

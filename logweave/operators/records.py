@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.dialect import BEHIND, Pattern, compile_pattern
-from logweave.functions.text import once
+from logweave.functions.text import once, right_trimmed
 from logweave.operators.scan import CHUNK, running
 
 
@@ -58,7 +58,7 @@ def records(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
 
 def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
     """file_id, text of what stands before the first record, right-trimmed."""
-    return assemble(lines, fmt, chunk).filter("line_no < 0").select("file_id", F.rtrim("text").alias("text"))
+    return assemble(lines, fmt, chunk).filter("line_no < 0").select("file_id", right_trimmed(F.col("text")).alias("text"))
 
 
 def plain(lines: DataFrame) -> DataFrame:
@@ -131,7 +131,8 @@ def _decoded(text: Column, p: Pattern) -> Column:
     out = text
     for group, behind in reversed(list(zip(p.groups("Base64Decode"), p.groups(BEHIND), strict=True))):
         raw, rest = (F.regexp_extract(text, p.java, g) for g in (group, behind))
-        said = F.make_valid_utf8(F.try_to_binary(F.btrim(raw, F.lit("\" \t\r\n")), F.lit("base64")).cast("string"))
+        packed = F.btrim(raw, F.lit("\" \t\r\n"))
+        said = F.make_valid_utf8(F.try_to_binary(F.when(F.length(packed) % 4 == 0, packed), F.lit("base64")).cast("string"))
         place = F.length(text) - F.length(rest) - F.length(raw) + 1
         out = F.when((raw != "") & said.isNotNull(), F.overlay(out, said, place, F.length(raw))).otherwise(out)
     return out

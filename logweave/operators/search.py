@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.dialect import compile_pattern, literal
 from logweave.functions.text import places
-from logweave.operators.scan import positions
+from logweave.operators.scan import positions, running
 
 BUCKETS, HISTORY = 1000, 1024
 
@@ -41,13 +41,14 @@ def hits(rows: DataFrame, found: Column) -> DataFrame:
 
 def neighbours(found: DataFrame, anchors: DataFrame) -> DataFrame:
     """file_id, anchor, next_hit, previous_hit: from each anchor record, wrapping round. found: file_id, line_no."""
-    both = found.select("file_id", F.col("line_no").alias("at"), F.col("line_no").alias("h"), F.lit(None).cast("long").alias("anchor"))
-    both = both.unionByName(anchors.select("file_id", F.col("anchor").alias("at"), F.lit(None).cast("long").alias("h"), "anchor"))
-    w = Window.partitionBy("file_id").orderBy("at")
-    seen = both.withColumn("n", F.min("h").over(w.rangeBetween(1, Window.unboundedFollowing))).withColumn("p", F.max("h").over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    hit = found.select("file_id", F.col("line_no").alias("at"), F.col("line_no").alias("h"), F.lit(0).alias("a"))
+    both = hit.unionByName(anchors.select("file_id", F.col("anchor").alias("at"), F.lit(None).cast("long").alias("h"), F.lit(1).alias("a")))
+    spots = both.groupBy("file_id", "at").agg(F.max("h").alias("h"), F.sum("a").alias("a")).withColumn("__back", -F.col("at"))
+    seen = running(spots, ["file_id"], "at", {"p": ("last", F.col("h"))}, before=True)
+    seen = running(seen, ["file_id"], "__back", {"n": ("last", F.col("h"))}, before=True)
     ends = found.groupBy("file_id").agg(F.min("line_no").alias("f"), F.max("line_no").alias("l"))
-    out = seen.filter("anchor is not null").join(ends, "file_id")
-    return out.select("file_id", "anchor", F.coalesce("n", "f").alias("next_hit"), F.coalesce("p", "l").alias("previous_hit"))
+    out = seen.filter("a > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("a").cast("int")))).join(ends, "file_id")
+    return out.select("file_id", F.col("at").alias("anchor"), F.coalesce("n", "f").alias("next_hit"), F.coalesce("p", "l").alias("previous_hit"))
 
 
 def buckets(found: DataFrame, totals: DataFrame, count: int = BUCKETS) -> DataFrame:

@@ -69,9 +69,10 @@ def context(rows: DataFrame, hits: DataFrame, around: int) -> DataFrame:
 def nearest(view: DataFrame, anchors: DataFrame, clamp: bool = False) -> DataFrame:
     """file_id, anchor, view_pos: place in each file's view of the first row at or after a record; the last row if there
     is none, or the end with ``clamp``. One row per file of sums, and per anchor a search among the file's rows."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    both = view.select("file_id", "line_no", F.lit(1).alias("v"), F.lit(None).cast("long").alias("anchor")).unionByName(anchors.select("file_id", F.col("anchor").alias("line_no"), F.lit(0).alias("v"), "anchor"))
-    before = F.coalesce(F.sum("v").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = both.withColumn("p", before).filter("anchor is not null")
+    row = view.select("file_id", "line_no", F.lit(1).alias("v"), F.lit(0).alias("a"))
+    both = row.unionByName(anchors.select("file_id", F.col("anchor").alias("line_no"), F.lit(0).alias("v"), F.lit(1).alias("a")))
+    places = both.groupBy("file_id", "line_no").agg(F.sum("v").alias("v"), F.sum("a").alias("a"))
+    seen = running(places, ["file_id"], "line_no", {"p": ("sum", F.col("v"))}, before=True).filter("a > 0")
+    seen = seen.select("file_id", F.col("line_no").alias("anchor"), F.coalesce("p", F.lit(0)).alias("p"), F.explode(F.sequence(F.lit(1), F.col("a").cast("int"))))
     sizes = view.groupBy("file_id").agg(F.count("*").alias("n"))
     return seen.join(sizes, "file_id").select("file_id", "anchor", F.least("p", F.col("n") - (0 if clamp else 1)).alias("view_pos"))

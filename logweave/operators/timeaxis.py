@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from logweave.functions.times import DAY, HOUR
 from logweave.operators.scan import CHUNK, previous, running
 
+#: Microseconds to a chunk of times.
+TIME_CHUNK = 60_000_000
+
 
 def normalise(rows: DataFrame, time_only: bool, chunk: int = CHUNK) -> DataFrame:
     """Adds ts_norm. Times of day that fall by more than an hour start a new day, smaller steps back are lifted to the
@@ -48,9 +51,10 @@ def line_ranges(rows: DataFrame, ranges: DataFrame, files: DataFrame) -> DataFra
     """range_id, file_id, line_from, line_to: the half-open record range of an inclusive time range (range_id, t_from,
     t_to), for timed files that aren't empty. Both searches are counts, for all ranges in one pass."""
     timed = rows.join(files.filter("timed and n > 0").select("file_id"), "file_id", "left_semi")
-    per_time = timed.groupBy("file_id", "ts_norm").agg(F.count("*").alias("c"))
-    # ranges are a stated set of questions; every file answers each of them
-    counts = per_time.join(ranges, F.col("ts_norm") <= F.col("t_to"))
-    found = counts.groupBy("range_id", "file_id").agg(F.sum(F.when(F.col("ts_norm") < F.col("t_from"), F.col("c")).otherwise(0)).alias("line_from"), F.sum("c").alias("line_to"))
-    every = files.filter("timed and n > 0").select("file_id").join(ranges.select("range_id"), F.lit(True))
-    return every.join(found, ["range_id", "file_id"], "left").select("range_id", "file_id", F.coalesce("line_from", F.lit(0)).alias("line_from"), F.coalesce("line_to", F.lit(0)).alias("line_to"))
+    each = files.filter("timed and n > 0").select("file_id").join(ranges, F.lit(True))  # every file answers each of the stated questions
+    asked = each.select("file_id", "range_id", F.explode(F.array(F.struct((F.col("t_from") - 1).alias("t"), F.lit(0).alias("k")), F.struct(F.col("t_to").alias("t"), F.lit(1).alias("k")))).alias("q"))
+    asked = asked.select("file_id", "range_id", "q.t", "q.k")
+    counted = timed.select("file_id", F.col("ts_norm").alias("t"), F.lit(1).alias("c")).unionByName(asked.select("file_id", "t", F.lit(0).alias("c")).distinct())
+    sums = running(counted.groupBy("file_id", "t").agg(F.sum("c").alias("c")), ["file_id"], "t", {"upto": ("sum", F.col("c"))}, chunk=TIME_CHUNK)
+    found = asked.join(sums, ["file_id", "t"])
+    return found.groupBy("range_id", "file_id").agg(F.max(F.when(F.col("k") == 0, F.col("upto"))).alias("line_from"), F.max(F.when(F.col("k") == 1, F.col("upto"))).alias("line_to"))

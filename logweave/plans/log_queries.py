@@ -37,7 +37,7 @@ def record_assembly(spark, sf):
     return records.records(document_lines(spark, sf), OPENS)
 
 
-@query(f"with {DOC_LINES} select file_id, rtrim(text) as text from recs where line_no < 0")
+@query(f"with {DOC_LINES} select file_id, regexp_replace(text, '\\s+$', '') as text from recs where line_no < 0")
 def headers(spark, sf):
     return records.headers(document_lines(spark, sf), OPENS)
 
@@ -82,12 +82,12 @@ def transformation(spark, sf):
     return e.select("event_id", records.transform(text, rules).alias("shown"))
 
 
-@query("""select doc_id, case when length(text) >= 200 then list_aggregate(list_transform(string_split(rtrim(text), chr(10)), lambda x: case when length(x) > 200 then substr(x, 1, 200) || '...' else x end), 'string_agg', chr(10)) else text end as shown from documents""")
+@query("""select doc_id, case when length(text) >= 200 then list_aggregate(list_transform(string_split(regexp_replace(text, '\\s+$', ''), chr(10)), lambda x: case when length(x) > 200 then substr(x, 1, 200) || '...' else x end), 'string_agg', chr(10)) else text end as shown from documents""")
 def big_line_pruning(spark, sf):
     return table(spark, sf, "documents").select("doc_id", shape.prune(F.col("text"), 200).alias("shown"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(rtrim(text), chr(10))) as x, length(text) >= 200 as long from documents)
+@query("""with l as (select doc_id, unnest(string_split(regexp_replace(text, '\\s+$', ''), chr(10))) as x, length(text) >= 200 as long from documents)
 select doc_id, max(case when long then least(length(x), 200) else 0 end)::integer as longest, case when any_value(long) then sum(greatest(1, ceil(length(x) / 200.0)))::integer else 0 end as pieces from l group by doc_id""")
 def big_line_breaking(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.split(shape.break_lines(F.col("text"), 200), "\n").alias("l"))
@@ -214,17 +214,9 @@ def hit_numbers(spark, sf):
     return _hits(spark, sf)
 
 
-@query(f"""with {HITS}, a as (select file_id, unnest(range(0, 2000, 37)) as anchor from (select distinct file_id from rec)), e as (select file_id, min(line_no) as f, max(line_no) as l from h group by file_id)
-select a.file_id, a.anchor, coalesce((select min(line_no) from h where h.file_id = a.file_id and h.line_no > a.anchor), e.f) as next_hit, coalesce((select max(line_no) from h where h.file_id = a.file_id and h.line_no < a.anchor), e.l) as previous_hit from a join e using (file_id)""")
-def neighbour_hits(spark, sf):
-    found = _hits(spark, sf).select("file_id", "line_no")
-    anchors = found.select("file_id").distinct().select("file_id", F.explode(F.expr("sequence(0L, 1999L, 37L)")).alias("anchor"))
-    return search.neighbours(found, anchors)
-
-
 @query(f"""with {HITS}, e as (select file_id, min(line_no) as f, max(line_no) as l from h group by file_id), r as (select rec.file_id, rec.line_no as anchor, h.line_no as hit from rec left join h on h.file_id = rec.file_id and h.line_no = rec.line_no)
 select file_id, anchor, coalesce(min(hit) over (partition by file_id order by anchor rows between 1 following and unbounded following), f) as next_hit, coalesce(max(hit) over (partition by file_id order by anchor rows between unbounded preceding and 1 preceding), l) as previous_hit from r join e using (file_id)""")
-def neighbour_hits_all(spark, sf):
+def neighbour_hits(spark, sf):
     anchors = parsed_rows(spark, sf).select("file_id", F.col("line_no").alias("anchor"))
     return search.neighbours(_hits(spark, sf).select("file_id", "line_no"), anchors)
 
@@ -324,17 +316,9 @@ def hit_context(spark, sf):
     return sequences.context(parsed_rows(spark, sf).select("file_id", "line_no"), _hits(spark, sf), 2)
 
 
-@query(f"""with {LOG}, v as (select file_id, line_no, row_number() over (partition by file_id order by line_no) - 1 as p from rec where level = 'ERROR'), a as (select file_id, unnest(range(0, 2600, 53)) as anchor from (select distinct file_id from v))
-select a.file_id, a.anchor, coalesce((select min(p) from v where v.file_id = a.file_id and v.line_no >= a.anchor), (select max(p) from v where v.file_id = a.file_id))::bigint as view_pos from a""")
-def nearest_visible_row(spark, sf):
-    view = parsed_rows(spark, sf).filter("Level = 'ERROR'").select("file_id", "line_no")
-    anchors = view.select("file_id").distinct().select("file_id", F.explode(F.expr("sequence(0L, 2599L, 53L)")).alias("anchor"))
-    return sequences.nearest(view, anchors)
-
-
 @query(f"""with {LOG}, n as (select file_id, count(*) as n from rec where level = 'ERROR' group by file_id)
 select file_id, line_no as anchor, least(count(*) filter (level = 'ERROR') over (partition by file_id order by line_no rows between unbounded preceding and 1 preceding), n - 1)::bigint as view_pos from rec join n using (file_id)""")
-def nearest_visible_row_all(spark, sf):
+def nearest_visible_row(spark, sf):
     rows = parsed_rows(spark, sf)
     return sequences.nearest(rows.filter("Level = 'ERROR'").select("file_id", "line_no"), rows.select("file_id", F.col("line_no").alias("anchor")))
 

@@ -48,17 +48,11 @@ def _small(df):
     return df.select(*[F.col(c).alias(c.lower()) for c in df.columns])
 
 
-@query(f"with {MERGED} select pos, source_ix, line_no, severity, thread, component, message from merged")
-def merged_logs(spark, sf):
-    brief = F.when(F.col("source_ix") == 2, F.substring("message", 1, 20)).otherwise(F.col("message"))  # as its SQL shows documents
-    return merged_logs_all(spark, sf).withColumn("message", brief)
-
-
 WHOLE_MERGED = MERGED.replace("substr(text, 1, 20)", "coalesce(text, '')")
 
 
 @query(f"with {WHOLE_MERGED} select pos, source_ix, line_no, severity, thread, component, message from merged")
-def merged_logs_all(spark, sf):
+def merged_logs(spark, sf):
     return _small(merge.merge(_sources(spark, sf)).drop("source_timed", "ts_norm"))
 
 
@@ -68,17 +62,9 @@ def merged_time_axis(spark, sf):
     return timeaxis.summary(timeaxis.normalise(rows, False)).select("monotonic", "min_ts", "max_ts", "n")
 
 
-@query("select * from (values (0, 'Severity', true), (1, 'Thread', true), (2, 'Message', false), (3, 'Component', true)) t(ord, name, indexed) where (select count(*) from events) > 0")
-def merged_schema(spark, sf):
-    sources = _sources(spark, sf)
-    some = sources[0].rows.limit(1).select(F.lit(1))
-    rows = [(i, "Severity" if n == "severity" else n, x) for i, (n, x, _) in enumerate(merge.merged_schema(sources))]
-    return spark.createDataFrame(rows, "ord int, name string, indexed boolean").join(some, F.lit(True), "left_semi")
-
-
 @query(f"""with {WHOLE_MERGED}, c as (select count(nullif(severity, '')) as s, count(nullif(thread, '')) as t, count(nullif(message, '')) as m, count(nullif(component, '')) as c from merged)
 select 0 as ord, 'Severity' as name, true as indexed, s as n from c union all select 1, 'Thread', true, t from c union all select 2, 'Message', false, m from c union all select 3, 'Component', true, c from c""")
-def merged_schema_all(spark, sf):
+def merged_schema(spark, sf):
     counts = merge.field_counts(_sources(spark, sf))
     return counts.withColumn("name", F.when(F.col("name") == "severity", "Severity").otherwise(F.col("name")))
 
@@ -154,12 +140,6 @@ def _set_query(sets: str):
     return f"with {POINTS}, s as ({sets}), {ISLANDS}"
 
 
-@query(_set_query("select * from a"))
-def ranges_normalised(spark, sf):
-    return marks.normalise(_ranges(spark, sf, 0))
-
-
-# The queries named ..._all take whole tables; where a query of the same name without _all reads less, its SQL says so.
 EVERY_POINT = "s as (select distinct l_suppkey % 5 as file_id, unnest(range(l_orderkey * 3, l_orderkey * 3 + l_linenumber - 2)) as x from lineitem)"
 
 
@@ -168,12 +148,12 @@ def _every_range(spark, sf):
 
 
 @query(f"with {EVERY_POINT}, {ISLANDS}")
-def ranges_normalised_all(spark, sf):
+def ranges_normalised(spark, sf):
     return marks.normalise(_every_range(spark, sf))
 
 
 @query(f"with {EVERY_POINT} select file_id, count(*) as n from s group by file_id")
-def ranges_size_all(spark, sf):
+def ranges_size(spark, sf):
     return marks.size(_every_range(spark, sf))
 
 
@@ -187,12 +167,12 @@ LOWER = "ext as (select file_id, (min(x) + max(x)) // 2 as mid from (select * fr
 
 
 @query(f"with {POINTS}, {LOWER}, s as (select * from (select * from a except select * from al) union select * from bl), {ISLANDS}")
-def ranges_restore_all(spark, sf):
+def ranges_restore(spark, sf):
     return marks.restore(_ranges(spark, sf, 0), _ranges(spark, sf, 1), _lower_half(spark, sf))
 
 
 @query(f"with {POINTS}, {LOWER}, open as (select distinct file_id from (select * from bl except select * from a)), s as ((select * from a union select * from bl where file_id in (from open)) except select * from bl where file_id not in (from open)), {ISLANDS}")
-def ranges_toggle_all(spark, sf):
+def ranges_toggle(spark, sf):
     return marks.toggle(_ranges(spark, sf, 0), marks.intersect(_ranges(spark, sf, 1), _lower_half(spark, sf)))
 
 
@@ -211,25 +191,6 @@ def ranges_intersect(spark, sf):
     return marks.intersect(_ranges(spark, sf, 0), _ranges(spark, sf, 1))
 
 
-@query(_set_query("select * from (select * from a except select * from a where x < 3000) union (select * from b where x < 3000)"))
-def ranges_restore(spark, sf):
-    a, b = _ranges(spark, sf, 0), _ranges(spark, sf, 1)
-    affected = a.select("file_id").distinct().union(b.select("file_id").distinct()).distinct().select("file_id", F.lit(-10).cast("long").alias("start"), F.lit(2999).cast("long").alias("end"))
-    return marks.restore(a, b, affected)
-
-
-@query(f"with {POINTS}, sel as (select * from b where x < 2000), open as (select distinct file_id from (select * from sel except select * from a)), s as ((select * from a union select * from sel where file_id in (from open)) except select * from sel where file_id not in (from open)), {ISLANDS}")
-def ranges_toggle(spark, sf):
-    a, b = _ranges(spark, sf, 0), _ranges(spark, sf, 1)
-    limits = b.select("file_id").distinct().select("file_id", F.lit(-10).cast("long").alias("start"), F.lit(1999).cast("long").alias("end"))
-    return marks.toggle(a, marks.intersect(b, limits))
-
-
-@query(f"with {POINTS} select file_id, count(*) as n from a group by file_id")
-def ranges_size(spark, sf):
-    return marks.size(_ranges(spark, sf, 0))
-
-
 def _marks(spark, sf):
     return table(spark, sf, "orders").filter("o_orderkey % 40 = 0").select((F.col("o_orderkey") % 3).alias("file_id"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 9).alias("end"))
 
@@ -237,21 +198,6 @@ def _marks(spark, sf):
 MARKS = f"{LOG}, m as (select o_orderkey % 3 as file_id, o_orderkey as a, o_orderkey + o_custkey % 9 as z from orders where o_orderkey % 40 = 0)"
 
 
-@query(f"with {MARKS} select distinct r.file_id, r.line_no, r.text from rec r join m on r.file_id = m.file_id and r.line_no between a and z")
-def marked_rows(spark, sf):
-    return marks.members(parsed_rows(spark, sf), _marks(spark, sf)).select("file_id", "line_no", "text")
-
-
-@query(f"with {MARKS} select distinct r.file_id, r.line_no from rec r join m on r.file_id = m.file_id and r.line_no between a and z where level <> 'VIEW'")
-def visible_marks(spark, sf):
-    return filters.Filter().add("Level", ["VIEW"]).apply(marks.members(parsed_rows(spark, sf), _marks(spark, sf))).select("file_id", "line_no")
-
-
-@query(f"with {MARKS} select r.text as value from rec r where exists (select 1 from m where r.file_id = m.file_id and r.line_no between a and z)")
-def selection_export(spark, sf):
-    return marks.export(parsed_rows(spark, sf), _marks(spark, sf))
-
-
 def _every_mark(spark, sf):
     return table(spark, sf, "orders").select((F.col("o_orderkey") % 3).alias("file_id"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 9).alias("end"))
 
@@ -260,23 +206,24 @@ EVERY_MARK = f"{LOG}, m as (select distinct o_orderkey % 3 as file_id, unnest(ra
 
 
 @query(f"with {EVERY_MARK} select file_id, line_no, text from rec semi join m using (file_id, line_no)")
-def marked_rows_all(spark, sf):
+def marked_rows(spark, sf):
     return marks.members(parsed_rows(spark, sf), _every_mark(spark, sf)).select("file_id", "line_no", "text")
 
 
 @query(f"with {EVERY_MARK} select file_id, line_no from rec semi join m using (file_id, line_no) where level <> 'VIEW'")
-def visible_marks_all(spark, sf):
+def visible_marks(spark, sf):
     return filters.Filter().add("Level", ["VIEW"]).apply(marks.members(parsed_rows(spark, sf), _every_mark(spark, sf))).select("file_id", "line_no")
 
 
 @query(f"with {EVERY_MARK} select text as value from rec semi join m using (file_id, line_no)")
-def selection_export_all(spark, sf):
+def selection_export(spark, sf):
     return marks.export(parsed_rows(spark, sf), _every_mark(spark, sf))
 
 
-@query("select distinct user_id as value from events where user_id not in (select o_custkey from orders)")
+@query("select distinct user_id as value from events where user_id not in (select user_id from events where event_type = 'error')")
 def values_except(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").alias("value")).subtract(table(spark, sf, "orders").select("o_custkey"))
+    e = table(spark, sf, "events").select("event_type", F.col("user_id").alias("value"))
+    return e.select("value").subtract(e.filter("event_type = 'error'").select("value"))
 
 
 # ---- dictionaries and rules
@@ -359,23 +306,13 @@ def payload_kinds(spark, sf):
     return payloads.kinds(_coded(spark, sf))
 
 
-@query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p where event_id % 3 < 2")
-def decoded_text(spark, sf):
-    return payloads.decoded_text(_coded(spark, sf).filter("line_no % 3 < 2")).select("line_no", "decoded")
-
-
 @query(f"with {PLAIN} select event_id as line_no, case when event_id % 3 = 0 then 'sent ' || s || ' ok' when event_id % 3 = 2 then 'key -----BEGIN DATA-----' || chr(10) || s || chr(10) || '-----END DATA-----' when regexp_matches(hex(s), '^[0-9]+$') then 'raw ' || hex(s) || ' ok' else 'raw ' || s || ' ok' end as decoded from p")
-def decoded_text_all(spark, sf):
+def decoded_text(spark, sf):
     return payloads.decoded_text(_coded(spark, sf)).select("line_no", "decoded")
 
 
-@query("select event_id as line_no, event_type || ' at home' as decoded from events where event_id % 5 = 0")
-def glued_base64(spark, sf):
-    return _glued(table(spark, sf, "events").filter("event_id % 5 = 0"))
-
-
 @query("select event_id as line_no, event_type || ' at home' as decoded from events")
-def glued_base64_all(spark, sf):
+def glued_base64(spark, sf):
     return _glued(table(spark, sf, "events"))
 
 
@@ -384,13 +321,8 @@ def _glued(e):
     return payloads.glued_base64(d).select("line_no", "decoded")
 
 
-@query("select event_id, json_extract_string(props, '$.k') || ' of user ' || user_id as decoded from events where event_id % 4 = 0")
-def decoded_leaves(spark, sf):
-    return _coded_leaves(table(spark, sf, "events").filter("event_id % 4 = 0"))
-
-
 @query("select event_id, json_extract_string(props, '$.k') || ' of user ' || user_id as decoded from events where json_extract_string(props, '$.k') is not null")
-def decoded_leaves_all(spark, sf):
+def decoded_leaves(spark, sf):
     return _coded_leaves(table(spark, sf, "events"))
 
 

@@ -47,9 +47,9 @@ def test_extents(spark):
 
 
 def test_transformation(spark):
-    d = spark.createDataFrame([("data 'aGVsbG8=' end",), ("data '%%%' end",), ("nothing",)], "text string")
-    rule = r"^data (?'Base64Decode''[^']+')"
-    assert [r[0] for r in d.select(records.transform(F.col("text"), [rule])).collect()] == ["data hello end", "data '%%%' end", "nothing"]
+    d = spark.createDataFrame([('data "aGVsbG8=" end',), ('data "%%%" end',), ("nothing",)], "text string")
+    rule = r"^data (?'Base64Decode'\"[^\"]+\")"
+    assert [r[0] for r in d.select(records.transform(F.col("text"), [rule])).collect()] == ["data hello end", 'data "%%%" end', "nothing"]
 
 
 def test_dialect():
@@ -104,4 +104,4 @@ def test_shapes(spark):
     kept, cut = shape.fold(F.col("t"))
     assert [r[0] for r in long.select(cut).collect()] == [5, 0]
     v = spark.createDataFrame([(12,), (1500,), (61_000,), (3_660_000,), (90_000_000,)], "ms long")
-    assert [r[0] for r in v.select(times.show_duration(F.col("ms") * 1000)).collect()] == ["12 ms", "1.5 s", "1 min 1 s", "1 h 1 min", "1 d 1 h"]
+    assert [r[0] for r in v.select(times.show_duration(F.col("ms") * 1000)).collect()] == ["12 ms", "1.5 sec", "1 min 1 sec", "1 h 1 min", "1 d 1 h"]

@@ -12,7 +12,9 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="logweave-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="logweave-")  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

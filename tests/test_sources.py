@@ -1,6 +1,6 @@
 from logweave.operators.records import Format, records
 from logweave.plans.base import CLOCK
-from logweave.sources import text
+from logweave.sources import ranges, text
 from logweave.sources.ranges import Lines, framed
 from logweave.streaming import live
 
@@ -76,3 +76,28 @@ def test_live_search_and_facets(spark, tmp_path):
         q = made.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
     assert spark.table("hits").count() == 2 and spark.table("facets").count() == 3
+
+
+def test_pieces_do_not_depend_on_blocks(tmp_path, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    data = "".join(rnd.choice(["a", "bc", "\r\n", "\n", "\n\n", "long " * 9, "é"]) for _ in range(400)).encode()
+    p = tmp_path / "f"
+    p.write_bytes(data)
+    expected = whole(data)
+    for block in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(ranges, "BLOCK", block)
+        for split in (3, 17, 1 << 20):
+            got = [x for s in range(0, len(data), split) for x in framed(str(p), s, min(s + split, len(data)), "utf-8", 0)]
+            assert got == expected, (block, split)
+
+
+def test_both_sources_number_files_alike(spark, tmp_path):
+    spark.dataSource.register(Lines)
+    p = tmp_path / "A b+c.log"
+    p.write_bytes("one\r\n\xff bad\r\ntwo\r\n".encode("latin-1"))
+    mine = spark.read.format("log_lines").option("path", str(p)).load()
+    assert [r.text for r in mine.orderBy("byte_offset").collect()] == ["one", "� bad", "two"]
+    ids = {r.file_id for d in (mine, text.files(spark, str(tmp_path)), text.lines(spark, str(tmp_path))) for r in d.select("file_id").collect()}
+    assert len(ids) == 1

@@ -3,6 +3,10 @@
 Toxic documents go; one document of each group of near copies stays; documents that hold a benchmark item go; the rest is
 mixed to the target weights of its sources, a document as many times as it is taken; the mix is encoded and written as
 token files, of which the last stage returns the digests. Every stage but the last returns the columns of documents.
+
+Defined cases: null and empty texts are neither toxic nor near copies nor decontaminated, and have no words to be taken; rows
+without an id pass the first three stages; rows of equal id and text are one document from the second stage on; texts are
+read whole; further columns are handed on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,24 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from logweave.llm import decontaminate, mixing, ngram_join, tokens, toxicity
 from logweave.llm.common import scratch, settled, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.usable()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs.select(*COLUMNS))
+    return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,10 +71,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     Documents with copies are found by doc_id; repeated ids of one source are drawn alike, so one decision for each id
     and source is joined back.
     """
-    decided = plan(docs, weights, share, most).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
+    decided = plan(docs, weights, share, most).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
     joined = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
-    return joined.filter("copies > 0").select(*docs.columns, times).drop("__copy")
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
+    return joined.filter("__copies > 0").select(*docs.columns, times).drop("__copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Suffix-array dedup (operator 10): removes every 50-byte string that also starts in a document with a smaller id.
 
-Suffixes are ordered only as deep as the threshold, by most-significant-digit passes, and after each pass only groups
-with more than one document go on. The suffixes that are looked at are content-defined: each window of 50 bytes is
-represented by the smallest hash of its 24-byte strings, so equal windows have the same anchor at the same place.
-
-1. First digit: the 24 bytes at the anchor. Anchors that no other document has are done.
-2. Second digit: all bytes of the windows that share the anchor. Where a smaller document has the same, all are repeated.
-3. Groups of the first digit in which the second is the same everywhere are done too: their windows stand in no smaller
+Suffixes are not ordered one by one: plain most-significant-digit passes over all suffixes don't meet the limits (README).
+Instead groups of equal strings are refined in passes, and after each pass only groups with more than one document go on.
+What is grouped is content-defined: each window of 50 bytes is represented by the smallest hash of its 24-byte strings, so
+equal windows have the same anchor at the same place, and the groups left at the end are exactly the repeated windows.
+
+1. The 24 bytes at the anchor. Anchors that no other document has are done.
+2. All bytes of the windows that share the anchor. Where a smaller document has the same, all are repeated.
+3. Groups of the first pass in which the second finds the same everywhere are done too: their windows stand in no smaller
    document than the first one that has them.
-4. Last digit: the single windows of the anchors that are left.
+4. The single windows of the anchors that are left.
 
-Digits travel as 64-bit fingerprints dealt by a second fingerprint; equal fingerprints are taken as equal strings.
+Strings travel as 64-bit fingerprints dealt by a second fingerprint; equal fingerprints are taken as equal strings.
 
 Defined cases: null and empty texts have 0 bytes and keep the digest of nothing; texts under 50 bytes are kept whole; rows
 with a null doc_id neither remove nor lose anything; rows with the same id don't remove each other's bytes; texts of any

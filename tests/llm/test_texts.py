@@ -336,3 +336,27 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in kept.select("doc_id").collect())
     assert last.agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first()[:] == (last.agg(F.sum("n_tokens")).first()[0],) * 2
+
+
+def test_pipeline_takes_nulls_repeats_and_further_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 20").collect()
+    schema = DOCS + ", copies long, toxic string, part int"
+    long = "ein sehr langer text " * 60_000
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "k", "z", 7, "x", 1) for r in given]
+    rows += [(i, t, None, s, None, None, None, None, None, None) for i, t, s in [(900, None, None), (901, "", "a"), (None, "no id", "a"), (902, long, "b"), (902, long, "b"), (903, long, "b")]]
+    docs = spark.createDataFrame(rows, schema)
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == spark.createDataFrame([], schema).columns, name
+        docs = spark.createDataFrame(docs.collect(), schema)
+        ids[name] = sorted(r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id >= 900)
+    assert ids["toxicity"] == [900, 901, 902, 902, 903] and ids["ngram_join"] == ids["decontamination"] == [900, 901, 902]
+    assert set(ids["mixing"]) <= {901, 902} and len(ids["mixing"]) <= 4
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == docs.count()
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty_out = stage(spark, empty, sf)
+        assert empty_out.count() == 0

@@ -234,12 +234,13 @@ def saved_search_sweep(spark, sf):
 
 
 @query("""with w as (select doc_id as file_id, 0::bigint as line_no, regexp_replace(text, '[\\r\\n]+$', '') as t from documents),
-m as (select file_id, line_no, unnest(regexp_extract_all(t, 'tion\\w*')) as value from w)
-select file_id, line_no, length(value)::integer as length, value, count(*) as n from m group by all""")
+s as (select file_id, line_no, string_split_regex(t, 'tion\\w*') as g, regexp_extract_all(t, 'tion\\w*') as m from w),
+e as (select *, unnest(range(0, len(m))) as i from s)
+select file_id, line_no, (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::integer as start, length(m[i + 1])::integer as length, m[i + 1] as value from e""")
 def match_spans(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.lit(0).cast("long").alias("line_no"), "text")
     found = search.spans(rows, r"tion[0-9A-Za-z_]*", case=True)
-    return found.groupBy("file_id", "line_no", "length", "value").agg(F.count("*").alias("n"))
+    return found
 
 
 @query(f"""with {LOG}, c as (select regexp_extract(text, 'ERROR (.*) comp(.*) value', ['a', 'b']) as c from rec where regexp_matches(text, 'ERROR .* comp.* value'))

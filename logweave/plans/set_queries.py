@@ -220,10 +220,9 @@ def selection_export(spark, sf):
     return marks.export(parsed_rows(spark, sf), _every_mark(spark, sf))
 
 
-@query("select distinct user_id as value from events where user_id not in (select user_id from events where event_type = 'error')")
+@query("select distinct o_custkey as value from orders where o_custkey not in (select user_id from events)")
 def values_except(spark, sf):
-    e = table(spark, sf, "events").select("event_type", F.col("user_id").alias("value"))
-    return e.select("value").subtract(e.filter("event_type = 'error'").select("value"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("value")).subtract(table(spark, sf, "events").select("user_id"))
 
 
 # ---- dictionaries and rules

@@ -101,3 +101,18 @@ def test_both_sources_number_files_alike(spark, tmp_path):
     assert [r.text for r in mine.orderBy("byte_offset").collect()] == ["one", "� bad", "two"]
     ids = {r.file_id for d in (mine, text.files(spark, str(tmp_path)), text.lines(spark, str(tmp_path))) for r in d.select("file_id").collect()}
     assert len(ids) == 1
+
+
+def test_live_merge_appends_and_names_the_times_touched(spark, tmp_path):
+    schema = "file_id long, line_no long, ts_norm long, text string"
+    rows = [(0, 0, 10, "a"), (1, 0, 5, "b"), (0, 1, 20, "c"), (1, 1, 15, "d")]
+    for k in (0, 2):
+        spark.createDataFrame(rows[k : k + 2], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    touched = []
+    q = live.merge_into(stream, "live_records", lambda session, first, last: touched.append((first, last)), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert q.exception() is None and sorted(touched) == [(5, 10), (15, 20)]
+    merged = [r.text for r in spark.table("live_records").orderBy("ts_norm", "file_id", "line_no").collect()]
+    spark.sql("drop table live_records")
+    assert merged == ["b", "a", "d", "c"]

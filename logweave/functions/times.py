@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logweave.functions.text import once
+
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 #: Microseconds from 1970-01-01 to the first day of year 1.
 FIRST_DAY = -719_162 * DAY
-#: Layouts tried in turn where a format names none.
-AUTO = ["yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss"]
+#: Where a format names none: these two by the length of the text, else the general parse by the shape of the date.
+AUTO = {23: "yyyy-MM-dd HH:mm:ss.SSS", 19: "yyyy-MM-dd HH:mm:ss"}
+GENERAL = {
+    r"\d{4}-": "yyyy-M-d",
+    r"\d{4}/": "yyyy/M/d",
+    r"\d{1,2}/": "M/d/yyyy",
+    r"\d{1,2} [A-Za-z]{3} ": "d MMM yyyy",
+    r"\d{1,2} [A-Za-z]": "d MMMM yyyy",
+    r"[A-Za-z]{3} \d{1,2}, ": "MMM d, yyyy",
+    r"[A-Za-z]+ \d{1,2}, ": "MMMM d, yyyy",
+}
 
 
 def java_layout(layout: str) -> str:
@@ -23,10 +34,33 @@ def is_time_only(layout: str | None) -> bool:
     return bool(layout) and not set("yMd") & set(layout)
 
 
+def _tried(text: Column, layout: str) -> Column:
+    return F.unix_micros(F.try_to_timestamp(text, F.lit(layout)))
+
+
+def _general(text: Column) -> Column:
+    """English dates with or without a time, in 24 or 12 hours, with or without an offset."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9}, +", ""), r"(?<=\d)T(?=\d)", " ")
+    half = r"(?i).*\d ?[ap]m$"
+    one = F.regexp_replace(F.regexp_replace(plain, "(?i) ?gmt$", "Z"), "(?i)(?<=\\d) ?([ap]m)$", " $1")
+
+    def read(t: Column) -> Column:
+        out = None
+        for shape, date in GENERAL.items():
+            this = F.when(t.rlike(half), _tried(t, f"{date} h:m[:s[.SSSSSSSSS]] a")).otherwise(_tried(t, f"{date}[ H:m[:s[.SSSSSSSSS]][XXX]]"))
+            out = F.when(t.rlike(f"^{shape}"), this) if out is None else out.when(t.rlike(f"^{shape}"), this)
+        return out
+
+    return once(one, read)
+
+
 def parse(text: Column, layout: str | None = None) -> Column:
-    """Microseconds since 1970-01-01, or of the day for a layout without a date."""
-    tried = [F.unix_micros(F.try_to_timestamp(text, F.lit(java_layout(x)))) for x in ([layout] if layout else AUTO)]
-    return F.coalesce(*tried) if len(tried) > 1 else tried[0]
+    """Microseconds since 1970-01-01, or of the day for a layout without a date; null where the text doesn't fit. Without a
+    layout, English dates are read; a time of day alone has no date and is missing."""
+    if layout:
+        return _tried(text, java_layout(layout))
+    quick = [F.when(F.length(text) == n, _tried(text, x)) for n, x in AUTO.items()]
+    return F.coalesce(*quick, _general(text))
 
 
 def show(micros: Column, time_only: bool = False) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.der import describe
 from logweave.functions.text import once, right_trimmed
 from logweave.operators.storage import settled
 
@@ -95,14 +96,57 @@ def pem(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return found.select(*keys, "i", F.regexp_extract("token", PEM, 1).alias("label"), blob.alias("b")).filter("b is not null").select(*keys, "i", "label", F.length("b").alias("n_bytes"), F.sha1("b").alias("sha1"))
 
 
+def _described(found: DataFrame, blob: Column) -> DataFrame:
+    """Adds the fields of the certificate or public key that the bytes are; null if they are neither. Each distinct one is
+    read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([(n, {"int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}.get(t, pa.string())) for n, t in _KEY_FIELDS])
+        for b in batches:
+            raw = b.column(0)
+            yield pa.RecordBatch.from_arrays([raw, pa.array([describe(x) for x in raw.to_pylist()], kind)], ["__b", "__k"])
+
+    fields = ", ".join(f"{n}: {t}" for n, t in _KEY_FIELDS)
+    rows = found.withColumn("__b", blob)
+    some = rows.filter("__b is not null").select("__b").distinct()
+    return rows.join(some.mapInArrow(run, f"__b binary, __k struct<{fields}>"), "__b", "left").select(*found.columns, "__k.*")
+
+
+#: What is read of a key or certificate; those of a key alone are algorithm, bits and exponent.
+_KEY_FIELDS = [("kind", "string"), ("algorithm", "string"), ("bits", "int"), ("exponent", "bigint"), ("subject", "string"), ("issuer", "string"), ("serial", "string"), ("not_before", "string"), ("not_after", "string"), ("thumbprint", "string"), ("signature", "string"), ("names", "array<string>")]
+
+
+def rsa_blobs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
+    """keys, i, token, kind, algorithm, bits, exponent, modulus (hexadecimal, highest byte first) of Base64 of 64 or more
+    characters that holds a public key blob: a header of little-endian numbers with the letters RSA1, then the modulus."""
+    found = _candidates(rows, r"(?<![A-Za-z0-9+/])Bg[A-Za-z0-9+/]{62,}={0,2}", text, keys)
+    h = F.hex(_packed(F.col("token")))
+    backwards = lambda at, n: F.array_join(F.reverse(F.regexp_extract_all(F.substring(h, 2 * at + 1, 2 * n), F.lit("(..)"), F.lit(1))), "")
+    number = lambda at: F.conv(backwards(at, 4), 16, 10).cast("long")
+    code = backwards(4, 4)
+    named = F.when(code == "0000A400", "CALG_RSA_KEYX").when(code == "00002400", "CALG_RSA_SIGN").otherwise(F.concat(F.lit("0x"), F.regexp_replace(code, "^0{0,4}", "")))
+    rsa = F.substring(h, 1, 4).eqNullSafe("0602") & (F.substring(h, 17, 8) == "52534131")
+    read = found.filter(rsa).select(*keys, "i", "token", F.lit("rsa blob").alias("kind"), named.alias("algorithm"), number(12).alias("bits"), number(16).alias("exponent"), h.alias("__h"))
+    whole = (F.col("bits") > 0) & (F.col("bits") < 1 << 31) & (F.col("bits") % 8 == 0) & (F.length("__h") >= 40 + F.col("bits") / 4)
+    h = F.col("__h")
+    return read.filter(whole).select(*keys, "i", "token", "kind", "algorithm", "bits", "exponent", backwards(20, (F.col("bits") / 8).cast("int")).alias("modulus"))
+
+
 def key_blobs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, i, token, kind, bits, exponent of bare keys: Base64 of 64 or more characters that starts MI (DER) or Bg
-    (a key blob whose header gives bits and exponent as little-endian numbers)."""
-    found = _candidates(rows, r"(?<![A-Za-z0-9+/])(?:MI|Bg)[A-Za-z0-9+/]{62,}={0,2}", text, keys)
-    h = F.hex(F.try_to_binary("token", F.lit("base64")))
-    number = lambda at: F.conv(F.concat(*[F.substring(h, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
-    rsa = F.substring(h, 17, 8) .isin("52534131", "52534132")  # the letters RSA1 and RSA2
-    return found.select(*keys, "i", "token", F.when(rsa, "rsa blob").when(F.substring(h, 1, 2) == "30", "der").alias("kind"), F.when(rsa, number(12)).alias("bits"), F.when(rsa, number(16)).alias("exponent")).filter("kind is not null")
+    """keys, i, token, kind, algorithm, bits, exponent, modulus of bare keys: public key blobs (see ``rsa_blobs``), and Base64
+    of 64 or more characters from MI on that holds a certificate or a public key in DER (no modulus)."""
+    found = _candidates(rows, r"(?<![A-Za-z0-9+/])MI[A-Za-z0-9+/]{62,}={0,2}", text, keys)
+    der = _described(found, _packed(F.col("token"))).filter("kind is not null")
+    der = der.select(*keys, "i", "token", "kind", "algorithm", F.col("bits").cast("long").alias("bits"), "exponent", F.lit(None).cast("string").alias("modulus"))
+    return rsa_blobs(rows, text, keys).unionByName(der)
+
+
+def certificates(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
+    """keys, i, label and the fields of the certificates in PEM blocks."""
+    found = _candidates(rows, PEM, text, keys).withColumn("label", F.regexp_extract("token", PEM, 1)).filter(F.col("label").isin("CERTIFICATE", "TRUSTED CERTIFICATE", "X509 CERTIFICATE"))
+    body = F.regexp_replace(F.regexp_extract("token", PEM, 2), _BREAK, "")
+    blob = F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))
+    return _described(found, blob).filter("kind = 'certificate'").drop("token", "kind")
 
 
 def _printed(text: Column) -> Column:

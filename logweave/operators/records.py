@@ -43,22 +43,29 @@ PLAIN = Format("plain", r"^(?'Text'.*)")
 PROBE_LINES, PROBE_CHARS, LEAST_SHARE = 256, 1 << 20, 0.05
 
 
-def assemble(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
-    """Records and, with line_no -1, the header of each file."""
+def _numbered(lines: DataFrame, fmt: Format, chunk: int) -> DataFrame:
+    """Lines with the number of their record; -1 before the first."""
     start = F.col("text").rlike(fmt.pattern.java)
     numbered = running(lines, ["file_id"], "byte_offset", {"line_no": ("sum", start.cast("long"))}, chunk=chunk)
+    return numbered.withColumn("line_no", F.col("line_no") - 1)
+
+
+def _gathered(numbered: DataFrame) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("byte_offset", "text")))
-    grouped = numbered.withColumn("line_no", F.col("line_no") - 1).groupBy("file_id", "line_no").agg(pieces.alias("p"))
+    grouped = numbered.groupBy("file_id", "line_no").agg(pieces.alias("p"))
     return grouped.select("file_id", "line_no", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
 def records(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
-    return assemble(lines, fmt, chunk).filter("line_no >= 0")
+    return _gathered(_numbered(lines, fmt, chunk).filter("line_no >= 0"))
 
 
 def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
-    """file_id, text of what stands before the first record, right-trimmed."""
-    return assemble(lines, fmt, chunk).filter("line_no < 0").select("file_id", right_trimmed(F.col("text")).alias("text"))
+    """file_id, text of what stands before the first record, right-trimmed. Files without a record have no header, so none
+    of them is gathered."""
+    before = _numbered(lines, fmt, chunk).filter("line_no < 0")
+    with_records = lines.filter(F.col("text").rlike(fmt.pattern.java)).select("file_id").distinct()
+    return _gathered(before.join(with_records, "file_id", "left_semi")).select("file_id", right_trimmed(F.col("text")).alias("text"))
 
 
 def plain(lines: DataFrame) -> DataFrame:

@@ -64,6 +64,12 @@ def sweep(rows: DataFrame, patterns: list[tuple[str, str, bool, bool]]) -> DataF
     return counted.select("file_id", each).select("e.name", "file_id", "e.hits")
 
 
+def saved(searches: DataFrame, typed: str) -> DataFrame:
+    """Saved searches (name, pattern) whose name or pattern contains the typed text, whatever the case; all if it is blank."""
+    has = lambda c: F.contains(F.lower(c), F.lower(F.lit(typed)))
+    return searches.filter(has("name") | has("pattern")) if typed.strip() else searches
+
+
 def spans(rows: DataFrame, pattern: str, case: bool = False) -> DataFrame:
     """file_id, line_no, start (from 0), length, value of every match: what stands between matches gives their places."""
     java = compile_pattern(pattern, ignore_case=not case).java

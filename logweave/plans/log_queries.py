@@ -37,7 +37,7 @@ def record_assembly(spark, sf):
     return records.records(document_lines(spark, sf), OPENS)
 
 
-@query(f"with {DOC_LINES} select file_id, regexp_replace(text, '\\s+$', '') as text from recs where line_no < 0")
+@query(f"with {DOC_LINES} select file_id, regexp_replace(text, '\\s+$', '') as text from recs where line_no < 0 and file_id in (select file_id from recs where line_no >= 0)")
 def headers(spark, sf):
     return records.headers(document_lines(spark, sf), OPENS)
 
@@ -202,6 +202,28 @@ def ordered_terms_with_exclusions(spark, sf):
     return filters.Filter().add("Thread", ["T-40"]).apply(parsed_rows(spark, sf)).filter(search.matches(p, case=True)).select("file_id", "line_no")
 
 
+@query(f"with {LOG} select file_id, line_no from rec where line_no >= 100 and line_no < 900 and contains(lower(text), 'comp1 value=1')")
+def search_in_range(spark, sf):
+    rows = filters.Filter(lines=(100, 900)).apply(parsed_rows(spark, sf))
+    return rows.filter(search.matches("Comp1 Value=1", regex=False)).select("file_id", "line_no")
+
+
+@query("select p_partkey, p_name as name, p_type as pattern from part where contains(lower(p_name), 'small') or contains(lower(p_type), 'small')")
+def saved_search_filter(spark, sf):
+    return search.saved(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("pattern")), "SmalL")
+
+
+@query("""select event_id, (epoch_us(ts) // 1000 * 1000 // case event_id % 8 when 0 then 1000 when 6 then 86400000000 when 5 then 60000000 when 7 then 60000000 else 1000000 end
+* case event_id % 8 when 0 then 1000 when 6 then 86400000000 when 5 then 60000000 when 7 then 60000000 else 1000000 end)::bigint as micros from events""")
+def general_time_parsing(spark, sf):
+    """The same times in eight spellings, of which some leave out seconds or the time of day."""
+    spellings = ["yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy hh:mm:ss a", "d MMM yyyy HH:mm:ss", "MMMM d, yyyy HH:mm", "yyyy/M/d", "M/d/yyyy H:mm"]
+    text = F.when(F.col("event_id") % 8 == 0, F.date_format("ts", spellings[0]))
+    for i, x in enumerate(spellings[1:], 1):
+        text = text.when(F.col("event_id") % 8 == i, F.date_format("ts", x))
+    return table(spark, sf, "events").select("event_id", times.parse(text).alias("micros"))
+
+
 HITS = f"{LOG}, h as (select file_id, line_no, row_number() over (partition by file_id order by line_no) - 1 as hit from rec where contains(text, 'value=9'))"
 
 

@@ -345,6 +345,21 @@ def text_terms(spark, sf):
     return payloads.terms(d).select("line_no", "kind", "term")
 
 
+@query("""with e as (select *, event_type as t, '_' || user_id as u from events) select event_id as line_no, 'token' as kind, unnest(['net', t, 'user' || u, 'v1.' || event_id, 'it''s']) as term from e""")
+def text_tokens(spark, sf):
+    text = F.concat(F.lit(".net <"), F.col("event_type"), F.lit(">-- user_"), F.col("user_id").cast("string"), F.lit(", v1."), F.col("event_id").cast("string"), F.lit(". it's '"))
+    return payloads.tokens(table(spark, sf, "events").select(F.col("event_id").alias("line_no"), text.alias("text")), keys=("line_no",))
+
+
+@query("""with h as (select event_id, sha256(event_id::varchar) || sha256(user_id::varchar) as h from events)
+select event_id as line_no, 'rsa blob' as kind, 'CALG_RSA_KEYX' as algorithm, 512::bigint as bits, 65537::bigint as exponent, upper(array_to_string(list_reverse(list_transform(range(0, 64), lambda i: substr(h, 2 * i + 1, 2))), '')) as modulus from h""")
+def key_blobs(spark, sf):
+    body = F.concat(F.lit("06020000" "00A40000" "52534131" "00020000" "01000100"), F.sha2(F.col("event_id").cast("string"), 256), F.sha2(F.col("user_id").cast("string"), 256))
+    text = F.concat(F.lit("key "), F.regexp_replace(F.base64(F.unhex(body)), r"\s", ""), F.lit(" end"))
+    d = table(spark, sf, "events").select(F.col("event_id").alias("line_no"), text.alias("text"))
+    return payloads.key_blobs(d, keys=("line_no",)).drop("i", "token")
+
+
 # ---- call stacks, rendered from lineitem; symbols are parts
 
 

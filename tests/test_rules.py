@@ -4,7 +4,7 @@ import base64
 
 from pyspark.sql import functions as F
 
-from logweave.functions import tables, times
+from logweave.functions import der, tables, times
 from logweave.operators import dictionaries, marks, payloads, records, search, symbols
 
 GUID = "38b3dc8d-3d1d-fadd-e67b-593d48abec14"
@@ -97,11 +97,79 @@ def test_glued_tokens_by_the_most_readable_part(spark):
     assert {(r.line_no, r.part, r.decoded) for r in got} == {(0, code, "from the inside"), (1, code, "from the inside")}
 
 
+CERTIFICATE = (
+    "MIICKzCCAZSgAwIBAgICEjQwDQYJKoZIhvcNAQELBQAwIzEOMAwGA1UECgwFV2Vh"
+    "dmUxETAPBgNVBAMMCGxvZy50ZXN0MB4XDTI2MTEyODE3NTkxMloXDTM2MTEyNTE3"
+    "NTkxMlowIzEOMAwGA1UECgwFV2VhdmUxETAPBgNVBAMMCGxvZy50ZXN0MIGfMA0G"
+    "CSqGSIb3DQEBAQUAA4GNADCBiQKBgQDCr6qKMiIy4/qJiN9peQW5ty2R5cAjW8bv"
+    "fqmPZ3BrqXrriyPkOoqm+bTYMboMCP//LLEbiplaZM7iRCi4zWJ+QTAPNu5srd7S"
+    "0CIs/0ixWr0yAziltVTmD7Psx+WCZeRZ7KPOmoxpvlJSqV5JmlbjF/cCcuD3jc1S"
+    "88u47SH1QQIDAQABo24wbDAdBgNVHQ4EFgQU5Vs+TiQN4dJh6JIUyionu0MgPTUw"
+    "HwYDVR0jBBgwFoAU5Vs+TiQN4dJh6JIUyionu0MgPTUwDwYDVR0TAQH/BAUwAwEB"
+    "/zAZBgNVHREEEjAQgghsb2cudGVzdIcECgAAATANBgkqhkiG9w0BAQsFAAOBgQAl"
+    "Q+7a4FeYJFAz1BXoHVpFeHY9iEQeoYnJe4vpZYkjPQ6kG507tEOjHa+bsxVfXGSj"
+    "Bv5aq1wPIzsVcMb5JCBIFAyrtDcwDinouMuYn8Wr0lx/pQxOSnOXyf5TSM4s8q3h"
+    "WQSdRZABlEKr2xmHOUmjdu1x9Zlr428jcg+72Nyemg=="
+)
+RSA_KEY = "MIGfMA0GCSqGSIb3DQEBAQUAA4GNADCBiQKBgQDCr6qKMiIy4/qJiN9peQW5ty2R5cAjW8bvfqmPZ3BrqXrriyPkOoqm+bTYMboMCP//LLEbiplaZM7iRCi4zWJ+QTAPNu5srd7S0CIs/0ixWr0yAziltVTmD7Psx+WCZeRZ7KPOmoxpvlJSqV5JmlbjF/cCcuD3jc1S88u47SH1QQIDAQAB"
+EC_KEY = "MFkwEwYHKoZIzj0CAQYIKoZIzj0DAQcDQgAE77oABGqKbC9GKWfMBhkptPwvCsIF2P4ZEVpV0JaJxssRI0/Q1nfepg/zW43qx2oKQre15j/pk1wvV2+HAwkFBA=="
+
+
 def test_key_blobs(spark):
-    head = bytes([6, 2, 0, 0, 0, 0xA4, 0, 0]) + b"RSA1" + (2048).to_bytes(4, "little") + (65537).to_bytes(4, "little") + bytes(64)
-    der = bytes([0x30, 0x82]) + bytes(70)
-    rows = lines(spark, f"key {base64.b64encode(head).decode()} end", f"key {base64.b64encode(der).decode()} end", "MIIB short")
-    assert {(r.line_no, r.kind, r.bits, r.exponent) for r in payloads.key_blobs(rows).collect()} == {(0, "rsa blob", 2048, 65537), (1, "der", None, None)}
+    code = lambda b: base64.b64encode(b).decode()
+    head = lambda bits, letters=b"RSA1", kind=0xA400: bytes([6, 2, 0, 0]) + kind.to_bytes(4, "little") + letters + bits.to_bytes(4, "little") + (65537).to_bytes(4, "little")
+    modulus = bytes(range(1, 65))
+    texts = [head(512) + modulus, head(512, kind=0x2400) + modulus + b"more", head(512, kind=0x1234) + modulus, head(2048) + modulus, head(510) + modulus, head(512, b"RSA2") + modulus, bytes([0x30, 0x82]) + bytes(70), base64.b64decode(RSA_KEY) + bytes(2)]
+    rows = lines(spark, *[f"key {code(t)} end" for t in texts], f"key {RSA_KEY} end", f"cert {CERTIFICATE} end", f"begins otherwise {EC_KEY}", "MIIB short", "", None)
+    got = {r.line_no: (r.kind, r.algorithm, r.bits, r.exponent, r.modulus) for r in payloads.key_blobs(rows).collect()}
+    backwards = modulus[::-1].hex().upper()
+    assert got == {
+        0: ("rsa blob", "CALG_RSA_KEYX", 512, 65537, backwards), 1: ("rsa blob", "CALG_RSA_SIGN", 512, 65537, backwards), 2: ("rsa blob", "0x1234", 512, 65537, backwards),
+        8: ("public key", "RSA", 1024, 65537, None), 9: ("certificate", "RSA", 1024, 65537, None),
+    }
+
+
+def test_keys_on_elliptic_curves():
+    assert der.describe(base64.b64decode(EC_KEY)) == {"kind": "public key", "algorithm": "ECC", "bits": 256, "exponent": None}
+    assert der.describe(b"") is None and der.describe(b"0") is None and der.describe(base64.b64decode(EC_KEY)[:-1]) is None
+
+
+def test_certificates(spark):
+    block = "\n".join(CERTIFICATE[i : i + 64] for i in range(0, len(CERTIFICATE), 64))
+    pem = lambda label, b: f"-----BEGIN {label}-----\n{b}\n-----END {label}-----"
+    rows = lines(spark, f"got {pem('CERTIFICATE', block)} twice", pem("NOTE", block), pem("CERTIFICATE", "QUJD"), pem("TRUSTED CERTIFICATE", CERTIFICATE), None)
+    got = {r.line_no: r for r in payloads.certificates(rows).collect()}
+    assert set(got) == {0, 3}
+    c = got[0]
+    assert (c.label, c.subject, c.issuer, c.serial, c.names) == ("CERTIFICATE", "CN=log.test, O=Weave", "CN=log.test, O=Weave", "1234", ["log.test", "10.0.0.1"])
+    assert (c.not_before, c.not_after, c.signature) == ("2026-11-28 17:59:12 UTC", "2036-11-25 17:59:12 UTC", "sha256RSA")
+    assert (c.thumbprint, c.algorithm, c.bits, c.exponent) == ("BA1A6F90CE2EBB55CC77CC179EC194D1194CFF4C", "RSA", 1024, 65537)
+
+
+def test_times_without_a_layout(spark):
+    day = "2024-03-05"
+    cases = {
+        "2024-03-05 01:02:03.004": f"{day} 01:02:03.004", "2024-03-05 01:02:03": f"{day} 01:02:03.000", "2024-03-05T01:02:03.5": f"{day} 01:02:03.500", "2024-03-05T01:02:03.1234567Z": f"{day} 01:02:03.123",
+        "2024-03-05T01:02:03+02:00": "2024-03-04 23:02:03.000", "2024-3-5": f"{day} 00:00:00.000", "2024/03/05 1:02": f"{day} 01:02:00.000", "03/05/2024 13:02:03": f"{day} 13:02:03.000", "3/5/2024 1:02:03 PM": f"{day} 13:02:03.000",
+        "Tue, 05 Mar 2024 01:02:03 GMT": f"{day} 01:02:03.000", "5 March 2024": f"{day} 00:00:00.000", "Mar 5, 2024 12:30 am": f"{day} 00:30:00.000", "March 5, 2024": f"{day} 00:00:00.000", " 2024-03-05 ": f"{day} 00:00:00.000",
+        "2024-13-05": "", "2024-02-30 10:00:00": "", "yesterday": "", "": "", "10:00:00": "", None: "",
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", times.show(times.parse(F.col("t"))).alias("s"))
+    assert {r.t: r.s for r in d.collect()} == cases
+
+
+def test_headers_only_before_records(spark):
+    rows = [(0, 0, "title"), (0, 1, "  \t"), (0, 2, "A one"), (0, 3, "rest"), (1, 0, "A only"), (2, 0, "no record"), (2, 1, "at all")]
+    d = spark.createDataFrame(rows, "file_id long, byte_offset long, text string")
+    fmt = records.Format("capital", "^(?'Text'[A-Z].*)")
+    assert [tuple(r) for r in records.headers(d, fmt).collect()] == [(0, "title")]
+    assert sorted(tuple(r) for r in records.records(d, fmt).collect()) == [(0, 0, 2, "A one\nrest"), (1, 0, 0, "A only")]
+
+
+def test_saved_searches_by_name_or_pattern(spark):
+    d = spark.createDataFrame([("Errors", "ERROR .*"), ("slow", "took [0-9]+"), ("x", "an error")], "name string, pattern string")
+    names = lambda typed: sorted(r.name for r in search.saved(d, typed).collect())
+    assert names("erRor") == ["Errors", "x"] and names("SLOW") == ["slow"] and names(" ") == ["Errors", "slow", "x"] and names("none") == []
 
 
 def mappings(spark, rows):

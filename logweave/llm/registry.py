@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import decontaminate, licenses, mixing, ngram_join, quality, sharding, substrings, tokens, topk, toxicity
+from logweave.llm import decontaminate, licenses, mixing, ngram_join, quality, runs, sharding, substrings, tokens, topk, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_substrings": substrings.op10_substrings,
+        "op11_fingerprints": winnowing.op11_fingerprints,
+        "op12_runs": runs.op12_runs,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import decontaminate, licenses, mixing, ngram_join, quality, runs, sharding, substrings, tokens, topk, toxicity, winnowing
+from logweave.llm import alignment, decontaminate, licenses, mixing, ngram_join, quality, runs, sharding, substrings, tokens, topk, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_substrings": substrings.op10_substrings,
         "op11_fingerprints": winnowing.op11_fingerprints,
         "op12_runs": runs.op12_runs,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 

@@ -31,7 +31,8 @@ K, WINDOW = 24, 77
 SPARSE = 16
 #: Windows of a stretch that are worked out together.
 PIECE = 2048
-KEY = ("doc_id", "text_hash")
+#: A document: whether it has no id, its id (0 without one), and the hash of its text; none is null, so joins keep the dealing.
+KEY = ("no_id", "id", "text_hash")
 _PLACES = (1 << 31) - 1
 
 
@@ -100,11 +101,19 @@ def _chosen(u: Column, begin: Column, end: Column, k: int, window: int) -> Colum
     return F.when(end <= begin, none).when(end - begin <= window, whole).otherwise(_without_repeats(all_pieces))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def dealt(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text, copies: the distinct texts of each id, dealt by both; copies meet before they are sent."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    """The key and text of the distinct texts of each id, dealt by the key; copies meet before they are sent. All that reads
+    this reads the same columns, so that Spark deals texts once."""
+    return _keyed(docs).groupBy(*KEY).agg(F.first("text").alias("text"))
+
+
+def _doc_id() -> Column:
+    return F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
 
 
 def _with_choices(texts: DataFrame, k: int, window: int) -> DataFrame:
@@ -127,19 +136,19 @@ def _with_choices(texts: DataFrame, k: int, window: int) -> DataFrame:
         F.when(until - p > window, F.struct(begin.alias("begin"), until.alias("end"))).alias("gap"), F.when((p == F.col("p0")) & (p >= window), F.struct(F.lit(0).alias("begin"), p.alias("end"))).alias("gap0"),
     ).filter("x is not null or y is not null or gap is not null or gap0 is not null")
     found = marks.groupBy(*KEY).agg(F.concat(F.collect_list("x"), F.collect_list("y")).alias("c"), F.concat(F.collect_list("gap"), F.collect_list("gap0")).alias("gaps"))
-    both = wide.alias("t").join(found.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY], "left")
+    both = wide.alias("t").join(found.alias("f"), list(KEY), "left")
     grams = _grams(F.col("n"), k)
     everything = F.array(F.struct(F.lit(0).alias("begin"), grams.alias("end")))
     gaps = F.when(F.col("c").isNull(), everything).otherwise(F.col("gaps"))
     more = F.flatten(F.transform(gaps, lambda g: _chosen(F.col("u"), g["begin"], g["end"], k, window)))
     chosen = F.when(F.col("c").isNull() | (F.size("gaps") > 0), F.concat(F.coalesce("c", F.array().cast("array<struct<s:int,v:bigint>>")), more)).otherwise(F.col("c"))
-    return both.select("t.*", _without_repeats(F.array_sort(chosen)).alias("chosen"))
+    return both.select(*KEY, "text", "u", "n", _without_repeats(F.array_sort(chosen)).alias("chosen"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, copies, n_chars, positions, hashes of every distinct (doc_id, text)."""
+    """doc_id, text_hash, n_chars, positions, hashes of every distinct (doc_id, text)."""
     rows = _with_choices(dealt(docs), k, window)
-    return rows.select(*KEY, "copies", F.col("n").cast("long").alias("n_chars"), F.transform("chosen", lambda c: _place(c["v"])).alias("positions"), F.transform("chosen", lambda c: _hash(c["v"])).alias("hashes"))
+    return rows.select(_doc_id(), "text_hash", F.col("n").cast("long").alias("n_chars"), F.transform("chosen", lambda c: _place(c["v"])).alias("positions"), F.transform("chosen", lambda c: _hash(c["v"])).alias("hashes"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -154,12 +163,12 @@ def digest(hashes: Column) -> Column:
     return F.concat(F.size(hashes).cast("string"), F.lit(":"), F.sha2(F.array_join(F.transform(hashes, lambda h: F.hex(h)), ","), 256))
 
 
-def _followers(texts: DataFrame) -> DataFrame:
-    """Keys of documents, the key of the document before each (cyclic), and how many code points that one takes of it."""
-    keys = texts.select(*KEY, F.char_length("text").alias("n"))
-    ranked = running_totals(keys, [F.col("doc_id").asc_nulls_first(), F.col("text_hash")], {}, "r")
+def _followers(docs: DataFrame) -> DataFrame:
+    """Keys of documents, the key and copies of the document before each (cyclic), and how many code points that one takes."""
+    keys = _keyed(docs).select(*KEY, F.char_length("text").alias("n")).groupBy(*KEY, "n").agg(F.count("*").alias("copies"))
+    ranked = running_totals(keys, [F.col("no_id").desc(), F.col("id"), F.col("text_hash")], {}, "r")
     total = ranked.agg(F.max("r").alias("top"))  # one row
-    before = ranked.crossJoin(F.broadcast(total)).select(F.when(F.col("r") == F.col("top"), 0).otherwise(F.col("r") + 1).alias("r"), F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    before = ranked.crossJoin(F.broadcast(total)).select(F.when(F.col("r") == F.col("top"), 0).otherwise(F.col("r") + 1).alias("r"), *[F.col(c).alias(f"to_{c}") for c in KEY], "copies", F.floor(F.col("n") / 2).cast("int").alias("need"))
     return ranked.select("r", *KEY).join(before, "r").drop("r")
 
 
@@ -170,17 +179,13 @@ def edited(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     texts = dealt(docs)
     rows = _with_choices(texts, k, window)
     hashes = lambda c: F.transform(c, lambda x: _hash(x["v"]))
-    wanted = _followers(texts)
-    same = lambda a, b, names: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{y}")) for x, y in names]
-    sent = rows.alias("t").join(wanted.alias("w"), same("t", "w", zip(KEY, KEY, strict=True)))
     taken = F.least("need", "n")
-    sent = sent.select(
-        "to_id", "to_hash", F.substring("text", F.lit(1), taken).alias("tail"), taken.alias("q"), hashes(F.col("chosen")).alias("next_hashes"),
+    sent = rows.join(_followers(docs), list(KEY)).select(
+        *[F.col(f"to_{c}").alias(c) for c in KEY], "copies", F.substring("text", F.lit(1), taken).alias("tail"), taken.alias("q"), hashes(F.col("chosen")).alias("next_hashes"),
         F.size(F.filter("chosen", lambda c: c["s"] + span <= taken)).alias("inside"), _place(F.get("chosen", F.lit(0))["v"]).alias("first_place"),
     )
-    j = rows.alias("t").join(sent.alias("s"), same("t", "s", zip(KEY, ("to_id", "to_hash"), strict=True)))
     keep = F.col("n") - F.floor(F.col("n") / 2).cast("int")
-    j = j.select("doc_id", "copies", "n", "text", "chosen", "tail", "q", "next_hashes", "inside", "first_place", keep.alias("keep"))
+    j = rows.join(sent, list(KEY)).select(_doc_id(), "copies", "n", "text", "chosen", "tail", "q", "next_hashes", "inside", "first_place", keep.alias("keep"))
     # the code points on both sides of the seam that a window across it can reach
     a, length = F.greatest(F.lit(0), F.col("keep") - (span - 1)), F.col("keep") + F.col("q")
     seam = F.concat(F.substring("text", a + 1, F.col("keep") - a), F.substring("tail", F.lit(1), F.lit(span - 1)))

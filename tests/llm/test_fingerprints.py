@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logweave.llm import runs, winnowing
+from logweave.llm import alignment, runs, winnowing
 
 DOCS = "doc_id long, text string, lang string, p int, v string, copies string"
 
@@ -165,3 +165,97 @@ def test_run_query(spark, tmp_path):
     plain = runs.periodic_runs(frame(spark, rows)).filter("doc_id = 5000").collect()
     assert [(r.n_runs, r.start, r.length, r.period, r.n_dropped) for r in plain] == [(1, 0, 130000, 40000, 90000)]
     assert runs.periodic_runs(frame(spark, [])).count() == 0
+
+
+def aligned(text: str | None):
+    """Ids of A and B, groups, links of a whole text, byte by byte; None if it has no tokens."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    if not hasattr(aligned, "a"):
+        a_path, b_path = alignment.paths()
+        aligned.a, aligned.b, aligned.pattern = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), P
+        aligned.a.encode_special_tokens = True
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        aligned.sign = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    if not text:
+        return None
+    a, b = aligned.a.encode(" " + text, add_special_tokens=False).ids, aligned.b.encode(text)
+    a_bytes = [bytes(aligned.sign[c] for c in aligned.a.id_to_token(i)) for i in a]
+    b_bytes = [bytes([int(aligned.b.id_to_piece(i)[3:5], 16)]) if aligned.b.is_byte(i) else aligned.b.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+    if b"".join(a_bytes) != (" " + text).encode() or b"".join(b_bytes) != (" " + text).encode():
+        return None
+    spans = lambda x: [(sum(map(len, x[:k])), sum(map(len, x[: k + 1]))) for k in range(len(x))]
+    sa, sb = spans(a_bytes), spans(b_bytes)
+    both = {e for _, e in sa} & {e for _, e in sb}
+    groups, ga, gb = [], [], []
+    for e in sorted(both):
+        ga, gb = [i for i, (_, z) in zip(a, sa, strict=True) if z <= e], [i for i, (_, z) in zip(b, sb, strict=True) if z <= e]
+        done = sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups)
+        groups.append((ga[done[0] :], gb[done[1] :]))
+    links = [(i, j) for i, (s, e) in zip(a, sa, strict=True) for j, (x, y) in zip(b, sb, strict=True) if s < y and x < e]
+    return a, b, groups, links
+
+
+def token_texts() -> list:
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghiABÉéß日本🙂.,'!-_/0123") for _ in range(rng.randint(1, 9)))
+    joint = lambda: rng.choice([" ", " ", " ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000 ", "\u2003 ", "\x1c ", "\x85 ", "   "])
+    prose = ["".join(word() + joint() for _ in range(rng.choice([1, 2, 5, 30]))) for _ in range(40)]
+    return [None, "", " ", "  ", "   a", "a ", "a  ", "Hello, world! It's the 'll don't", "x\u2581y z", "<|endoftext|> a <s> </s> <0x0A> <unk>", "a\x00b", "naïve  café\n\n  tab\t x", "日本語。 テスト", "e\u0301 x", "the the the of the", *prose, prose[0]]
+
+
+def test_alignment_equals_byte_by_byte(spark, tmp_path):
+    rows = list(enumerate(token_texts())) + [(None, "no id the"), (3, "same row"), (3, "same row")]
+    whole = [(i, aligned(t)) for i, t in rows]
+    count: dict = {}
+    for _, x in whole:
+        for p in x[3] if x else ():
+            count[p] = count.get(p, 0) + 1
+    top: dict = {}
+    for (_, b), n in count.items():
+        top[b] = max(top.get(b, 0), n)
+    expected = []
+    for i, x in whole:
+        if not x:
+            expected.append((i, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        a, b, groups, links = x
+        said = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+        expected.append((i, len(a), len(b), len(groups), len(links), sum(count[p] == top[p[1]] for p in links), sum(count[p] for p in links), hashlib.sha256(said.encode()).hexdigest()))
+    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in alignment.op13_alignment(spark, str(tmp_path)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+    assert sum(x is None for _, x in whole) < 8
+    by_id = {r.doc_id: r for r in alignment.labelled(frame(spark, rows[:60]), *alignment.paths()).collect() if r.a_ids is not None}
+    for i, x in whole[:55]:
+        if x and i != 3:
+            r = by_id[i]
+            made = [([t for t, g in zip(r.a_ids, r.a_group, strict=True) if g == k], [t for t, g in zip(r.b_ids, r.b_group, strict=True) if g == k]) for k in range(len(x[2]))]
+            assert made == x[2]
+        elif not x:
+            assert i not in by_id
+
+
+def test_long_texts_and_empty_tables_align(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 1 << 12)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(500)]
+    long = " ".join(rng.choice(words) for _ in range(60000))
+    out = {r.doc_id: r for r in alignment.alignments(frame(spark, [(1, long), (2, words[0]), (3, long)]), *alignment.paths()).collect()}
+    a, b = aligned.a.encode(" " + long, add_special_tokens=False).ids, aligned.b.encode(long)
+    assert (out[1].n_a, out[1].n_b) == (len(a), len(b)) and out[1][1:] == out[3][1:] and out[1].n_links == len(a) + len(b) - out[1].n_groups
+    assert alignment.alignments(frame(spark, []), *alignment.paths()).count() == 0
+    assert [r.n_links for r in alignment.alignments(frame(spark, [(1, None)]), *alignment.paths()).collect()] == [0]
+
+
+def test_tokenizers_are_checked(tmp_path):
+    import json
+
+    a_path, b_path = alignment.paths()
+    said = json.loads(open(a_path, encoding="utf-8").read())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "a.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError):
+        alignment.Tokenizers(f"{tmp_path}/a.json", b_path)

@@ -33,6 +33,8 @@ CACHE = 600_000
 _STOPS = K.class_table(b".,!?;:")
 _ALPHA = K.class_table(bytes(range(65, 91)) + bytes(range(97, 123)))
 _workers: dict[str, tuple] = {}
+#: Texts with every kind of cut, to check a tokenizer when it is loaded.
+PROBES = ["Hello, World! It's a  test; isn't it?", "Tab\tline\n\nend.", "Été,à.b:c;ñ!", "A1b2.c3 x.5 -- (y)", "don't.'s 'LL"]
 
 
 def _worker(path: str):
@@ -43,10 +45,22 @@ def _worker(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
+        _workers[path] = (_checked(Tokenizer.from_file(path), path), {})
     return _workers[path]
 
 
+def _checked(tokenizer, path: str):
+    """The tokenizer, if texts cut to pieces and in lower case have the ids of whole texts; else ValueError."""
+    buf, at = K.texts(pa.array(PROBES))
+    start, end, first = _pieces(K.LOWER[buf], at)
+    data = K.LOWER[buf].tobytes()
+    ids = _encode(tokenizer, [data[s:e].decode() for s, e in zip(start, end, strict=True)])
+    for k, text in enumerate(PROBES):
+        if tokenizer.encode(text, add_special_tokens=False).ids != [t for x in ids[first[k] : first[k + 1]] for t in x]:
+            raise ValueError(f"{path}: not a tokenizer that splits at white space and drops it, in lower case")
+    return tokenizer
+
+
 def _pieces(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of pieces and the first piece of each text."""
     inside = K.WORD_BYTES[buf]
@@ -129,8 +143,10 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with their place: doc_id, n_tokens, ids, file_no, row_no."""
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    """The files' rows with their place: doc_id, n_tokens, ids, file_no, row_no. A task may write several files, numbered at
+    the end of their names."""
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).cast("long") * (1 << 24) + F.coalesce(F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"), F.lit(0))
     return spark.read.schema("doc_id long, n_tokens int, ids array<int>").parquet(path).select("*", number.alias("file_no"), F.col("_metadata.row_index").alias("row_no"))
 
 
@@ -146,7 +162,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def describe(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32. Counts are summed per file first."""
     rows = read(spark, path)
-    digests = rows.mapInArrow(_digests, "doc_id long, file_no int, row_no long, n_tokens long, ids_crc32 long")
+    digests = rows.mapInArrow(_digests, "doc_id long, file_no long, row_no long, n_tokens long, ids_crc32 long")
     files = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("__n"))  # one row per file
     before = F.coalesce(F.sum("__n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file_no", before.alias("__before"))

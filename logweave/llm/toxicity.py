@@ -156,8 +156,8 @@ class Model:
         return find
 
     def nearest(self, bounds: np.ndarray, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text (its terms from bounds[i] to bounds[i + 1]; -1 is left out) the k examples of largest cosine above 0
-        (ties: smaller ids) and their cosines. ``but``: an example of each text that takes no part."""
+        """For each text (its terms from bounds[i] to bounds[i + 1]; -1 is left out) the k examples of largest cosine above 0,
+        with all that tie with the last of them, and their cosines. ``but``: an example of each text that takes no part."""
         dense = self.dense
         row = np.where(term >= 0, self.row[term] if len(self.row) else -1, -1)
         for i in range(0, len(bounds) - 1, _TOGETHER):
@@ -195,9 +195,10 @@ class Model:
             if but is not None:
                 at, value = at[at != but], value[at != but]
             example, score = np.concatenate([example, at]), np.concatenate([score, value])
-            best = np.lexsort((self.ids[example], -score))[:k]
-            example, score = example[best], score[best]
-            least = score[-1] if len(score) >= k else 0.0
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
+            example, score = example[score >= least], score[score >= least]
+        best = np.lexsort((self.ids[example], self.labels[example], -score))  # ids order what is shown, not what is summed
+        example, score = example[best], score[best]
         return example, score
 
     def vote(self, example: np.ndarray, score: np.ndarray) -> float:

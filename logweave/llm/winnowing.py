@@ -82,8 +82,8 @@ def _least(values: Column, window: int) -> Column:
 
 
 def _without_repeats(chosen: Column) -> Column:
-    """Choices in order of their windows, each value once."""
-    return _once(chosen, lambda x: F.filter(x, lambda c, i: (i == 0) | (c["v"] != F.get(x, i - 1)["v"])))
+    """Choices in order of their windows, each value once, and of the first window the least."""
+    return _once(chosen, lambda x: F.filter(x, lambda c, i: (i == 0) | ((c["s"] > 0) & (c["v"] != F.get(x, i - 1)["v"]))))
 
 
 def _chosen(u: Column, begin: Column, end: Column, k: int, window: int) -> Column:
@@ -122,18 +122,17 @@ def _with_choices(texts: DataFrame, k: int, window: int) -> DataFrame:
     each = wide.filter("n > 0").select(*KEY, "n", "u", F.explode(F.sequence(F.lit(0), _grams(F.col("n"), k) - 1)).alias("p"))
     some = each.select(*KEY, "n", "p", _value(F.col("u"), F.col("p"), k).alias("v")).filter(F.col("v") < (1 << 63) // SPARSE)
     order = Window.partitionBy(*KEY).orderBy("p")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v, p, b, last = F.col("v"), F.col("p"), F.col("b"), _grams(F.col("n"), k) - 1
     seen = some.select(
         *KEY, "n", "p", "v", F.min("v").over(order.rangeBetween(1 - window, 0)).alias("a"), F.min("v").over(order.rangeBetween(1, window)).alias("b"),
-        F.min(F.when(p < window, v)).over(whole).alias("f"), F.min("p").over(whole).alias("p0"), F.lead("p").over(order).alias("p1"),
+        F.lag("p").over(order).alias("p0"), F.lead("p").over(order).alias("p1"),
     )
-    enters = F.when(p < window, v == F.col("f")).otherwise(v == F.col("a"))
+    enters = v == F.col("a")  # in the first window all that are least so far; the least of them is sorted first
     follows = (p + window <= last) & (b > v) & (_place(b) != p + window)  # chosen as v leaves, unless it enters just then
     begin, until = p + 1, F.coalesce("p1", last + 1)
     marks = seen.select(
         *KEY, F.when(enters, F.struct(F.greatest(F.lit(0), p - window + 1).alias("s"), "v")).alias("x"), F.when(follows, F.struct((p + 1).alias("s"), b.alias("v"))).alias("y"),
-        F.when(until - p > window, F.struct(begin.alias("begin"), until.alias("end"))).alias("gap"), F.when((p == F.col("p0")) & (p >= window), F.struct(F.lit(0).alias("begin"), p.alias("end"))).alias("gap0"),
+        F.when(until - p > window, F.struct(begin.alias("begin"), until.alias("end"))).alias("gap"), F.when(F.col("p0").isNull() & (p >= window), F.struct(F.lit(0).alias("begin"), p.alias("end"))).alias("gap0"),
     ).filter("x is not null or y is not null or gap is not null or gap0 is not null")
     found = marks.groupBy(*KEY).agg(F.concat(F.collect_list("x"), F.collect_list("y")).alias("c"), F.concat(F.collect_list("gap"), F.collect_list("gap0")).alias("gaps"))
     both = wide.alias("t").join(found.alias("f"), list(KEY), "left")

@@ -360,3 +360,76 @@ def test_pipeline_takes_nulls_repeats_and_further_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, sf)
         assert empty_out.count() == 0
+
+
+LICENSED = {
+    "SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+    "SPDX-License-Identifier: MPL-2.0 */": "mpl-2.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR (MIT AND CC-BY-SA-4.0)": "cc-by,cc-by-sa-4.0,gpl-2.0,mit",  # cc-by: a base phrase
+    "SPDX-License-Identifier: MIT\n2024 Apache and bees": "mit",
+    "The Expat License": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this": "mit",
+    "Redistribution and use in source and binary\nforms, with or without modification, are permitted": "bsd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above": "isc",
+    "It is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of": "lgpl-2.1",
+    "This mit and apache 2.0 are words": "",
+    "I hereby say: redistribution is plainly good": "",
+}
+
+
+def test_license_signatures(spark):
+    texts = list(LICENSED)
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: r.labels for r in out} == LICENSED
+
+
+def test_ids_take_no_part_in_toxicity(spark):
+    words = "quiet rivers carry small boats home".split()
+    scores = []
+    for toxic in (range(40), range(40, 80)):
+        docs = frame(spark, [(i, " ".join(words)) for i in range(80)] + [(200 + i, f"other words {i} of clean prose") for i in range(30)])
+        labels = spark.createDataFrame([(i, 0, int(i in toxic)) for i in range(80)] + [(200 + i, 0, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+        model = toxicity.train(docs, labels, F.lit(True))
+        scores.append({r.doc_id: r.score for r in toxicity.score(docs, model).collect()})
+    assert scores[0] == scores[1] and len({scores[0][i] for i in range(80)}) == 1
+
+
+def test_tokens_in_several_files_of_a_task(spark):
+    rows = [(i, f"word {'x ' * (i % 9)}{i}") for i in range(300)]
+    out = scratch(spark, "tokens")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        tokens.write(frame(spark, rows), out, tokens.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = tokens.describe(spark, out).orderBy("doc_id").collect()
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got]])[:-1])
+
+
+def test_long_texts_and_pages_of_token_files(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(450_000))
+    assert len(long.encode()) > 2 << 20
+    out = scratch(spark, "tokens")
+    tokens.write(frame(spark, [(1, "before"), (2, long), (3, "after")] + [(10 + i, words[i % 3000]) for i in range(9000)]).coalesce(1), out, tokens.tokenizer_path())
+    ids = Tokenizer.from_file(tokens.tokenizer_path()).encode(long, add_special_tokens=False).ids
+    row = tokens.read(spark, out).filter("doc_id = 2").first()
+    assert list(row.ids) == [*ids, tokens.END]
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{out.removeprefix('file:')}/part-*")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert columns and all(c.has_column_index and c.has_offset_index for c in columns if c.physical_type != "LIST")
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        tokens.encode_texts(pa.array(["a"]), public_tokenizers.path("byte_bpe_50k.json"))

@@ -51,31 +51,6 @@ def test_merged_sources_are_whole(spark):
     assert set_queries._sources(spark, SMALL)[2].rows.selectExpr("max(length(text))").first()[0] == d > 20
 
 
-LICENSED = {
-    "SPDX-License-Identifier: MIT": "mit",
-    "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
-    "SPDX-License-Identifier: BSD-3-Clause": "bsd",
-    "SPDX-License-Identifier: MPL-2.0 */": "mpl-2.0",
-    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR (MIT AND CC-BY-SA-4.0)": "cc-by,cc-by-sa-4.0,gpl-2.0,mit",  # cc-by: a base phrase
-    "SPDX-License-Identifier: MIT\n2024 Apache and bees": "mit",
-    "The Expat License": "mit",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this": "mit",
-    "Redistribution and use in source and binary\nforms, with or without modification, are permitted": "bsd",
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above": "isc",
-    "It is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of": "lgpl-2.1",
-    "This mit and apache 2.0 are words": "",
-    "I hereby say: redistribution is plainly good": "",
-}
-
-
-def test_license_signatures(spark):
-    from logweave.llm import licenses
-
-    texts = list(LICENSED)
-    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {texts[r.doc_id]: r.labels for r in out} == LICENSED
-
-
 def test_leaves_of_any_depth_and_xml(spark):
     from logweave.operators import payloads
 

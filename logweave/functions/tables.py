@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from logweave.operators.payloads import BASE64, HEX, PEM
-from logweave.operators.symbols import FRAME
+from logweave.functions.text import _starts
+from logweave.operators.payloads import BASE64, PEM, hex_found
+from logweave.operators.symbols import FRAME, GOOD, PARTS
 
 
 def _text(pattern: str) -> str:
@@ -15,27 +16,33 @@ def _text(pattern: str) -> str:
 
 
 _PLACES = """
-  select i, token, cast(aggregate(slice(g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x)) as int) as start
-  from (select m, g, posexplode(m) as (i, token) from (select regexp_extract_all(text, {p}, 0) as m, split(text, {p}, -1) as g))
+  select x.m as token, x.s as start from (
+    select explode(arrays_zip(m, s)) as x from (
+      select m, log_starts(transform(g, v -> length(v)), transform(m, v -> length(v))) as s
+      from (select regexp_extract_all(text, {p}, 0) as m, split(text, {p}, -1) as g)))
 """
 _BODY = "translate(regexp_replace({t}, '=+$', ''), '-_', '+/')"
 _BYTES = {
     "pem": f"try_to_binary(regexp_replace(regexp_extract(token, {_text(PEM)}, 2), r'\\s|\\\\[rn]', ''), 'base64')",
     "base64": f"try_to_binary(rpad({_BODY.format(t='token')}, cast(ceil(length({_BODY.format(t='token')}) / 4) * 4 as int), '='), 'base64')",
-    "hex": "if(token rlike '^(?:0[xX])?[0-9]+$', null, unhex(regexp_replace(token, '0[xX]|[ :,-]', '')))",
 }
-_PATTERNS = {"pem": PEM, "base64": BASE64, "hex": HEX}
+_PATTERNS = {"pem": PEM, "base64": BASE64}
 
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session: ``select ... from records, lateral log_spans(text, 'x+')``."""
+    spark.udf.register("log_starts", _starts)
+    spark.udf.register("log_hex", hex_found)
 
     def function(name: str, arguments: str, columns: str, body: str) -> None:
         spark.sql(f"create or replace temporary function {name}({arguments}) returns table({columns}) return {body}")
 
     function("log_spans", "text string, pattern string", "start int, length int, value string", f"select start, length(token), token from ({_PLACES.format(p='pattern')})")
-    part = lambda n: f"nullif(regexp_extract(token, {_text(FRAME)}, {n}), '')"
-    frame = f"select try_cast({part(1)} as int), {part(2)}, {part(3)}, {part(4)}, cast(conv(coalesce({part(5)}, {part(6)}), 16, 10) as decimal(20, 0)), start + length(regexp_extract(token, r'^[ \\t]*', 0))"
-    function("log_frames", "text string", "number int, module string, guid string, age string, rva decimal(20, 0), start int", f"{frame} from ({_PLACES.format(p=_text(FRAME))}) where try_cast({part(1)} as int) is not null")
+    read = f"select * from ({_PLACES.format(p=_text(FRAME))})"
+    for name, expression in PARTS.items():
+        read = f"select *, {expression} as {name} from ({read})"
+    frame = "select number, module, identity[0], identity[1], cast(conv(digits, 16, 10) as decimal(20, 0)), start + length(regexp_extract(token, r'^[ \\t]*', 0))"
+    function("log_frames", "text string", "number int, module string, guid string, age string, rva decimal(20, 0), start int", f"{frame} from ({read}) where {GOOD}")
     found = " union all ".join(f"select '{k}' as kind, start, token, cast({_BYTES[k]} as string) as said from ({_PLACES.format(p=_text(p))})" for k, p in _PATTERNS.items())
-    function("log_payloads", "text string", "kind string, start int, token string, decoded string", f"select kind, start, token, said from ({found}) where is_valid_utf8(said) and said rlike r'\\S' and not said rlike r'[\\p{{Cc}}&&[^\\t\\r\\n]]'")
+    seen = f"select kind, start, token, said from ({found}) where is_valid_utf8(said) and said rlike r'\\S' and not said rlike r'[\\p{{Cc}}&&[^\\t\\r\\n]]'"
+    function("log_payloads", "text string", "kind string, start int, token string, decoded string", f"{seen} union all select 'hex', x.start, x.token, x.decoded from (select explode(log_hex(text)) as x)")

@@ -11,17 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from logweave.functions import decode, nested
 from logweave.functions.der import describe
-from logweave.functions.text import once, right_trimmed
-from logweave.operators.storage import settled
+from logweave.functions.text import once, per_text
 
 KEYS = ("file_id", "line_no")
 BASE64 = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])"
 _BREAK = r"(?:\s|\\r|\\n)"  # a line end as it is or as it is written
 PEM = rf"-----BEGIN ([A-Z0-9][A-Z0-9 ]*)-----((?:{_BREAK}|[A-Za-z0-9+/])+=*{_BREAK}*)-----END \1-----"
-_BYTE = "(?:0[xX])?[0-9A-Fa-f]{2}"
-#: Nine bytes or more; between two a blank, hyphen or colon, or a comma with or without a blank.
-HEX = rf"(?<![0-9A-Za-z]){_BYTE}(?:(?:[ :-]|, ?)?{_BYTE}){{8,}}(?![0-9A-Za-z])"
+#: What may hold HEX: signs of bytes and between bytes. ``functions.decode`` looks at it byte by byte.
+HEX_SIGNS = r"[0-9A-Fa-f][0-9A-Fa-fxX ,:-]{16,}"
 #: Texts beyond this number of characters are not searched for Base64, by definition.
 LARGEST = 1 << 20
 WHOLE = r"^(?:[A-Za-z0-9+/]{8,}|[A-Za-z0-9_-]{8,})={0,2}$"
@@ -149,28 +150,19 @@ def certificates(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return _described(found, blob).filter("kind = 'certificate'").drop("token", "kind")
 
 
-def _printed(text: Column) -> Column:
-    return F.when(~text.rlike(r"[\p{Cn}\p{Co}]|[\p{Cc}&&[^\t\r\n]]") & text.rlike(r"\p{L}"), text)
-
-
-def _from_bytes(raw: Column) -> Column:
-    end = lambda t: F.regexp_replace(t, "\0+$", "")
-    utf8 = F.when(F.is_valid_utf8(raw.cast("string")), end(raw.cast("string")))
-    wide = F.when(F.hex(raw).rlike("^(?:..0[0-7])+$"), end(F.decode(raw, "UTF-16LE")))
-    return F.coalesce(once(utf8, _printed), once(wide, _printed))
+def _hex_found(text: str) -> list[dict]:
+    return [{"start": b, "token": text[b:e], "decoded": said} for b, e, raw in decode._hex_pieces(text) if (said := decode.hex_text(text[b:e], raw)) is not None]
 
 
-def hex_text(token: Column) -> Column:
-    """The text of a run of hexadecimal bytes if it can be printed and holds a letter: UTF-8, or else UTF-16LE below U+0800.
-    Unbroken decimal digits are a number; zero bytes at the end are left out."""
-    number = token.rlike("^(?:0[xX])?[0-9]+$")
-    return once(F.when(~number, F.unhex(F.regexp_replace(token, "0[xX]|[ :,-]", ""))), _from_bytes)
+_HEX_FOUND = StructType([StructField("start", IntegerType()), StructField("token", StringType()), StructField("decoded", StringType())])
+hex_found = per_text(_hex_found, pa.list_(pa.struct([("start", pa.int32()), ("token", pa.string()), ("decoded", pa.string())])), ArrayType(_HEX_FOUND))
 
 
 def hex_runs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, i, token, decoded of runs of nine or more hexadecimal bytes that read as text."""
-    found = _candidates(rows, HEX, text, keys)
-    return found.withColumn("decoded", hex_text(F.col("token"))).filter("decoded is not null")
+    """keys, i, token, decoded of runs of nine or more hexadecimal bytes that read as text: printable, with a letter, UTF-8 or
+    else UTF-16LE below U+0800. Unbroken decimal digits are a number; zero bytes at the end are left out."""
+    some = rows.filter(F.col(text).rlike(HEX_SIGNS)).select(*keys, F.posexplode(hex_found(F.col(text))).alias("i", "__x"))
+    return some.select(*keys, "i", "__x.token", "__x.decoded")
 
 
 def kinds(rows: DataFrame, text: str = "text", keys=KEYS, wanted=("pem", "base64", "hex")) -> DataFrame:
@@ -183,36 +175,20 @@ def kinds(rows: DataFrame, text: str = "text", keys=KEYS, wanted=("pem", "base64
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("v").alias("n_distinct"))
 
 
-def base64_values(rows: DataFrame, value: str, keys=KEYS) -> DataFrame:
-    """keys, decoded of values that are Base64 as a whole; eight characters are enough for those."""
-    found = rows.filter(F.col(value).rlike(WHOLE)).withColumn("decoded", base64_text(F.col(value)))
-    return found.filter("decoded is not null").select(*keys, "decoded")
-
-
-def pem_text(block: Column) -> Column:
-    """The block with its readable text between its marks, or null."""
-    body = F.regexp_replace(F.regexp_extract(block, PEM, 2), _BREAK, "")
-    said = right_trimmed(_readable(F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))))
-    label = F.regexp_extract(block, PEM, 1)
-    return F.concat(F.lit("-----BEGIN "), label, F.lit("-----\n"), said, F.lit("\n-----END "), label, F.lit("-----"))
+_decoded = per_text(decode.decoded, pa.string(), StringType())
+_decoded_value = per_text(decode.decoded_value, pa.string(), StringType())
 
 
-def _base64_or_pem(token: Column) -> Column:
-    return F.coalesce(F.when(token.startswith("-----BEGIN "), pem_text(token)).otherwise(base64_text(token)), token)
-
-
-def _hex_or_itself(token: Column) -> Column:
-    return F.coalesce(hex_text(token), token)
+def base64_values(rows: DataFrame, value: str, keys=KEYS) -> DataFrame:
+    """keys, decoded of values (as ``leaves`` gives them) that are or hold Base64, PEM or HEX: the value with what they say."""
+    said = rows.select(*keys, F.col(value).alias("__v")).withColumn("decoded", _decoded_value(F.col("__v")))
+    return said.filter("decoded <> __v").select(*keys, "decoded")
 
 
 def decoded_text(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """Adds ``decoded``: the text with readable PEM blocks and Base64, then HEX runs, replaced by what they say."""
-    out = rows.withColumn("decoded", F.col(text))
-    for pattern, read in ((f"{PEM}|{BASE64}", _base64_or_pem), (HEX, _hex_or_itself)):
-        tokens, gaps = F.regexp_extract_all("decoded", F.lit(pattern), F.lit(0)), F.split("decoded", pattern, -1)
-        made = F.array_join(F.zip_with(gaps, F.transform(tokens, read), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-        out = out.withColumn("decoded", F.when(F.col("decoded").rlike(pattern), made).otherwise(F.col("decoded")))
-    return out
+    """Adds ``decoded``: the text with Base64 (as a whole, in fragments or glued to other text) and readable PEM blocks, then
+    HEX runs, replaced by what they say; in JSON and XML only values are, and are escaped anew."""
+    return rows.withColumn("decoded", _decoded(F.col(text)))
 
 
 def pairs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
@@ -222,31 +198,13 @@ def pairs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return found.select(*keys, "i", F.regexp_extract("token", PAIR, 1).alias("key"), value.alias("value"))
 
 
-def _brackets(text: str) -> Iterator[str]:
-    """Contents of every matched pair of [ ], < > and ( ), nested ones too, unless blank."""
-    open_at: dict[str, list[int]] = {"]": [], ">": [], ")": []}
-    closing = {"[": "]", "<": ">", "(": ")"}
-    for i, c in enumerate(text):
-        if c in closing:
-            open_at[closing[c]].append(i + 1)
-        elif c in open_at and open_at[c]:
-            inner = text[open_at[c].pop() : i]
-            if inner.strip():
-                yield inner
+_inner = per_text(nested.brackets, pa.list_(pa.string()), ArrayType(StringType()))
 
 
 def terms(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, kind, term: contents of brackets (nested ones too), quoted strings and Windows paths. Only distinct texts that
-    hold a bracket reach Python."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(t, x) for t in b.column(0).to_pylist() for x in _brackets(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*got, strict=True)) or [()] * 2)], ["__text", "term"])
-
-    some = rows.filter(F.col(text).rlike(r"[\])>]")).select(*keys, F.col(text).alias("__text"))
-    found = some.select("__text").distinct().mapInArrow(run, "__text string, term string")
-    out = some.join(found, "__text").select(*keys, F.lit("bracket").alias("kind"), "term")
+    """keys, kind, term: contents of brackets (nested ones too), quoted strings and Windows paths. Only texts that hold a
+    bracket reach Python."""
+    out = rows.filter(F.col(text).rlike(r"[\])>]")).select(*keys, F.lit("bracket").alias("kind"), F.explode(_inner(F.col(text))).alias("term"))
     for kind, (p, group) in {"quoted": (r"\"([^\"]+)\"", 1), "path": (r"[A-Za-z]:\\(?:[\w .-]+\\)*[\w.-]+", 0)}.items():
         part = rows.filter(F.col(text).rlike(p)).select(*keys, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(group))).alias("term"))
         out = out.unionByName(part)
@@ -261,109 +219,31 @@ def tokens(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     return rows.select(*keys, F.lit("token").alias("kind"), F.explode(trimmed).alias("term")).filter("term <> ''")
 
 
-def _xml_leaves(text: str) -> Iterator[tuple[str, str]]:
-    """Path and value of the attributes and texts of an XML element, blank texts left out; nothing if it isn't XML."""
-    from xml.etree import ElementTree
+_LEAF = StructType([StructField("path", StringType()), StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("value", StringType())])
+_leaves = per_text(
+    lambda t: [dict(zip(("path", "start", "length", "value"), x, strict=True)) for x in nested.values(t)],
+    pa.list_(pa.struct([("path", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("value", pa.string())])), ArrayType(_LEAF),
+)
+_PART = StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("kind", StringType()), StructField("payload", StringType())])
+_parts = per_text(
+    lambda t: [{"start": b, "length": e - b, "kind": k, "payload": t[b:e]} for b, e, k in nested.structured(t)],
+    pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("payload", pa.string())])), ArrayType(_PART),
+)
 
-    try:
-        root = ElementTree.fromstring(text.strip())
-    except (ElementTree.ParseError, ValueError):
-        return
-    todo = [(root, f"$.{root.tag}")]
-    while todo:
-        e, path = todo.pop()
-        yield from ((f"{path}.@{k}", v) for k, v in e.attrib.items())
-        yield from ((path, t) for t in (e.text, *(c.tail for c in e)) if t and t.strip())
-        todo += [(c, f"{path}.{c.tag}") for c in e if isinstance(c.tag, str)]
 
+def leaf_places(rows: DataFrame, payload: str = "payload", keys=KEYS) -> DataFrame:
+    """keys, path, start (from 0), length (as written), value of every JSON value, names never, and of every XML text and
+    attribute (``@name``). Comments and trailing commas are allowed."""
+    return rows.select(*keys, F.explode(_leaves(F.col(payload))).alias("__x")).select(*keys, "__x.*")
 
-def leaves(rows: DataFrame, payload: str = "payload", keys=KEYS) -> DataFrame:
-    """keys, path, value of every JSON value, names never, and of every XML text and attribute (``@name``), however deep.
-    JSON is opened level by level until nothing is nested; each level is written."""
-    spark = rows.sparkSession
-    both = rows.select(*keys, F.col(payload).alias("__p"), F.try_parse_json(payload).alias("v"))
-    xml = both.filter("v is null").filter(F.col("__p").rlike(r"^\s*<")).select(*keys, "__p")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(t, p, v) for t in b.column(0).to_pylist() for p, v in _xml_leaves(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*got, strict=True)) or [()] * 3)], ["__p", "path", "value"])
-
-    found = xml.select("__p").distinct().mapInArrow(run, "__p string, path string, value string")
-    out = xml.join(found, "__p").select(*keys, "path", "value")
-    level = both.filter("v is not null").select(*keys, F.lit("$").alias("path"), "v")
-    while True:
-        level = settled(level, "leaves")
-        kind = F.schema_of_variant("v")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        out = out.unionByName(level.filter(~inner).select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value")))
-        nested = level.filter(inner)
-        if nested.isEmpty():
-            return out
-        name = f"leaves_{id(nested)}"
-        nested.createOrReplaceTempView(name)
-        level = spark.sql(f"select {', '.join(keys)}, concat(path, coalesce(concat('.', e.key), '[]')) as path, e.value as v from {name}, lateral variant_explode(v) as e")
-
-
-def _balanced(text: str) -> Iterator[tuple[int, int, str]]:
-    """Outermost balanced groups, leftmost first: start, length, kind."""
-    import json
-    import re
-    from xml.etree import ElementTree
-
-    at = 0
-    while at < len(text):
-        c = text[at]
-        end = None
-        if c in "{[":
-            depth, quoted, i = 0, False, at
-            while i < len(text):
-                x = text[i]
-                if quoted:
-                    i += x == "\\"
-                    quoted = x != '"' or text[i - 1 : i] == "\\" and x != '"'
-                elif x == '"':
-                    quoted = True
-                elif x in "{[":
-                    depth += 1
-                elif x in "}]":
-                    depth -= 1
-                    if not depth:
-                        break
-                i += 1
-            group = text[at : i + 1]
-            loose = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", group)
-            loose = re.sub(r'("(?:[^"\\]|\\.)*")|,(\s*[}\]])', lambda m: m[1] or m[2], loose)
-            try:
-                if isinstance(json.loads(loose), (dict, list)):
-                    end, kind = i + 1, "json"
-            except ValueError:
-                pass
-        elif c == "<" and (m := re.compile(r"<(?:\?xml[^>]*\?>\s*<)?([A-Za-z_][\w.:-]*)").match(text, at)) and (close := text.find(f"</{m[1]}>", at)) > 0:
-            group = text[at : close + len(m[1]) + 3]
-            try:
-                if len(ElementTree.fromstring(group)):
-                    end, kind = at + len(group), "xml"
-            except ElementTree.ParseError:
-                pass
-        if end:
-            yield at, end - at, kind
-            at = end
-        else:
-            at += 1
+def leaves(rows: DataFrame, payload: str = "payload", keys=KEYS) -> DataFrame:
+    """keys, path, value of the same."""
+    return leaf_places(rows, payload, keys).select(*keys, "path", "value")
 
 
 def structured(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
-    """keys, start, length, kind, payload: JSON groups (comments and trailing commas allowed) and XML elements with
-    children, outermost and leftmost. Only distinct texts that hold a bracket reach Python."""
+    """keys, start, length, kind, payload: outermost groups of braces or brackets that are JSON (comments and trailing commas
+    allowed) and XML elements with elements inside, leftmost first. Only texts that hold a bracket reach Python."""
     some = rows.filter(F.col(text).rlike(r"[{<\[]"))
-    texts = some.select(F.col(text).alias("__text")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(t, s, n, k, t[s : s + n]) for t in b.column(0).to_pylist() for s, n, k in _balanced(t)]
-            columns = list(zip(*got, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["__text", "start", "length", "kind", "payload"])
-
-    found = texts.mapInArrow(run, "__text string, start int, length int, kind string, payload string")
-    return some.select(*keys, F.col(text).alias("__text")).join(found, "__text").select(*keys, "start", "length", "kind", "payload")
+    return some.select(*keys, F.explode(_parts(F.col(text))).alias("__x")).select(*keys, "__x.*")

@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import places, replaced
 from logweave.operators import scan
 
-_HEX = "[0-9A-Fa-f]"
-_GUID = f"{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}"
-#: A line of its own: number, ``#``, module, then ``!guid,age!address``, ``!address`` or ``+0xaddress``.
-FRAME = rf"(?md)^[ \t]*([0-9]+)#[ \t]*([^\p{{IsWhite_Space}}!+#]+)(?:!(?:({_GUID}),({_HEX}{{1,8}})!)?(?:0[xX])?({_HEX}{{1,16}})|\+0[xX]({_HEX}{{1,16}}))[ \t]*\r?$"
+#: A line with a number before its first ``#``; what stands behind is read by ``PARTS``.
+FRAME = r"(?md)^[ \t]*[0-9]+#[^\n]*$"
+#: What a frame line says, step by step: number # module, then ``!guid,age!address``, ``!address`` or ``+0xaddress``.
+PARTS = {
+    "frame": r"regexp_replace(token, '^[ \t]+|[ \t\r]+$', '')",
+    "number": "try_cast(substring_index(frame, '#', 1) as int)",
+    "said": r"regexp_replace(substr(frame, length(substring_index(frame, '#', 1)) + 2), '^[ \t]+', '')",
+    "module": "regexp_extract(said, '^[^!+]*', 0)",
+    "tail": "split(substr(said, length(module) + 1), '!')",
+    "identity": "if(size(tail) = 3 and tail[0] = '', split(tail[1], ','), null)",
+    "address": "case when size(tail) = 3 then tail[2] when size(tail) = 2 and tail[0] = '' then tail[1] when size(tail) = 1 and lower(tail[0]) like '+0x%' then substr(tail[0], 2) end",
+    "digits": "if(lower(address) like '0x%', substr(address, 3), address)",
+}
+GOOD = r"""number is not null and module <> '' and not module rlike r'[\p{IsWhite_Space}#]' and digits rlike '^[0-9A-Fa-f]{1,16}$'
+  and (size(tail) < 3 or size(identity) = 2 and length(identity[0]) = 36 and try_to_binary(replace(identity[0], '-', ''), 'hex') is not null and length(replace(identity[0], '-', '')) = 32
+       and array_join(transform(split(identity[0], '-'), x -> length(x)), ' ') = '8 4 4 4 12' and identity[1] rlike '^[0-9A-Fa-f]{1,8}$')"""
 # What is written behind a frame without a symbol.
 NO_SYMBOLS, NOT_RESOLVED = "no symbols", "symbol not found"
 
 
-def _number(digits: Column) -> Column:
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
-
-
 def frames(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no"), text: str = "text") -> DataFrame:
     """keys, i, number, module, guid, age, rva (decimal), start (from 0), length, frame (as written, without the blanks
     around it) of each call-stack line. Lines whose number is beyond 32 bits are none."""
-    cut = lambda t: F.regexp_replace(t, r"^[ \t]+|[ \t\r]+$", "")
-    each = places(rows, F.col(text), FRAME, keys).withColumnRenamed("token", "raw")
-    part = lambda n: F.regexp_extract("raw", FRAME, n)
-    filled = lambda c: F.when(c != "", c)
-    start = F.col("start") + F.length(F.regexp_extract("raw", r"^[ \t]*", 0))
-    number = part(1).try_cast("int")
-    out = each.select(
-        *keys, "i", number.alias("number"), part(2).alias("module"), filled(part(3)).alias("guid"), filled(part(4)).alias("age"),
-        _number(F.coalesce(filled(part(5)), filled(part(6)))).alias("rva"), start.cast("int").alias("start"), F.length(cut(F.col("raw"))).alias("length"), cut(F.col("raw")).alias("frame"),
+    read = places(rows, F.col(text), FRAME, keys)
+    for name, expression in PARTS.items():
+        read = read.withColumn(name, F.expr(expression))
+    at = F.col("start") + F.length(F.regexp_extract("token", r"^[ \t]*", 0))
+    rva = F.conv("digits", 16, 10).cast("decimal(20,0)")
+    return read.filter(GOOD).select(
+        *keys, "i", "number", "module", F.get("identity", F.lit(0)).alias("guid"), F.get("identity", F.lit(1)).alias("age"), rva.alias("rva"),
+        at.cast("int").alias("start"), F.length("frame").alias("length"), "frame",
     )
-    return out.filter("number is not null")
 
 
 def identity(frame_rows: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def _xml_literal(said: str, quote: str) -> str | None:
     return out.replace('"', "&quot;") if quote == '"' else out.replace("'", "&apos;") if quote == "'" else out
 
 
-def in_place(text: str, spans_of: Callable[[str], list[Span]]) -> str:
+def in_place(text: str, spans_of: Callable[[str], list[Span]], literal: Callable[[str], str] = _json_literal) -> str:
     """The text with what ``spans_of`` finds replaced: in plain parts as it is, in values of JSON and XML escaped anew, in
     names and tags never."""
     out: list[Span] = []
@@ -194,7 +194,7 @@ def in_place(text: str, spans_of: Callable[[str], list[Span]]) -> str:
         if kind == "json":
             for _, s, n, value in nested.json_values(part) or ():
                 if part[s] == '"' and value and (found := spans_of(value)):
-                    out.append((begin + s, begin + s + n, _json_literal(apply(value, found))))
+                    out.append((begin + s, begin + s + n, literal(apply(value, found))))
         else:
             for _, s, n, value, quote in nested.xml_values(part):
                 if value and (found := spans_of(value)) and (said := _xml_literal(apply(value, found), quote)) is not None:

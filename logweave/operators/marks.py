@@ -12,7 +12,6 @@ from logweave.operators.scan import running
 from logweave.operators.storage import settled
 
 #: Records to a bucket of the range join.
-BUCKET = 1024
 
 
 def normalise(ranges: DataFrame) -> DataFrame:
@@ -68,12 +67,32 @@ def size(ranges: DataFrame) -> DataFrame:
     return normalise(ranges).groupBy("file_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n"))
 
 
+#: Levels of aligned blocks; a block of level k holds 2 ** k records.
+LEVELS = 62
+
+
+def blocks(ranges: DataFrame) -> DataFrame:
+    """file_id, level, block: ranges as aligned blocks of records, no two of which overlap; at most two of each level, so a
+    range of n records gives at most 2 log2 n rows."""
+    low = lambda k: F.call_function("shiftright", F.col("start") + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+    high = lambda k: F.call_function("shiftright", F.col("end") + 1, k)
+    odd = lambda x: x % 2 == 1
+    span = F.ceil(F.log2(F.col("end") - F.col("start") + 2)).cast("int")
+    levels = F.sequence(F.lit(0), F.least(span, F.lit(LEVELS)))
+    block = lambda k, b, good: F.when(good & (low(k) < high(k)), F.struct(k.alias("level"), b.alias("block")))
+    each = F.flatten(F.transform(levels, lambda k: F.array(block(k, low(k), odd(low(k))), block(k, high(k) - 1, odd(high(k))))))
+    return normalise(ranges).select("file_id", F.explode(F.array_compact(each)).alias("b")).select("file_id", "b.level", "b.block")
+
+
 def members(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The rows in the set; a range join by buckets of records. Numbers out of range are ignored."""
-    cut = normalise(ranges).withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
-    r = cut.select(F.col("file_id").alias("__f"), "__b", "start", "end")
-    on = (F.col("file_id") == F.col("__f")) & (F.floor(F.col("line_no") / BUCKET) == F.col("__b")) & F.col("line_no").between(F.col("start"), F.col("end"))
-    return rows.join(r, on, "left_semi")
+    """The rows in the set: each looks up the blocks that hold its record, of the levels that occur. Numbers out of range are
+    ignored."""
+    cut = blocks(ranges)
+    levels = sorted(r.level for r in cut.select("level").distinct().collect())  # at most ``LEVELS``
+    asked = rows.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")))
+    wanted = cut.select(F.col("file_id").alias("__f"), F.col("level").alias("__l"), F.col("block").alias("__b"))
+    on = (F.col("file_id") == F.col("__f")) & (F.col("__level") == F.col("__l")) & (F.expr("shiftright(line_no, __level)") == F.col("__b"))
+    return asked.join(wanted, on, "left_semi").drop("__level")
 
 
 def export(rows: DataFrame, ranges: DataFrame, limit: int = 64_000_000) -> DataFrame:

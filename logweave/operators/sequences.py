@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.operators.scan import CHUNK, positions, previous, running
+from logweave.operators.scan import CHUNK, previous, running
+from logweave.operators.storage import settled
 
 SEGMENTS = 20_000
 
@@ -54,9 +55,21 @@ def sampled_segments(merged: DataFrame, total: int, most: int = SEGMENTS) -> Dat
     return runs(keyed, ["source_ix"], ["__all"], "b").groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("source_ix").alias("source_ix")).drop("run")
 
 
-def page(view: DataFrame, start: int, count: int) -> DataFrame:
-    """Rows start .. start + count of a view in record order, with their place in it."""
-    placed = positions(view, [F.col("file_id"), F.col("line_no")], "view_pos")
+def page(view: DataFrame, start: int, count: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows start .. start + count of a view in record order, with their place in it. Rows are counted per chunk; sums of the
+    counts, first of files and then of the chunks of the files that matter, tell which chunks hold the page, and only their
+    rows are sorted."""
+    part = F.floor(F.col("line_no") / F.lit(chunk))
+    chunks = settled(view.groupBy("file_id", part.alias("__chunk")).agg(F.count("*").alias("n")), "counts")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on_page = (F.col("at") < start + count) & (F.col("at") + F.col("n") > start)
+    files = chunks.groupBy("file_id").agg(F.sum("n").alias("n")).withColumn("at", before(Window.orderBy("file_id"))).filter(on_page)  # one row per file
+    inside = chunks.join(files.select(F.col("file_id").alias("__f"), F.col("at").alias("__at")), F.col("file_id").eqNullSafe(F.col("__f")))
+    wanted = inside.withColumn("at", F.col("__at") + before(Window.partitionBy("file_id").orderBy("__chunk"))).filter(on_page)
+    wanted = F.broadcast(wanted.select("__f", F.col("__chunk").alias("__c"), "at"))  # chunks aren't empty: at most ``count`` and one
+    rows = view.join(wanted, F.col("file_id").eqNullSafe(F.col("__f")) & (part == F.col("__c")))
+    place = F.col("at") + F.row_number().over(Window.partitionBy("__f", "__c").orderBy("line_no")) - 1
+    placed = rows.select(*view.columns, place.alias("view_pos"))
     return placed.filter((F.col("view_pos") >= start) & (F.col("view_pos") < start + count))
 
 

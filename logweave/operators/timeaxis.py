@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.times import DAY, HOUR
-from logweave.operators.scan import CHUNK, previous, running
+from logweave.operators.scan import CHUNK, running
 
 #: Microseconds to a chunk of times.
 TIME_CHUNK = 60_000_000
@@ -19,21 +19,46 @@ def normalise(rows: DataFrame, time_only: bool, chunk: int = CHUNK) -> DataFrame
     """Adds ts_norm. Times of day that fall by more than an hour start a new day, smaller steps back are lifted to the
     largest time so far; rows without a time take the last one, 0 at the start; absolute times stay as they are."""
     if time_only:
-        seen = running(rows, ["file_id"], "line_no", {"__last": ("last", F.col("ts_raw"))}, before=True, chunk=chunk)
-        rolled = seen.withColumn("__roll", (F.col("ts_raw") < F.col("__last") - HOUR).cast("long"))
-        days = running(rolled, ["file_id"], "line_no", {"__days": ("sum", F.coalesce("__roll", F.lit(0)))}, chunk=chunk)
-        top = running(days, ["file_id"], "line_no", {"__norm": ("max", F.col("ts_raw") + F.col("__days") * DAY)}, chunk=chunk)
-        return top.select(*rows.columns, F.coalesce("__norm", F.lit(0)).alias("ts_norm"))
+        return _days(rows, chunk)
     last = running(rows, ["file_id"], "line_no", {"__norm": ("last", F.col("ts_raw"))}, chunk=chunk)
     return last.select(*rows.columns, F.coalesce("__norm", F.lit(0)).alias("ts_norm"))
 
 
+def _days(rows: DataFrame, chunk: int) -> DataFrame:
+    """Times of day in one scan: each chunk is summed up by its first and last time, the days that begin inside it and its
+    largest time; the summaries are combined in order, which gives each chunk the days and the largest time before it."""
+    own = Window.partitionBy("file_id", "__chunk").orderBy("line_no")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    falls = lambda now, then: F.coalesce((now < then - HOUR).cast("long"), F.lit(0))
+    seen = rows.withColumn("__chunk", F.floor(F.col("line_no") / F.lit(chunk)))
+    seen = seen.withColumn("__last", F.last("ts_raw", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = seen.withColumn("__days", F.sum(falls(F.col("ts_raw"), F.col("__last"))).over(upto))
+    seen = seen.withColumn("__top", F.max(F.col("ts_raw") + F.col("__days") * DAY).over(upto))
+    timed = F.when(F.col("ts_raw").isNotNull(), F.col("line_no"))
+    sums = seen.groupBy("file_id", "__chunk").agg(F.min_by("ts_raw", timed).alias("first"), F.max_by("ts_raw", timed).alias("last"), F.max("__days").alias("days"), F.max("__top").alias("top"))
+    across = Window.partitionBy("file_id").orderBy("__chunk")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("enters", falls(F.col("first"), F.last("last", ignorenulls=True).over(earlier)))
+    sums = sums.withColumn("__base", F.sum(F.col("days") + F.col("enters")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("days"))
+    sums = sums.withColumn("__before", F.max(F.col("top") + F.col("__base") * DAY).over(earlier))
+    sums = sums.select(F.col("file_id").alias("__f"), F.col("__chunk").alias("__c"), "__base", "__before")
+    j = seen.join(sums, F.col("file_id").eqNullSafe(F.col("__f")) & (F.col("__chunk") == F.col("__c")))
+    return j.select(*rows.columns, F.coalesce(F.greatest("__before", F.col("__top") + F.col("__base") * DAY), F.lit(0)).alias("ts_norm"))
+
+
 def summary(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per file: n, has_time, monotonic, min_ts, max_ts, timed (may be merged by time), axis (time or lines)."""
-    before = previous(rows, ["file_id"], "line_no", {"__b": F.col("ts_norm")}, chunk)
-    out = before.groupBy("file_id").agg(
-        F.count("*").alias("n"), F.bool_or(F.col("ts_raw").isNotNull()).alias("has_time"),
-        F.bool_and(F.coalesce(F.col("ts_norm") >= F.col("__b"), F.lit(True))).alias("monotonic"), F.min("ts_norm").alias("min_ts"), F.max("ts_norm").alias("max_ts"),
+    """One row per file: n, has_time, monotonic, min_ts, max_ts, timed (may be merged by time), axis (time or lines). Chunks
+    are summed up where they are sorted; only their summaries, with the first and last time, meet per file."""
+    own = Window.partitionBy("file_id", "__chunk").orderBy("line_no")
+    seen = rows.select("file_id", "line_no", "ts_raw", "ts_norm", F.floor(F.col("line_no") / F.lit(chunk)).alias("__chunk"))
+    seen = seen.withColumn("__rises", F.coalesce(F.col("ts_norm") >= F.lag("ts_norm").over(own), F.lit(True)))
+    parts = seen.groupBy("file_id", "__chunk").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("ts_raw").isNotNull()).alias("has_time"), F.bool_and("__rises").alias("rises"), F.min("ts_norm").alias("min_ts"), F.max("ts_norm").alias("max_ts"),
+        F.min_by("ts_norm", "line_no").alias("first"), F.max_by("ts_norm", "line_no").alias("last"),
+    )
+    enters = F.coalesce(F.col("first") >= F.lag("last").over(Window.partitionBy("file_id").orderBy("__chunk")), F.lit(True))
+    out = parts.withColumn("rises", F.col("rises") & enters).groupBy("file_id").agg(
+        F.sum("n").alias("n"), F.bool_or("has_time").alias("has_time"), F.bool_and("rises").alias("monotonic"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"),
     )
     timed = F.col("has_time") & F.col("monotonic")
     return out.withColumn("timed", timed).withColumn("axis", F.when(timed & (F.col("max_ts") > F.col("min_ts")), F.lit("time")).otherwise(F.lit("lines")))

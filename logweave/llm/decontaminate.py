@@ -6,7 +6,9 @@ diagonals no further apart than e. Shared q-grams are counted in overlapping dia
 are kept, and a banded alignment decides. The index of the items goes to all tasks; a benchmark beyond a size bound is
 taken in blocks that each keep it.
 
-Items shorter than q bytes have no q-gram: they are found where their words stand as a whole, without edits.
+Most items use 12-grams; those whose edits could harm every one of them (at 6 %: 17 to 23, 34 and 35 bytes) use 8-grams.
+A budget that would harm all 8-grams too is cut to what leaves one, which 6 % never is.
+Items shorter than 12 bytes are found where their words stand as a whole, without edits.
 
 Defined cases: null and empty texts match nothing; items that are null or hold no word match nothing; repeated items
 are each reported; rows with a null doc_id are reported with null; repeated rows are each looked at (and reported once
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from logweave.llm import kernels as K
 from logweave.llm.common import table
 
-Q, BUDGET = 12, 0.06
+#: Sizes of q-grams; an item takes the first that its edits can't harm everywhere.
+SIZES = (12, 8)
+Q, BUDGET = SIZES[0], 0.06
 #: Bytes of benchmark text whose index is sent to all tasks at once.
 BLOCK_BYTES = 16 << 20
 U = np.uint64
@@ -54,7 +58,7 @@ def normal(column) -> tuple[np.ndarray, ...]:
     return out, np.searchsorted(kept, at), kept, at
 
 
-def grams(buf: np.ndarray, q: int = Q) -> np.ndarray:
+def grams(buf: np.ndarray, q: int) -> np.ndarray:
     """64-bit hash of the q bytes at each place; q from 8 to 16."""
     if len(buf) < q:
         return np.zeros(0, U)
@@ -65,6 +69,18 @@ def grams(buf: np.ndarray, q: int = Q) -> np.ndarray:
     return h * U(0xBF58476D1CE4E5B9)
 
 
+@dataclass
+class Grams:
+    """The q-grams of the items that use this q: sorted hashes, where each one's places begin, and the places."""
+
+    q: int
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    bits: np.ndarray
+
+
 @dataclass
 class Index:
     ids: list
@@ -72,29 +88,31 @@ class Index:
     budget: np.ndarray
     bound: np.ndarray
     size: np.ndarray
-    keys: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    bits: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by size: sorted hashes of the items below q bytes, and their numbers
+    tables: list[Grams]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by size: sorted hashes of the items below Q bytes, and their numbers
 
 
-def index(items: list[tuple[int, str]], budget: float = BUDGET, q: int = Q) -> Index:
+def index(items: list[tuple[int, str]], budget: float = BUDGET) -> Index:
     buf, at, *_ = normal(pa.array([t or "" for _, t in items], pa.string()))
     texts = [buf[a:b][: (b - a) - int(b > a and buf[b - 1] == 32)] for a, b in zip(at[:-1], at[1:], strict=True)]
     size = np.array([len(t) for t in texts], np.int64)
-    # the largest budget that leaves a q-gram unharmed, at most
-    edits = np.minimum(np.floor(size * budget), np.maximum((size - q) // q, 0)).astype(np.int64)
-    found = [grams(t, q) for t in texts]
-    item = np.repeat(np.arange(len(texts)), [len(g) for g in found])
+    edits = np.floor(size * budget).astype(np.int64)
+    q = np.select([size - n * (edits + 1) >= 0 for n in SIZES], SIZES, SIZES[-1])
+    edits = np.minimum(edits, np.maximum((size - q) // q, 0))
+    tables = [_grams(texts, np.flatnonzero((q == n) & (size >= Q)), n) for n in SIZES]
+    return Index([i for i, _ in items], texts, edits, size - q + 1 - q * edits, size, [t for t in tables if len(t.keys)], _short(texts, size, Q))
+
+
+def _grams(texts: list[np.ndarray], which: np.ndarray, q: int) -> Grams:
+    found = [grams(texts[i], q) for i in which]
+    item = np.repeat(which, [len(g) for g in found])
     place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
     flat = np.concatenate(found) if found else np.zeros(0, U)
     order = np.argsort(flat, kind="stable")
     keys, first = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << _BITS, bool)
     bits[(keys >> U(64 - _BITS)).astype(np.int64)] = True
-    return Index([i for i, _ in items], texts, edits, size - q + 1 - q * edits, size, keys, np.append(first, len(flat)), item[order], place[order], bits, _short(texts, size, q))
+    return Grams(q, keys, np.append(first, len(flat)), item[order], place[order], bits)
 
 
 def _short(texts: list[np.ndarray], size: np.ndarray, q: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -151,15 +169,15 @@ def align(item: np.ndarray, region: np.ndarray, low: int, width: int, anchored:
     return int(row[at]), len(item) + low + at
 
 
-def _hits(x: Index, buf: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+def _hits(x: Grams, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows (text, item, diagonal, place in the item) of shared q-grams."""
-    h = grams(buf, q)
+    h = grams(buf, x.q)
     some = np.flatnonzero(x.bits[(h >> U(64 - _BITS)).astype(np.int64)])
     spot = np.searchsorted(x.keys, h[some])
     good = (spot < len(x.keys)) & (x.keys[np.minimum(spot, len(x.keys) - 1)] == h[some])
     some, spot = some[good], spot[good]
     text = np.searchsorted(at, some, "right") - 1
-    inside = some + q <= at[text + 1]
+    inside = some + x.q <= at[text + 1]
     some, spot, text = some[inside], spot[inside], text[inside]
     counts = x.first[spot + 1] - x.first[spot]
     posting = K.spread(x.first[spot], counts)
@@ -167,15 +185,15 @@ def _hits(x: Index, buf: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
     return np.stack([np.repeat(text, counts), x.item[posting], pos - x.place[posting], x.place[posting]]) if len(posting) else np.zeros((4, 0), np.int64)
 
 
-def matches(x: Index, column, q: int = Q) -> Iterator[tuple[int, int, int, int, int]]:
+def matches(x: Index, column) -> Iterator[tuple[int, int, int, int, int]]:
     """text, item, edits, start and end of each item found in each text (its best place)."""
     buf, at, kept, own = normal(column)
     if x.short and len(buf):
         for t, i, a, z in _whole_words(x, buf, at):
             yield t, i, 0, int(kept[a] - own[t]), int(kept[z - 1] - own[t]) + 1
-    if not len(x.keys) or len(buf) < q:
+    if not x.tables:
         return
-    text, item, diagonal, place = _hits(x, buf, at, q)
+    text, item, diagonal, place = np.concatenate([_hits(g, buf, at) for g in x.tables], axis=1)
     if not len(text):
         return
     wide = x.budget[item] + 1

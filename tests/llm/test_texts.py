@@ -181,10 +181,19 @@ def test_decontamination_equals_alignment(spark):
         rows.append((i, f"{word()}, {''.join(t).upper()}!\n{word()}" if i % 3 else " ".join(word() for _ in range(40)) + "".join(t[: len(t) // 2])))
     rows += [(100, None), (101, ""), (None, items[0][1]), (102, "It is Tiny, one-two."), (103, "tinyx 1one two3"), (104, "filler words " * 60_000 + items[3][1]), (104, "filler words " * 60_000 + items[3][1])]
     items += [(93, "One  two!")]
+    for n in (12, 16, 17, 20, 23, 24, 33, 34, 35, 36):  # around the sizes at which the q-grams or the edits change
+        items.append((200 + n, "".join(rnd.choices("klmnopqrst", k=n))))
+        for k in range(8):
+            t = list(items[-1][1])
+            for _ in range(k % 4):
+                at = rnd.choice([n // 2, rnd.randrange(len(t))])
+                t[at : at + 1] = rnd.choice([[], [t[min(at, len(t) - 1)], "z"], ["u"]])
+            rows.append((1000 + 10 * n + k, f"{word()} {''.join(t)}, {word()}"))
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     plain = lambda t: re.sub(r"[^0-9a-z]+", " ", (t or "").lower()).strip()
-    x = decontaminate.index([(i, t) for i, t in items if t is not None])
-    budget = dict(zip(x.ids, x.budget.tolist(), strict=True))
+    budget = {i: len(plain(t)) * 6 // 100 for i, t in items}
+    assert budget[217] == budget[223] == 1 and budget[234] == budget[235] == 2
+    assert {200 + n for n in (17, 20, 23, 34, 35)} <= {i for (_, i), e in got.items() if e == budget[i]}
     for d, t in rows:
         for i, item in items:
             if item and len(plain(item)) < decontaminate.Q:

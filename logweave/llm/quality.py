@@ -9,7 +9,7 @@ reach the driver; features and scores are made for every document, from its whol
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; repeated labels of a document
 count once, by their largest; null labels and ids are not learned from; repeated rows are scored one by one; other
-columns are ignored; with labels of one kind only, or none, every score is their share or 0.5; an empty table gives an
+columns are ignored; of equal features the first, and of equal cuts the lowest, wins a tie; with labels of one kind only, or none, every score is their share or 0.5; an empty table gives an
 empty result.
 """
 
@@ -52,20 +52,20 @@ def features(column) -> np.ndarray:
     share = lambda t: per_text(t[buf]) / size
     length = end - start
     longest = np.zeros(n)
+    sums = K.range_sums(K.BYTE[K.LOWER[buf]])
     if len(start):
         np.maximum.at(longest, np.repeat(np.arange(n), words), length)
-        sums = K.range_sums(K.BYTE[K.LOWER[buf]])
         word = K.range_hash(sums, start, end)
         text = np.repeat(np.arange(n), words)
         same = np.zeros(len(word), np.int64)
         same[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
         distinct = _distinct(word, text, n)
-        a, z, lines = K.words(buf, at, _NOT_NEWLINE)
-        line = K.range_hash(sums, a, z)
-        of = np.repeat(np.arange(n), np.diff(lines))
-        line_repeats, line_counts = np.diff(lines) - _distinct(line, of, n), np.diff(lines).astype(float)
     else:
-        same, distinct, line_repeats, line_counts = np.zeros(0, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        same, distinct = np.zeros(0, np.int64), np.zeros(n)
+    a, z, lines = K.words(buf, at, _NOT_NEWLINE)  # lines of blanks count too, whatever else the batch holds
+    line = K.range_hash(sums, a, z)
+    of = np.repeat(np.arange(n), np.diff(lines))
+    line_repeats, line_counts = np.diff(lines) - _distinct(line, of, n), np.diff(lines).astype(float)
     letters = np.maximum(per_text(_ALPHA[buf]), 1)
     return np.column_stack([
         np.log1p(words), per_text(length, first) / many, per_text(_UPPER[buf]) / letters, share(_DIGITS), per_text(_STOPS[buf]) / many,

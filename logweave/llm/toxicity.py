@@ -45,6 +45,8 @@ _LETTERS = K.class_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(ran
 _TERM_BITS, _TABLE_BITS = 48, 20
 _TOGETHER = 256
 _LARGEST_BATCH = 1 << (64 - _TERM_BITS)
+#: Bytes of text whose terms are in memory together in a task; a longer text stays whole.
+_BATCH_BYTES = 1 << 19
 
 
 def terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in K.slices(batches):
+    for b in K.slices(batches, limit=_BATCH_BYTES):
         for at in range(0, b.num_rows, _LARGEST_BATCH):
             yield b.slice(at, _LARGEST_BATCH)
 
@@ -272,9 +274,11 @@ def _scorer(sent, passing: bool):
             text, hashes, count = terms(b.column("text"))
             term, w = m.vectors(text, hashes, count, b.num_rows, find)
             at = np.searchsorted(text, np.arange(b.num_rows + 1))
-            found = list(m.nearest(at, term, w))
-            scores = np.array([m.calibrated(m.vote(*x)) for x in found])
-            evidence = [m.ids[example[:3]].tolist() for example, _ in found]
+            scores, evidence = np.zeros(b.num_rows), []
+            for i, (example, cosine) in enumerate(m.nearest(at, term, w)):  # all that tie: not kept beyond the text
+                scores[i] = m.calibrated(m.vote(example, cosine))
+                if not passing:
+                    evidence.append(m.ids[example[:3]].tolist())
             if passing:
                 yield b.filter(pa.array(scores < THRESHOLD))
             else:

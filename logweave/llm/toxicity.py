@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import kernels as K
-from logweave.llm.common import crc_text, settled, table
+from logweave.llm.common import crc_text, give_back, settled, table
 
 #: Bounds of the labelled sample, voters, examples in a block.
 EXAMPLES, EXAMPLE_BYTES, NEIGHBOURS, BLOCK = 2_000, 64 << 20, 16, 64
@@ -261,7 +261,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, examples: int = EX
     flat = lambda c: bags.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     sizes = np.asarray([len(x) for x in bags.column("terms")], np.int64)
     ids, toxic = (bags.column(c).to_numpy() for c in ("doc_id", "toxic"))
-    return Model.build(ids.astype(np.int64), toxic.astype(float), np.concatenate([[0], np.cumsum(sizes)]), flat("terms").astype(U), flat("counts").astype(float), relevance)
+    model = Model.build(ids.astype(np.int64), toxic.astype(float), np.concatenate([[0], np.cumsum(sizes)]), flat("terms").astype(U), flat("counts").astype(float), relevance)
+    del bags, flat, ids, toxic
+    give_back()
+    return model
 
 
 def _scorer(sent, passing: bool):

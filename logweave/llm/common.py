@@ -38,7 +38,8 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns memory that a fit on the driver has freed to the system, which Arrow and the C library else keep."""
+    """Returns memory that a fit or a task has freed to the system, which Arrow and the C library else keep for a process
+    that may live on through stages of quite another need."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

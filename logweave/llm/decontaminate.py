@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import kernels as K
-from logweave.llm.common import table
+from logweave.llm.common import give_back, table
 
 #: Sizes of q-grams; an item takes the first that its edits can't harm everywhere.
 SIZES = (12, 8)
@@ -262,6 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Data
                 keep = np.ones(b.num_rows, bool)
                 keep[[t for t, *_ in matches(sent.value, b.column("text"))]] = False
                 yield b.filter(pa.array(keep))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import settled
+from logweave.llm.common import give_back, settled
 
 PART_BYTES = 8 << 20
 #: Spark's own limit is 100,000 buckets; a bucket holds several parts beyond this number.
@@ -54,15 +54,20 @@ def lay_out(docs: DataFrame, part_bytes: int = PART_BYTES) -> Parts:
 
 def ask(parts: Parts, emit: Callable, answers: DataFrame | None = None, schema: str = ASKED) -> DataFrame:
     """``emit(table, answers)`` for each part: its rows, and what was answered to it so far (None at first)."""
+
+    def released(out):
+        give_back()
+        return out
+
     if answers is None:
 
         def alone(table):
-            return emit(table, None)
+            return released(emit(table, None))
 
         return parts.rows.groupBy("part").applyInArrow(alone, schema)
 
     def both(table, answered):
-        return emit(table, answered)
+        return released(emit(table, answered))
 
     return parts.rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(both, schema)
 

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import kernels as K
-from logweave.llm.common import scratch, table
+from logweave.llm.common import give_back, scratch, table
 
 END = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 #: Pieces a worker keeps; beyond that it starts anew.
-CACHE = 600_000
+CACHE = 200_000
+#: Bytes of text encoded together; a longer text stays whole.
+SLICE_BYTES = 1 << 20
 _STOPS = K.class_table(b".,!?;:")
 _ALPHA = K.class_table(bytes(range(65, 91)) + bytes(range(97, 123)))
 _workers: dict[str, tuple] = {}
@@ -124,10 +126,11 @@ def encode_texts(column: pa.Array, path: str, end: int = END) -> pa.ListArray:
 
 def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=SLICE_BYTES):
             ids = encode_texts(b.column("text"), path, end)
             counts = np.diff(np.asarray(ids.offsets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int32()), ids], ["doc_id", "n_tokens", "ids"])
+        give_back()
 
     return run
 

@@ -286,6 +286,7 @@ def _scorer(sent, passing: bool):
                 yield b.filter(pa.array(scores < THRESHOLD))
             else:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+        give_back()
 
     return run
 

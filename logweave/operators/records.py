@@ -45,19 +45,24 @@ PROBE_LINES, PROBE_CHARS, LEAST_SHARE = 256, 1 << 20, 0.05
 
 def _numbered(lines: DataFrame, fmt: Format, chunk: int) -> DataFrame:
     """Lines with the number of their record; -1 before the first."""
-    start = F.col("text").rlike(fmt.pattern.java)
-    numbered = running(lines, ["file_id"], "byte_offset", {"line_no": ("sum", start.cast("long"))}, chunk=chunk)
-    return numbered.withColumn("line_no", F.col("line_no") - 1)
+    return numbered(lines, F.col("text").rlike(fmt.pattern.java), chunk)
 
 
-def _gathered(numbered: DataFrame) -> DataFrame:
+def numbered(lines: DataFrame, start: Column, chunk: int = CHUNK) -> DataFrame:
+    """Adds line_no, the number of the line's record; ``start``: whether the line opens one."""
+    opened = running(lines, ["file_id"], "byte_offset", {"line_no": ("sum", start.cast("long"))}, chunk=chunk)
+    return opened.withColumn("line_no", F.col("line_no") - 1)
+
+
+def gathered(lines: DataFrame, *more: str) -> DataFrame:
+    """One row per record of numbered lines; ``more``: columns of a file that are handed on."""
     pieces = F.array_sort(F.collect_list(F.struct("byte_offset", "text")))
-    grouped = numbered.groupBy("file_id", "line_no").agg(pieces.alias("p"))
-    return grouped.select("file_id", "line_no", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    grouped = lines.groupBy("file_id", *more, "line_no").agg(pieces.alias("p"))
+    return grouped.select("file_id", *more, "line_no", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
 def records(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
-    return _gathered(_numbered(lines, fmt, chunk).filter("line_no >= 0"))
+    return gathered(_numbered(lines, fmt, chunk).filter("line_no >= 0"))
 
 
 def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
@@ -65,7 +70,7 @@ def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
     of them is gathered."""
     before = _numbered(lines, fmt, chunk).filter("line_no < 0")
     with_records = lines.filter(F.col("text").rlike(fmt.pattern.java)).select("file_id").distinct()
-    return _gathered(before.join(with_records, "file_id", "left_semi")).select("file_id", right_trimmed(F.col("text")).alias("text"))
+    return gathered(before.join(with_records, "file_id", "left_semi")).select("file_id", right_trimmed(F.col("text")).alias("text"))
 
 
 def plain(lines: DataFrame) -> DataFrame:
@@ -93,12 +98,17 @@ def field_column(text: Column, pattern: Pattern, name: str) -> Column:
 
 def fields(rows: DataFrame, fmt: Format, only: list[str] | None = None) -> DataFrame:
     """Adds a string column per field. The last field also takes the continuation lines."""
+    return rows.select("*", *field_columns(fmt, only))
+
+
+def field_columns(fmt: Format, only: list[str] | None = None) -> list[Column]:
+    """The fields of a record's text, each under its name."""
     p = fmt.pattern
     first = F.substring_index("text", "\n", 1)
     rest = F.substring(F.col("text"), F.length(first) + 1, F.length("text"))
     last = p.names[-1]
     value = lambda n: F.concat(field_column(first, p, n), rest) if n == last else field_column(first, p, n)
-    return rows.select("*", *[value(n).alias(n) for n in (only or p.names)])
+    return [value(n).alias(n) for n in (only or p.names)]
 
 
 def detect(lines: DataFrame, formats: list[Format]) -> DataFrame:

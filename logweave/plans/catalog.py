@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logweave.plans import log_queries, set_queries
+from logweave.plans import load_queries, log_queries, set_queries
 
-MODULES = (log_queries, set_queries)
+MODULES = (log_queries, set_queries, load_queries)
 
 
 #: Registered under their name and the same with _all, from the time when the plain ones read less than whole tables.

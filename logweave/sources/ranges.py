@@ -50,21 +50,30 @@ class _Reader(DataSourceReader):
         self.paths = options["path"].split(",")
         self.encoding = options.get("encoding", "utf-8")
         self.mask = int(options.get("mask", "0"))
-        self.split = int(options.get("split", SPLIT))
+        self.split = whole_units(int(options.get("split", SPLIT)))
 
     def partitions(self) -> list[Range]:
         return [Range(p, s, min(s + self.split, n)) for p in self.paths for n in [os.path.getsize(p)] for s in range(0, n, self.split)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        number = file_number(part.path)
-        for base, bounds, data in pieces(part.path, part.start, part.end, self.encoding, self.mask):
-            text = _texts(bounds, data, self.encoding)
-            if base + bounds[0] == 0:
-                text = pa.chunked_array([pa.array([text[0].as_py().lstrip("\ufeff")], pa.large_string()), text[1:]]).combine_chunks()
-            lengths = np.diff(bounds)
-            rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), number)), pa.array(base + bounds[:-1]), pa.array(lengths), text.cast(pa.string())], ["file_id", "byte_offset", "byte_len", "text"])
-            for at in range(0, rows.num_rows, 10_000):
-                yield rows.slice(at, 10_000)
+        yield from batches(file_number(part.path), part.path, part.start, part.end, self.encoding, self.mask)
+
+
+def whole_units(split: int) -> int:
+    """A size of ranges that cuts no unit of a wide encoding."""
+    return max(4, split // 4 * 4)
+
+
+def batches(number: int, path: str, start: int, end: int, encoding: str, mask: int) -> Iterator[pa.RecordBatch]:
+    """The lines of a file that start in [start, end), as file_id, byte_offset, byte_len, text."""
+    for base, bounds, data in pieces(path, start, end, encoding, mask):
+        text = _texts(bounds, data, encoding)
+        if base + bounds[0] == 0:
+            text = pa.chunked_array([pa.array([text[0].as_py().lstrip("\ufeff")], pa.large_string()), text[1:]]).combine_chunks()
+        lengths = np.diff(bounds)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), number)), pa.array(base + bounds[:-1]), pa.array(lengths), text.cast(pa.string())], ["file_id", "byte_offset", "byte_len", "text"])
+        for at in range(0, rows.num_rows, 10_000):
+            yield rows.slice(at, 10_000)
 
 
 def file_number(path: str) -> int:

@@ -34,6 +34,12 @@ def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return rows.select(file_number(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))).alias("file_id"), (F.col("file_block_start") + place).alias("byte_offset"), F.regexp_replace("value", "\r+$", "").alias("text"))
 
 
+def zero_shares(head: bytes) -> tuple[float, float]:
+    """The share of zero bytes at even and at odd places."""
+    even, odd = head[::2], head[1::2]
+    return even.count(0) / max(1, len(even)), odd.count(0) / max(1, len(odd))
+
+
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the share of zero bytes at even and odd places; heads that aren't given are read from the file."""
     for b in batches:
@@ -42,8 +48,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if heads[i] is None:
                 with open(re.sub("^file:/+", "/", path), "rb") as f:
                     heads[i] = f.read(CENSUS_BYTES)
-        even = [h[::2].count(0) / max(1, len(h[::2])) for h in heads]
-        odd = [h[1::2].count(0) / max(1, len(h[1::2])) for h in heads]
+        even, odd = (list(x) for x in zip(*map(zero_shares, heads), strict=True)) if heads else ([], [])
         yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(heads, pa.binary()), pa.array(even), pa.array(odd)], ["path", "head", "even", "odd"])
 
 
@@ -54,12 +59,16 @@ def encodings(spark: SparkSession, paths: list[str] | str, mounted: bool = True)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     heads = found.select("path", head.alias("head")).repartition(F.col("path"))
     d = heads.mapInArrow(_shares, "path string, head binary, even double, odd double")
+    return d.select("path", encoding_of_head().alias("encoding"))
+
+
+def encoding_of_head() -> Column:
+    """The encoding by columns head (first bytes), even and odd (shares of zero bytes at even and odd places)."""
     h = F.hex("head")
     le, be = F.col("odd") > 0.7, F.col("even") > 0.7
     pairs = lambda p: h.rlike(f"^(?:....)*?{p}")
-    found = (
+    return (
         F.when(h.startswith("FFFE0000"), "UTF-32LE").when(h.startswith("0000FEFF"), "UTF-32BE").when(h.startswith("EFBBBF"), "UTF-8")
         .when(h.startswith("FFFE"), "UTF-16LE").when(h.startswith("FEFF"), "UTF-16BE").when(pairs("0D000A00"), "UTF-16LE").when(pairs("000D000A"), "UTF-16BE")
         .when(le & (F.col("even") < 0.1), "UTF-16LE").when(be & (F.col("odd") < 0.1), "UTF-16BE").otherwise("UTF-8")
     )
-    return d.select("path", found.alias("encoding"))

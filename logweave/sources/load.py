@@ -26,7 +26,7 @@ from logweave.operators.scan import CHUNK
 from logweave.operators.storage import settled
 from logweave.operators.timeaxis import normalise
 from logweave.sources import text
-from logweave.sources.ranges import SPLIT, batches, whole_units
+from logweave.sources.ranges import SPLIT, batches, unmasked, whole_units
 
 #: Files of a task whose heads are read; tasks of a read at most, each of one or more ranges.
 HEADS, MOST_TASKS = 200, 100_000
@@ -55,7 +55,7 @@ def _heads(masks: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 with open(local(file["path"]), "rb") as f:
                     raw = f.read(PROBE_CHARS)
                 for mask in masks:
-                    data = raw.translate(bytes(x ^ mask for x in range(256))) if mask else raw
+                    data = unmasked(raw, mask)
                     head = data[: text.CENSUS_BYTES]
                     even, odd = text.zero_shares(head)
                     yield pa.RecordBatch.from_pylist([{**file, "mask": mask, "head": head, "even": even, "odd": odd, "lines": _probe(data)}], schema)

@@ -64,9 +64,19 @@ def whole_units(split: int) -> int:
     return max(4, split // 4 * 4)
 
 
-def batches(number: int, path: str, start: int, end: int, encoding: str, mask: int) -> Iterator[pa.RecordBatch]:
+def unit(encoding: str) -> tuple[int, str]:
+    """Bytes of a unit of an encoding, and its numpy type."""
+    width = 4 if "32" in encoding else 2 if "16" in encoding else 1
+    return width, (">" if "be" in encoding.lower() else "<") + f"u{width}"
+
+
+def unmasked(data: bytes, mask: int) -> bytes:
+    return data.translate(bytes(b ^ mask for b in range(256))) if mask else data
+
+
+def batches(number: int, path: str, start: int, end: int, encoding: str, mask: int, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """The lines of a file that start in [start, end), as file_id, byte_offset, byte_len, text."""
-    for base, bounds, data in pieces(path, start, end, encoding, mask):
+    for base, bounds, data in pieces(path, start, end, encoding, mask, limit):
         text = _texts(bounds, data, encoding)
         if base + bounds[0] == 0:
             text = pa.chunked_array([pa.array([text[0].as_py().lstrip("\ufeff")], pa.large_string()), text[1:]]).combine_chunks()
@@ -83,33 +93,32 @@ def file_number(path: str) -> int:
 
 def _texts(bounds: np.ndarray, data: bytes, encoding: str) -> pa.Array:
     """The lines without their line ends; a line of nothing else keeps them."""
-    if _plain(encoding).lower() in ("utf-8", "utf8", "ascii"):
+    if plain(encoding).lower() in ("utf-8", "utf8", "ascii"):
         raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         try:
             text = raw.cast(pa.large_string())
         except pa.ArrowInvalid:  # some line isn't UTF-8
             text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
     else:
-        text = pa.array([data[a:b].decode(_plain(encoding), "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.large_string())
+        text = pa.array([data[a:b].decode(plain(encoding), "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.large_string())
     cut = pc.utf8_rtrim(text, characters="\r\n")
     return pc.if_else(pc.equal(pc.binary_length(cut), 0), text, cut)
 
 
-def pieces(path: str, start: int, end: int, encoding: str, mask: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+def pieces(path: str, start: int, end: int, encoding: str, mask: int, limit: int | None = None) -> Iterator[tuple[int, np.ndarray, bytes]]:
     """Runs of the lines that start in [start, end): place of the data in the file, bounds of the lines in it, data.
 
-    All line ends of a block are found at once; a block without one is read on with twice its size.
+    All line ends of a block are found at once; a block without one is read on with twice its size. ``limit``: the file is
+    taken to end there.
     """
-    width = 4 if "32" in encoding else 2 if "16" in encoding else 1
-    kind = (">" if "be" in encoding.lower() else "<") + f"u{width}"
-    swap = bytes(b ^ mask for b in range(256))
+    width, kind = unit(encoding)
     with open(path, "rb") as f:
         base = max(0, start - width)  # the unit before tells whether a line starts at ``start``
         f.seek(base)
         data, size, first = b"", BLOCK, start == 0
         while True:
-            got = f.read(size)
-            data += got.translate(swap) if mask else got
+            got = f.read(size if limit is None else max(0, min(size, limit - f.tell())))
+            data += unmasked(got, mask)
             units = np.frombuffer(data[: len(data) // width * width], kind)
             breaks = (units == 13) | (units == 10)
             begins = (np.flatnonzero(breaks[:-1] & ~breaks[1:]) + 1) * width
@@ -142,6 +151,6 @@ def framed(path: str, start: int, end: int, encoding: str, mask: int) -> Iterato
             yield base + a, data[a:b]
 
 
-def _plain(encoding: str) -> str:
+def plain(encoding: str) -> str:
     """An encoding that writes no byte-order mark."""
     return {"utf-16": "utf-16-le", "utf-32": "utf-32-le", "utf-8-sig": "utf-8"}.get(encoding.lower(), encoding)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,16 @@ from logweave.operators.records import Format, field_column
 from logweave.operators.search import matches
 
 RECORD = "file_id long, line_no long, byte_offset long, text string, ts_raw long, ts_norm long"
-_STATE = "line_no long, byte_offset long, text string, last_raw long, days long, top long, open boolean"
+_STATE = "line_no long, byte_offset long, raw long, ts long, last_raw long, days long, top long, open boolean"
+_NEW = (-1, 0, None, 0, None, 0, 0, False)
 
 
 class Assembler(StatefulProcessor):
-    """Per file: the open record, the next number, the last raw time, the day offset and the largest time so far.
+    """Per file: the open record with its lines as a list, the last raw time, the day offset and the largest time so far.
 
     Input: file_id, byte_offset, text, starts (opens a record), ts_raw, last (ends the file). A record is sent once the
-    next one starts or the file ends. Lines before the first record are dropped, as the header.
+    next one starts or the file ends. Lines before the first record are dropped, as the header. A line that continues the
+    open record is appended to the list; what the list holds already is neither read nor written again until the record ends.
     """
 
     def __init__(self, time_only: bool):
@@ -30,38 +33,50 @@ class Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", _STATE)
+        self.lines = handle.getListState("lines", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        line_no, offset, text, last_raw, days, top, is_open = self.state.get() if self.state.exists() else (-1, 0, "", None, 0, 0, False)
-        raw, out, done = last_raw if is_open else None, [], False
-        current: tuple | None = (line_no, offset, text, raw, top) if is_open else None
-        batch = pd.concat(list(rows)).sort_values("byte_offset")
-        for r in batch.itertuples(index=False):
-            done = done or bool(r.last)
-            if r.text is None:
-                continue
-            if r.starts:
-                if current:
-                    out.append(current)
-                line_no += 1
-                raw = None if pd.isna(r.ts_raw) else int(r.ts_raw)
-                if raw is not None:
-                    if self.time_only:
-                        days += last_raw is not None and raw < last_raw - HOUR
-                        top = max(top, raw + days * DAY)
-                    else:
-                        top = raw
-                    last_raw = raw
-                current = (line_no, int(r.byte_offset), r.text, raw, top)
-            elif current:
-                current = (*current[:2], f"{current[2]}\n{r.text}", *current[3:])
-        if done and current:
-            out.append(current)
-            current = None
-        kept = current or (line_no, 0, "", None, top)
-        self.state.update((line_no, kept[1], kept[2], last_raw, days, top, current is not None))
+        line_no, offset, raw, ts, last_raw, days, top, is_open = self.state.get() if self.state.exists() else _NEW
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("byte_offset")
+        given = batch[batch["text"].notna()]
+        texts, starts = given["text"].to_numpy(), np.flatnonzero(given["starts"].to_numpy(bool))
+        out: list[tuple] = []
+        first = starts[0] if len(starts) else len(texts)
+        if is_open and first:
+            self.lines.appendList([(t,) for t in texts[:first]])
+        if len(starts):
+            if is_open:
+                out.append((line_no, offset, self._held(), raw, ts))
+            raws = pd.array(given["ts_raw"].to_numpy()[starts], "Int64")
+            norms, last_raw, days, top = self._normalised(raws, last_raw, days, top)
+            offsets = given["byte_offset"].to_numpy()[starts]
+            for k in range(len(starts) - 1):
+                out.append((line_no + 1 + k, offsets[k], "\n".join(texts[starts[k] : starts[k + 1]]), raws[k], norms[k]))
+            line_no, offset, ts, is_open = line_no + len(starts), int(offsets[-1]), int(norms[-1]), True
+            raw = None if pd.isna(raws[-1]) else int(raws[-1])
+            self.lines.put([(t,) for t in texts[starts[-1] :]])
+        if is_open and batch["last"].any():
+            out.append((line_no, offset, self._held(), raw, ts))
+            self.lines.clear()
+            is_open = False
+        self.state.update((line_no, offset, raw, ts, last_raw, days, top, is_open))
         if out:
-            yield pd.DataFrame([(key[0], n, o, t, x, y) for n, o, t, x, y in out], columns=["file_id", "line_no", "byte_offset", "text", "ts_raw", "ts_norm"]).astype({"ts_raw": "Int64"})
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["file_id", "line_no", "byte_offset", "text", "ts_raw", "ts_norm"]).astype({"ts_raw": "Int64"})
+
+    def _held(self) -> str:
+        return "\n".join(t for (t,) in self.lines.get())
+
+    def _normalised(self, raws, last_raw: int | None, days: int, top: int):
+        """Normalised times of a batch's records, and the last raw time, the days and the largest time after it."""
+        known = raws[~raws.isna()].to_numpy("int64")
+        tops = known
+        if len(known) and self.time_only:
+            before = np.append(known[0] if last_raw is None else last_raw, known[:-1])
+            rolled = days + np.cumsum(known < before - HOUR)
+            tops = np.maximum.accumulate(np.maximum(known + rolled * DAY, top))
+            days = int(rolled[-1])
+        norms = np.append(top, tops)[np.cumsum(~raws.isna())]
+        return (norms, int(known[-1]), days, int(tops[-1])) if len(known) else (norms, last_raw, days, top)
 
     def close(self) -> None:
         pass

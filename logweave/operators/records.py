@@ -45,24 +45,19 @@ PROBE_LINES, PROBE_CHARS, LEAST_SHARE = 256, 1 << 20, 0.05
 
 def _numbered(lines: DataFrame, fmt: Format, chunk: int) -> DataFrame:
     """Lines with the number of their record; -1 before the first."""
-    return numbered(lines, F.col("text").rlike(fmt.pattern.java), chunk)
+    start = F.col("text").rlike(fmt.pattern.java)
+    numbered = running(lines, ["file_id"], "byte_offset", {"line_no": ("sum", start.cast("long"))}, chunk=chunk)
+    return numbered.withColumn("line_no", F.col("line_no") - 1)
 
 
-def numbered(lines: DataFrame, start: Column, chunk: int = CHUNK) -> DataFrame:
-    """Adds line_no, the number of the line's record; ``start``: whether the line opens one."""
-    opened = running(lines, ["file_id"], "byte_offset", {"line_no": ("sum", start.cast("long"))}, chunk=chunk)
-    return opened.withColumn("line_no", F.col("line_no") - 1)
-
-
-def gathered(lines: DataFrame, *more: str) -> DataFrame:
-    """One row per record of numbered lines; ``more``: columns of a file that are handed on."""
+def _gathered(lines: DataFrame) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("byte_offset", "text")))
-    grouped = lines.groupBy("file_id", *more, "line_no").agg(pieces.alias("p"))
-    return grouped.select("file_id", *more, "line_no", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    grouped = lines.groupBy("file_id", "line_no").agg(pieces.alias("p"))
+    return grouped.select("file_id", "line_no", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
 def records(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
-    return gathered(_numbered(lines, fmt, chunk).filter("line_no >= 0"))
+    return _gathered(_numbered(lines, fmt, chunk).filter("line_no >= 0"))
 
 
 def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
@@ -70,7 +65,7 @@ def headers(lines: DataFrame, fmt: Format, chunk: int = CHUNK) -> DataFrame:
     of them is gathered."""
     before = _numbered(lines, fmt, chunk).filter("line_no < 0")
     with_records = lines.filter(F.col("text").rlike(fmt.pattern.java)).select("file_id").distinct()
-    return gathered(before.join(with_records, "file_id", "left_semi")).select("file_id", right_trimmed(F.col("text")).alias("text"))
+    return _gathered(before.join(with_records, "file_id", "left_semi")).select("file_id", right_trimmed(F.col("text")).alias("text"))
 
 
 def plain(lines: DataFrame) -> DataFrame:

@@ -16,20 +16,21 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import times
+from logweave.functions.times import DAY, HOUR
 from logweave.operators.merge import Source, merged_schema
-from logweave.operators.records import LEAST_SHARE, PLAIN, PROBE_CHARS, PROBE_LINES, Format, field_columns, gathered, numbered
-from logweave.operators.scan import CHUNK
+from logweave.operators.records import LEAST_SHARE, PLAIN, PROBE_CHARS, PROBE_LINES, Format, field_column, field_columns
 from logweave.operators.storage import settled
-from logweave.operators.timeaxis import normalise
 from logweave.sources import text
 from logweave.sources.ranges import SPLIT, batches, unmasked, whole_units
 
 #: Files of a task whose heads are read; tasks of a read at most, each of one or more ranges.
 HEADS, MOST_TASKS = 200, 100_000
+#: Bytes of a file that are sorted together.
+CHUNK = 1 << 20
 _HEADS = "file_id long, path string, size long, mask int, head binary, even double, odd double, lines array<string>"
 _LINES = "file_id long, format string, byte_offset long, byte_len long, text string"
 _MARKS = ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
@@ -87,13 +88,14 @@ def _read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lines(files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """file_id, format, byte_offset, byte_len, text of all files of a census, a task for each range of ``split`` bytes. Give
-    it a settled census: it is read twice, once to count the ranges."""
+    """file_id, format, byte_offset, byte_len, text of all files of a census, read by ranges of ``split`` bytes. Small files
+    share tasks of that size. Give it a settled census: it is read twice, once to count the bytes."""
     split = whole_units(split)
     held = files.filter("size > 0")
-    ranges = held.agg(F.sum(F.ceil(F.col("size") / F.lit(split)))).first()[0] or 1
+    total, ranges = held.agg(F.sum("size"), F.sum(F.ceil(F.col("size") / F.lit(split)))).first()
+    tasks = max(-(-(total or 0) // split), min(int(ranges or 1), 3 * files.sparkSession.sparkContext.defaultParallelism))
     planned = held.select("*", F.lit(split).cast("long").alias("split"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
-    return planned.repartition(max(1, min(MOST_TASKS, int(ranges))), "file_id", "start").mapInArrow(_read, _LINES)
+    return planned.repartition(min(MOST_TASKS, tasks), "file_id", "start").mapInArrow(_read, _LINES)
 
 
 def _by_format(formats: list[Format], value: Callable[[Format], Column]) -> Column:
@@ -116,18 +118,51 @@ def clock(fmt: Format) -> bool:
 def records(read: DataFrame, formats: list[Format], chunk: int = CHUNK) -> DataFrame:
     """file_id, format, line_no, byte_offset, text, parsed (a struct per format, null but for the file's own), ts_raw, ts_norm.
 
-    Each line is tested against its own file's format only, and all formats go through the same exchanges.
+    Each line is tested against its own file's format only. Numbers and normalised times come from one scan: lines are sorted
+    within chunks of ``chunk`` bytes, a chunk is summed up by its records, first and last time, days and largest time, and the
+    summaries are combined in order. A record is joined where its chunk was sorted; only those at the edge of a chunk, at most
+    two of each, meet again. So the texts are exchanged once.
     """
     formats = known(formats)
-    kept = read.filter((F.col("format") != PLAIN.name) | (F.col("text") != "")).select("file_id", "format", "byte_offset", "text")
-    starts = _by_format(formats, lambda f: F.col("text").rlike(f.pattern.java))
-    whole = gathered(numbered(kept, F.coalesce(starts, F.lit(False)), chunk).filter("line_no >= 0"), "format")
-    parsed = F.struct(*[F.when(F.col("format") == f.name, F.struct(*field_columns(f))).alias(f.name) for f in formats])
-    rows = whole.withColumn("parsed", parsed)
-    time = lambda f: times.parse(F.col("parsed")[f.name][f.time_column()], f.time_format) if f.time_column() else F.lit(None).cast("long")
-    rows = settled(rows.withColumn("ts_raw", _by_format(formats, time)), "parsed")
     daily = F.col("format").isin([f.name for f in formats if clock(f)])
-    return normalise(rows.filter(daily), True, chunk).unionByName(normalise(rows.filter(~daily), False, chunk))
+    falls = lambda now, then: F.coalesce((daily & (now < then - HOUR)).cast("long"), F.lit(0).cast("long"))
+    opens = F.coalesce(_by_format(formats, lambda f: F.col("text").rlike(f.pattern.java)), F.lit(False))
+    time = lambda f: times.parse(field_column(F.col("text"), f.pattern, f.time_column()), f.time_format) if f.time_column() else F.lit(None).cast("long")
+
+    own = Window.partitionBy("file_id", "chunk").orderBy("byte_offset")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    seen = read.filter((F.col("format") != PLAIN.name) | (F.col("text") != ""))
+    seen = seen.select("file_id", "format", "byte_offset", "text", F.floor(F.col("byte_offset") / F.lit(chunk)).alias("chunk"), opens.alias("opens"))
+    seen = seen.withColumn("raw", F.when(F.col("opens"), _by_format(formats, time)))
+    seen = seen.withColumn("then", F.last("raw", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = seen.withColumn("days", F.sum(falls(F.col("raw"), F.col("then"))).over(upto)).withColumn("n", F.count_if("opens").over(upto))
+    seen = seen.withColumn("top", F.max(F.col("raw") + F.col("days") * DAY).over(upto))
+
+    timed = F.when(F.col("raw").isNotNull(), F.col("byte_offset"))
+    sums = seen.groupBy("file_id", "format", "chunk").agg(
+        F.max("n").alias("all"), F.min_by("raw", timed).alias("first"), F.max_by("raw", timed).alias("last"), F.max("days").alias("days"), F.max("top").alias("top")
+    )
+    across = Window.partitionBy("file_id").orderBy("chunk")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.last("last", ignorenulls=True).over(earlier))
+    sums = sums.withColumn("base", F.sum(F.col("days") + falls(F.col("first"), F.col("before"))).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("days"))
+    sums = sums.select("file_id", "chunk", "all", "base", "before", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("had"), F.max(F.col("top") + F.col("base") * DAY).over(earlier).alias("height"))
+
+    both = seen.join(sums, ["file_id", "chunk"])
+    rolled = F.greatest("height", F.col("top") + F.col("base") * DAY)
+    norm = F.coalesce(F.when(daily, rolled).otherwise(F.coalesce("raw", "then", "before")), F.lit(0))
+    number = F.col("had") + F.col("n") - 1
+    both = both.select("file_id", "format", "chunk", "byte_offset", "text", number.alias("line_no"), "raw", F.when(F.col("opens"), norm).alias("norm"), ((F.col("n") == 0) | (F.col("n") == F.col("all"))).alias("edge"))
+    pieces = F.array_sort(F.collect_list(F.struct("byte_offset", "text")))
+    joined = lambda p: F.array_join(F.transform(p, lambda x: x["text"]), "\n")
+    parts = both.filter("line_no >= 0").groupBy("file_id", "chunk", "line_no").agg(
+        F.first("format").alias("format"), F.bool_or("edge").alias("edge"), F.min("byte_offset").alias("byte_offset"), joined(pieces).alias("text"), F.max("raw").alias("ts_raw"), F.max("norm").alias("ts_norm")
+    )
+    parts = settled(parts, "parts")
+    met = parts.filter("edge").groupBy("file_id", "format", "line_no").agg(joined(pieces).alias("text"), F.min("byte_offset").alias("byte_offset"), F.max("ts_raw").alias("ts_raw"), F.max("ts_norm").alias("ts_norm"))
+    whole = parts.filter("not edge").drop("edge", "chunk").unionByName(met)
+    parsed = F.struct(*[F.when(F.col("format") == f.name, F.struct(*field_columns(f))).alias(f.name) for f in formats])
+    return whole.select("file_id", "format", "line_no", "byte_offset", "text", parsed.alias("parsed"), "ts_raw", "ts_norm")
 
 
 def aligned(rows: DataFrame, formats: list[Format]) -> DataFrame:
@@ -139,7 +174,7 @@ def aligned(rows: DataFrame, formats: list[Format]) -> DataFrame:
     return rows.withColumn("fields", F.struct(*[value(own).alias(n) for n, _, own in schema])).drop("parsed")
 
 
-def load(spark: SparkSession, paths: list[str] | str, formats: list[Format], pattern: str | None = None, split: int = SPLIT) -> DataFrame:
+def load(spark: SparkSession, paths: list[str] | str, formats: list[Format], pattern: str | None = None, split: int = SPLIT, chunk: int = CHUNK) -> DataFrame:
     """A folder of logs as aligned records, in one call."""
     files = settled(census(spark, paths, formats, pattern), "census")
-    return aligned(records(settled(lines(files, split), "lines"), formats), formats)
+    return aligned(records(lines(files, split), formats, chunk), formats)

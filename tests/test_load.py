@@ -28,8 +28,8 @@ def folder(root):
 
 def test_a_folder_becomes_records(spark, tmp_path):
     folder(tmp_path)
-    for split in (5, 64 << 20):
-        rows = load.load(spark, str(tmp_path), FORMATS, split=split)
+    for split, chunk in ((5, 9), (64 << 20, 1 << 20)):
+        rows = load.load(spark, str(tmp_path), FORMATS, split=split, chunk=chunk)
         names = {r.file_id: r.path[-5] for r in text.files(spark, str(tmp_path)).collect()}
         got = {(names[r.file_id], r.line_no): r for r in rows.collect()}
         assert {k: r.text for k, r in got.items()} == {
@@ -78,6 +78,22 @@ def test_records_equal_a_plain_reading(spark, tmp_path):
         expected[name] = ["\n".join(r) for r in out]
     names = {r.file_id: r.path.rsplit("/", 1)[1] for r in text.files(spark, str(tmp_path)).collect()}
     got = {n: [] for n in expected}
-    for r in load.load(spark, str(tmp_path), FORMATS, split=100).orderBy("file_id", "line_no").collect():
+    for r in load.load(spark, str(tmp_path), FORMATS, split=100, chunk=64).orderBy("file_id", "line_no").collect():
         got[names[r.file_id]].append(r.text)
     assert got == expected
+
+
+def test_times_of_day_roll_over_chunks(spark, tmp_path):
+    rnd = random.Random(9)
+    clock, rows, expected = 0, [], []
+    days, last, top = 0, None, 0
+    for k in range(300):
+        clock = (clock + rnd.randrange(-2000, 9000)) % 86_400
+        rows.append(f"{clock // 3600:02}:{clock // 60 % 60:02}:{clock % 60:02}.000 i {k}" + "\nmore" * rnd.choice([0, 0, 9]))
+        days += last is not None and clock < last - 3600
+        last, top = clock, max(top, clock + days * 86_400)
+        expected.append((clock * 1_000_000, top * 1_000_000))
+    (tmp_path / "x.log").write_bytes(masked("\n".join(["head", *rows]).encode()))
+    for chunk in (16, 150, 1 << 20):
+        got = load.load(spark, str(tmp_path), FORMATS, split=500, chunk=chunk).orderBy("line_no").collect()
+        assert [r.text for r in got] == rows and [(r.ts_raw, r.ts_norm) for r in got] == expected

@@ -148,7 +148,8 @@ def records(read: DataFrame, formats: list[Format], chunk: int = CHUNK) -> DataF
     sums = sums.withColumn("base", F.sum(F.col("days") + falls(F.col("first"), F.col("before"))).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("days"))
     sums = sums.select("file_id", "chunk", "all", "base", "before", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("had"), F.max(F.col("top") + F.col("base") * DAY).over(earlier).alias("height"))
 
-    both = seen.join(sums, ["file_id", "chunk"])
+    # nothing tells Spark how much text the files hold, so it might take the lines for the small side and broadcast them
+    both = seen.hint("merge").join(sums, ["file_id", "chunk"])
     rolled = F.greatest("height", F.col("top") + F.col("base") * DAY)
     norm = F.coalesce(F.when(daily, rolled).otherwise(F.coalesce("raw", "then", "before")), F.lit(0))
     number = F.col("had") + F.col("n") - 1

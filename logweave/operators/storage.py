@@ -19,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
+def settled(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Written once and read back, so that later stages neither repeat it nor depend on executors that made it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -159,7 +159,7 @@ def records(read: DataFrame, formats: list[Format], chunk: int = CHUNK) -> DataF
     parts = both.filter("line_no >= 0").groupBy("file_id", "chunk", "line_no").agg(
         F.first("format").alias("format"), F.bool_or("edge").alias("edge"), F.min("byte_offset").alias("byte_offset"), joined(pieces).alias("text"), F.max("raw").alias("ts_raw"), F.max("norm").alias("ts_norm")
     )
-    parts = settled(parts, "parts")
+    parts = settled(parts, "parts", "zstd")  # the only table of texts
     met = parts.filter("edge").groupBy("file_id", "format", "line_no").agg(joined(pieces).alias("text"), F.min("byte_offset").alias("byte_offset"), F.max("ts_raw").alias("ts_raw"), F.max("ts_norm").alias("ts_norm"))
     whole = parts.filter("not edge").drop("edge", "chunk").unionByName(met)
     parsed = F.struct(*[F.when(F.col("format") == f.name, F.struct(*field_columns(f))).alias(f.name) for f in formats])

@@ -95,13 +95,14 @@ def members(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return asked.join(wanted, on, "left_semi").drop("__level")
 
 
-def export(rows: DataFrame, ranges: DataFrame, limit: int = 64_000_000) -> DataFrame:
-    """value: the text of marked rows in record order, right-trimmed, without NULs; refused above ``limit`` characters."""
+def export(rows: DataFrame, ranges: DataFrame, limit: int | None = None) -> DataFrame:
+    """value: the text of marked rows in record order, right-trimmed, without NULs. With a ``limit`` (64,000,000 characters is
+    that of a copy to the clipboard) a larger selection is refused; one that is saved has none."""
     out = members(rows, ranges).select("file_id", "line_no", F.translate(F.regexp_replace("text", r"(?U)\s+$", ""), "\0", "").alias("value"))
-    if (out.agg(F.sum(F.length("value") + 2)).first()[0] or 0) > limit:
+    if limit is not None and (out.agg(F.sum(F.length("value") + 2)).first()[0] or 0) > limit:
         raise ValueError(f"the selection has more than {limit} characters")
     return out.orderBy("file_id", "line_no").select("value")
 
 
-def write_export(rows: DataFrame, ranges: DataFrame, path: str, limit: int = 64_000_000) -> None:
+def write_export(rows: DataFrame, ranges: DataFrame, path: str, limit: int | None = None) -> None:
     export(rows, ranges, limit).write.option("lineSep", "\r\n").text(path)

@@ -2,6 +2,7 @@
 
 import base64
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import der, tables, times
@@ -215,3 +216,13 @@ def test_table_functions_from_sql(spark):
     assert [tuple(r) for r in spark.sql("select line_no, s.* from some_records, lateral log_spans(text, 'x[0-9]+') s").collect()] == [(0, 25, 2, "x1"), (0, 28, 3, "x22")]
     assert [(r.number, r.module, int(r.rva), r.start) for r in spark.sql("select f.* from some_records, lateral log_frames(text) f").collect()] == [(0, "a.dll", 255, 0)]
     assert {(r.kind, r.start, r.decoded) for r in spark.sql("select p.* from some_records, lateral log_payloads(text) p").collect()} == {("base64", 4, "a longer text"), ("hex", 4, "user name")}
+
+
+def test_export_saves_what_a_copy_refuses(spark):
+    long = "x" * 1_000_000
+    d = spark.range(70).select(F.lit(0).alias("file_id"), F.col("id").alias("line_no"), F.concat(F.lit(long), F.col("id").cast("string"), F.lit(" ")).alias("text"))
+    m = spark.createDataFrame([(0, 0, 69)], "file_id int, start long, end long")
+    assert [r.n for r in marks.export(d, m).select(F.length("value").alias("n")).collect()] == [1_000_001] * 10 + [1_000_002] * 60
+    with pytest.raises(ValueError, match="more than"):
+        marks.export(d.limit(3), m, limit=3_000_008)
+    assert marks.export(d.limit(3), m, limit=3_000_009).count() == 3

@@ -5,13 +5,15 @@ Shape of each job: find candidates with a pattern, decode each distinct one once
 
 from __future__ import annotations
 
+import binascii
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from logweave.functions import decode, nested
 from logweave.functions.der import describe
@@ -117,20 +119,31 @@ def _described(found: DataFrame, blob: Column) -> DataFrame:
 _KEY_FIELDS = [("kind", "string"), ("algorithm", "string"), ("bits", "int"), ("exponent", "bigint"), ("subject", "string"), ("issuer", "string"), ("serial", "string"), ("not_before", "string"), ("not_after", "string"), ("thumbprint", "string"), ("signature", "string"), ("names", "array<string>")]
 
 
+def _rsa_blob(token: str) -> list[dict]:
+    """What a token says if it is a public key blob, else nothing."""
+    body = token.rstrip("=")
+    missing = -len(body) % 4
+    if missing == 3 or len(token) - len(body) not in (0, missing):
+        return []
+    raw = binascii.a2b_base64(body + "=" * missing)
+    number = lambda at: int.from_bytes(raw[at : at + 4], "little")
+    bits = number(12)
+    if raw[:2] != b"\x06\x02" or raw[8:12] != b"RSA1" or not 0 < bits < 1 << 31 or bits % 8 or len(raw) < 20 + bits // 8:
+        return []
+    name = {0xA400: "CALG_RSA_KEYX", 0x2400: "CALG_RSA_SIGN"}.get(number(4)) or "0x" + re.sub("^0{0,4}", "", f"{number(4):08X}")
+    return [{"algorithm": name, "bits": bits, "exponent": number(16), "modulus": raw[20 : 20 + bits // 8][::-1].hex().upper()}]
+
+
+_BLOB = StructType([StructField("algorithm", StringType()), StructField("bits", LongType()), StructField("exponent", LongType()), StructField("modulus", StringType())])
+_rsa_blobs = per_text(_rsa_blob, pa.list_(pa.struct([("algorithm", pa.string()), ("bits", pa.int64()), ("exponent", pa.int64()), ("modulus", pa.string())])), ArrayType(_BLOB))
+
+
 def rsa_blobs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     """keys, i, token, kind, algorithm, bits, exponent, modulus (hexadecimal, highest byte first) of Base64 of 64 or more
     characters that holds a public key blob: a header of little-endian numbers with the letters RSA1, then the modulus."""
     found = _candidates(rows, r"(?<![A-Za-z0-9+/])Bg[A-Za-z0-9+/]{62,}={0,2}", text, keys)
-    h = F.hex(_packed(F.col("token")))
-    backwards = lambda at, n: F.array_join(F.reverse(F.regexp_extract_all(F.substring(h, 2 * at + 1, 2 * n), F.lit("(..)"), F.lit(1))), "")
-    number = lambda at: F.conv(backwards(at, 4), 16, 10).cast("long")
-    code = backwards(4, 4)
-    named = F.when(code == "0000A400", "CALG_RSA_KEYX").when(code == "00002400", "CALG_RSA_SIGN").otherwise(F.concat(F.lit("0x"), F.regexp_replace(code, "^0{0,4}", "")))
-    rsa = F.substring(h, 1, 4).eqNullSafe("0602") & (F.substring(h, 17, 8) == "52534131")
-    read = found.filter(rsa).select(*keys, "i", "token", F.lit("rsa blob").alias("kind"), named.alias("algorithm"), number(12).alias("bits"), number(16).alias("exponent"), h.alias("__h"))
-    whole = (F.col("bits") > 0) & (F.col("bits") < 1 << 31) & (F.col("bits") % 8 == 0) & (F.length("__h") >= 40 + F.col("bits") / 4)
-    h = F.col("__h")
-    return read.filter(whole).select(*keys, "i", "token", "kind", "algorithm", "bits", "exponent", backwards(20, (F.col("bits") / 8).cast("int")).alias("modulus"))
+    read = found.select(*keys, "i", "token", F.explode(_rsa_blobs(F.col("token"))).alias("__x"))
+    return read.select(*keys, "i", "token", F.lit("rsa blob").alias("kind"), "__x.*")
 
 
 def key_blobs(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:

@@ -189,13 +189,12 @@ def kinds(rows: DataFrame, text: str = "text", keys=KEYS, wanted=("pem", "base64
 
 
 _decoded = per_text(decode.decoded, pa.string(), StringType())
-_decoded_value = per_text(decode.decoded_value, pa.string(), StringType())
+_decoded_value = per_text(lambda v: [said] if (said := decode.decoded_value(v)) != v else [], pa.list_(pa.string()), ArrayType(StringType()))
 
 
 def base64_values(rows: DataFrame, value: str, keys=KEYS) -> DataFrame:
     """keys, decoded of values (as ``leaves`` gives them) that are or hold Base64, PEM or HEX: the value with what they say."""
-    said = rows.select(*keys, F.col(value).alias("__v")).withColumn("decoded", _decoded_value(F.col("__v")))
-    return said.filter("decoded <> __v").select(*keys, "decoded")
+    return rows.select(*keys, F.explode(_decoded_value(F.col(value))).alias("decoded"))
 
 
 def decoded_text(rows: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:

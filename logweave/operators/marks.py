@@ -59,6 +59,7 @@ def toggle(marks: DataFrame, selection: DataFrame) -> DataFrame:
     """Per file: if any selected row is unmarked all selected are marked, else all are unmarked."""
     pieces = _sweep([marks, selection])
     adding = pieces.groupBy("file_id").agg(F.bool_or(F.col("in1") & ~F.col("in0")).alias("adding"))
+    adding = settled(adding, "adding")  # Spark then knows how few files there are, and deals no pieces by their file alone
     return normalise(pieces.join(adding, "file_id").filter("(in0 and not in1) or (in1 and adding)"))
 
 

@@ -1,6 +1,7 @@
 """Rules of single operators: frames and symbol files, transformations, payloads, dictionaries, times, table functions."""
 
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,38 @@ def test_export_saves_what_a_copy_refuses(spark):
     with pytest.raises(ValueError, match="more than"):
         marks.export(d.limit(3), m, limit=3_000_008)
     assert marks.export(d.limit(3), m, limit=3_000_009).count() == 3
+
+
+def test_frames_are_read_once(spark):
+    found = symbols.symbol_files(symbols.identity(symbols.frames(lines(spark, "1# a!ff\n2# b!1"))), spark.createDataFrame([(0, "a.pdb", True, None, None, "x")], "store_ord int, file_name string, flat boolean, index string, other_index string, image_id string"))
+    known = spark.createDataFrame([("x", 0x8, "f", "", 0)], "image_id string, rva long, function string, file string, line int").withColumn("rva", F.col("rva").cast("decimal(20,0)"))
+    done = symbols.resolve(found, known)
+    assert "EvalPython" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.number, r.function) for r in done.collect()} == {(1, "f"), (2, None)}
+
+
+def test_frames_equal_the_rules_step_by_step(spark):
+    tables.register(spark)
+    rng = random.Random(3)
+    parts = ["1", "0", "99", "#", "#", " ", "\t", "a", "é", "m.dll", "!", "!", "+", "+0x", "0x", "0X", "ff", "1F", f"!{GUID},1!", f"{GUID}", ",", "\r", " ", "\x85", " ", "\n"]
+    texts = ["".join(rng.choice(["", " ", "\t"]) + rng.choice(["1#", "02# ", "2147483648#", "x"]) + "m" * (rng.random() < 0.8) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) + "\n" for _ in range(3)) for _ in range(3000)]
+    rows = lines(spark, *texts)
+    rows.createOrReplaceTempView("odd_frames")
+    told = spark.sql("select line_no, f.* from odd_frames, lateral log_frames(text) f")
+    got = symbols.frames(rows).select(*told.columns)
+    assert told.count() > 80 and not told.exceptAll(got).count() and not got.exceptAll(told).count()
+
+
+def test_values_reach_python_once_each(spark):
+    found = payloads.base64_values(payloads.leaves(lines(spark, '{"a": "aW5uZXIgdGV4dCBoZXJl", "b": "plain", "c": null, "d": 1}', None).withColumnRenamed("text", "payload")), "value")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # one reads the leaves, one the values
+    assert [tuple(r) for r in found.collect()] == [(0, 0, "inner text here")]
+    blobs = payloads.rsa_blobs(lines(spark, "none"))
+    assert blobs._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # each token is decoded once
+
+
+def test_toggle_lays_out_what_each_file_has(spark):
+    s = lambda *r: spark.createDataFrame(list(r), "file_id long, start long, end long")
+    got = marks.toggle(s((0, 0, 10), (1, 0, 3), (2, 5, 6)), s((0, 3, 4), (1, 3, 4), (3, 1, 2)))
+    assert "bool_or" not in got._jdf.queryExecution().analyzed().toString()  # no join with an aggregate of all pieces
+    assert sorted(map(tuple, got.select("file_id", "start", "end").collect())) == [(0, 0, 2), (0, 5, 10), (1, 0, 4), (2, 5, 6), (3, 1, 2)]

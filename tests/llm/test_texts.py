@@ -442,3 +442,44 @@ def test_other_tokenizers_are_refused(tmp_path):
 
     with pytest.raises(ValueError):
         tokens.encode_texts(pa.array(["a"]), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_tokens_words_are_one_piece_whatever_signs_or_digits_follow():
+    from logweave.llm import kernels
+
+    words = [f"{a}{b}" for a in ("stone", "señal", "über", "rio") for b in "abcdefghij"]
+    texts = [f"{w}{tail} ({w})" for w in words for tail in ("", "###", "***", "%%%", "2024", "/", "_7")]
+    buf, at = kernels.texts(pa.array(texts))
+    start, end, first = tokens._pieces(buf, at)
+    data = buf.tobytes()
+    assert {data[s:e].decode() for s, e in zip(start, end, strict=True)} == {*words, "###", "***", "%%%", "2024", "/", "_", "7", "(", ")"}
+    assert len(first) == len(texts) + 1 and first[-1] == len(start)
+
+
+@pytest.mark.parametrize("kept", [(0, 1 << 20), (40, 1 << 20), (1 << 20, 60), (1 << 20, 1 << 20)])
+def test_tokens_of_odd_texts_equal_plain_encoding(monkeypatch, kept):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE", kept[0])
+    monkeypatch.setattr(tokens, "CACHE_IDS", kept[1])
+    atoms = [*"abstmdlrveABSTRE019 '\"#.,-_/\\=<>|~^@!?;:()[]{}%&*+$\t\n", "'s", "'ll", "'RE", "é", "É", "ß", "ÿ", "×", "ª", "²", "́", "̸", "İ", "K", "Σ", "日", "각", "ᄀ", "🙂", "\xa0", "\x1c", "\x85", "\x00", "٣", "Ⅷ", "ﬁ", "’"]
+    names = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    rng, plain = random.Random(7), Tokenizer.from_file(tokens.tokenizer_path())
+    for more in ([], names):
+        for _ in range(40):
+            some = rng.sample(atoms, rng.randint(2, len(atoms))) + more
+            texts = [None, *("".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(25))]
+            got = tokens.encode_texts(pa.array(texts, pa.string()), tokens.tokenizer_path()).to_pylist()
+            assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, tokens.END] for t in texts]
+
+
+def test_tokenizers_that_split_signs_one_by_one_are_cut_less(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    chars = [chr(c) for c in range(33, 127)]
+    vocab = {t: i for i, t in enumerate(["[UNK]", *chars, *(f"##{c}" for c in chars)])}
+    plain = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]"))
+    plain.normalizer, plain.pre_tokenizer = normalizers.BertNormalizer(lowercase=True), pre_tokenizers.BertPreTokenizer()
+    plain.save(path := str(tmp_path / "signs.json"))
+    texts = ["Outre### a-b (c) Été", "x1y22 don't. 2024-01-31!?"]
+    assert tokens.encode_texts(pa.array(texts), path).to_pylist() == [[*plain.encode(t, add_special_tokens=False).ids, tokens.END] for t in texts]

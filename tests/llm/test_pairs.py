@@ -42,6 +42,67 @@ def test_topk_of_little_and_nothing(spark):
     assert topk.search(d.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def brute_topk(w, k=10):
+    """The k best of each vector whose number is divisible by 100: rank, number, score."""
+    found = {}
+    for q in range(0, len(w), 100):
+        score = w @ w[q]
+        best = np.lexsort((np.arange(len(w)), -score))
+        found[q] = [(r + 1, i, score[i]) for r, i in enumerate(best[best != q][:k].tolist())]
+    return found
+
+
+def test_topk_of_many_rings_strips_and_ties(spark, monkeypatch):
+    for name, value in (("PER_RING", 40), ("BLOCK", 64), ("QUERIES", 8), ("PART", 500), ("FIRST", 60)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    few = np.floor(rng.normal(size=(3000, 3)) * 2) / 1024  # few numbers: many scores tie
+    few[:500] = 0
+    grouped = rng.normal(size=(60, 8))[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 8)) / 20  # rings are left out
+    large, huge = rng.normal(size=(3000, 4)) * 1000, rng.normal(size=(3000, 4)) * 1e5  # beyond single, beyond double precision
+    for v in (few, grouped, large, huge):
+        d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+        out = {}
+        for r in topk.search(d, F.col("vec_id") % 100 == 0).collect():
+            out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(x) for q, x in out.items()} == brute_topk(np.floor(v * 1024).astype(np.int64))
+
+
+def test_topk_of_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(1, 41)] + [(5, [1.0, 0.0])] * 3 + [(3, [2.0, 0.0]), (3, [2.0]), (50, [0.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = {}
+    for r in topk.search(d, F.col("vec_id") % 5 == 0, k=6).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score >> 20))
+    assert sorted(out[0]) == [(1, 3, 2), (2, 3, 2), (3, 1, 1), (4, 2, 1), (5, 3, 1), (6, 4, 1)]
+    assert sorted(out[10]) == [(1, 3, 2), (2, 3, 2), *((r, 0, 1) for r in range(3, 7))]
+
+
+def test_topk_exchanges_no_pairs(spark):
+    """What is exchanged grows with the rows, not with pairs of queries and blocks."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    def exchanged(v):
+        d = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").repartition(4).cache()
+        d.count()
+        before = stages()
+        assert topk.search(d, F.lit(True)).count() == 10 * len(v)
+        return sum(n for i, n in stages().items() if i not in before)
+
+    v = np.random.default_rng(6).normal(size=(4000, 64)).astype(np.float32)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of tables that are too large for it
+    try:
+        few, many = exchanged(v[:1000]), exchanged(v)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert many < 6 * few, (few, many)  # four times the rows, sixteen times the pairs
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

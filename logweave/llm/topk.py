@@ -79,7 +79,7 @@ def _measures(scale: int):
             if b.num_rows:
                 square = np.bincount(np.repeat(np.arange(len(lengths)), lengths), flat.astype(np.float64) ** 2, len(lengths)).max()
                 queries = b.column("asks").true_count
-                yield pa.RecordBatch.from_pylist([{"queries": queries, "dim": int(lengths.max()), "square": square, "low": int(flat.min(initial=0)), "high": int(flat.max(initial=0))}])
+                yield pa.RecordBatch.from_pylist([{"queries": queries, "dim": int(lengths.max()), "square": float(square), "low": int(flat.min(initial=0)), "high": int(flat.max(initial=0))}])
 
     return run
 
@@ -95,7 +95,7 @@ def _packer(dim: int, stored: str, scale: int):
                 m, start = np.zeros((len(lengths), dim), stored), np.cumsum(lengths) - lengths
                 m[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(start, lengths)] = flat
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.itemsize * dim), len(m), [None, pa.py_buffer(m)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), packed, b.column("asks")], ["vec_id", "v", "asks"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), packed, pa.array(lengths, pa.int32()), b.column("asks")], ["vec_id", "v", "length", "asks"])
 
     return run
 
@@ -110,12 +110,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _numbers(dim: int, stored: str):
-    """Adds the numbers of each vector as a list, by which vectors of one id are compared."""
+    """Adds the numbers of each vector as the list it came as, by which vectors of one id are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _vectors(b.column("v"), dim, stored).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim), pa.int32()), pa.array(m.reshape(-1)))
+            m, lengths = _vectors(b.column("v"), dim, stored).astype(np.int64), b.column("length").to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(m[np.arange(dim) < lengths[:, None]]))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), lists], ["vec_id", "v", "numbers"])
 
     return run
@@ -410,7 +410,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 10
     dim = max(dim, 1)
     stored = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= lowest and highest <= np.iinfo(t).max)
     kind = np.float32 if longest <= 2**24 else np.float64 if longest < 2**52 else np.int64  # no sum is larger than the longest square
-    vectors = settled(rows.mapInArrow(_packer(dim, stored, scale), "vec_id long, v binary, asks boolean"), "vectors")
+    vectors = settled(rows.mapInArrow(_packer(dim, stored, scale), "vec_id long, v binary, length int, asks boolean"), "vectors")
     same = Window.partitionBy("v").orderBy("vec_id")
     packed = settled(vectors.withColumn("copy", F.dense_rank().over(same)).filter(F.col("copy") <= k + 1).select("vec_id", "v"), "packed")
     n = packed.count()

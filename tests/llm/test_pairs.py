@@ -78,6 +78,17 @@ def test_topk_of_repeated_rows_and_ids(spark):
     assert sorted(out[10]) == [(1, 3, 2), (2, 3, 2), *((r, 0, 1) for r in range(3, 7))]
 
 
+def test_topk_of_empty_and_unequal_lists(spark):
+    def found(rows):
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(d, F.col("vec_id") % 100 == 0).collect())
+
+    assert found([(0, []), (1, []), (100, [])]) == [(0, 1, 1, 0), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0)]
+    least = [(0, [1.0]), (0, [1.0, -2.0]), (1, [1.0, 1.0]), (2, [0.5, 2.0])]  # the first asks
+    assert found(least) == [(0, 1, 1, 1 << 20), (0, 2, 2, 1 << 19)]
+    assert found([(0, [1e30, 1.0]), (1, [0.0, -1.0]), (2, [0.0, 2.0])]) == [(0, 1, 2, 1 << 21), (0, 2, 1, -(1 << 20))]
+
+
 def test_topk_exchanges_no_pairs(spark):
     """What is exchanged grows with the rows, not with pairs of queries and blocks."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)

@@ -7,8 +7,8 @@ taken in order of that bound: a first round visits the nearest ones until enough
 whose bound still reaches the k-th distance found; the others are left out.
 
 Rings are stored as blocks of a bounded number of vectors, sorted by distance, each with its own least and largest one;
-queries go to them in strips, which a task reads again for each of its blocks, so that nothing grows with the number of
-pairs but the arithmetic. A task keeps the k best of each query over all its blocks and sends these alone. Where bounds
+queries go to them in strips; both are read from storage again where they meet, so that nothing exchanged grows with the
+number of pairs, only arithmetic and reads do. A task keeps the k best of each query over all its blocks and sends these alone. Where bounds
 leave nothing out (vectors without any grouping, in many dimensions), all pairs are multiplied: exactly, in single
 precision while all sums stay below 2**24. Of equal vectors only those of the k + 1 smallest ids can be among k answers,
 so the others are not stored.
